@@ -22,8 +22,8 @@ BOILERPLATE = (
     "lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
     "sign up", "log in", "sign in", "subscribe", "click here", "read more", "share on", "skip to content", "add to cart",
 )
-#: A line ends a sentence with one of these, before closing quotes and brackets.
-SENTENCE_END = r"[.!?:;…。！？؟][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+#: A sentence ends with one of these, before closing quotes and brackets.
+SENTENCE_END = r"[.!?:;…。！？؟][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 
 
 def repeated_words(own: Column, width: int = 3) -> Column:
