@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelweave.llm import chat, decontamination, mixing, pii, quality, secrets, sharding, simhash, toxicity
+from parcelweave.llm import chat, decontamination, licenses, mixing, pii, quality, secrets, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document, and where."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document; the cleaned text stays with the operator."""
     return quality.judge(_table(spark, sf_dir, "documents")).drop("clean_text")
