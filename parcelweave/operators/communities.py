@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelweave.operators.components import connected_components
 from parcelweave.operators.relational import with_dense_id
+from parcelweave.shipping import ship
 from parcelweave.storage import cut
 
 #: Buildings in a portfolio that is not split.
@@ -94,6 +95,7 @@ def split_components(nodes: DataFrame, edges: DataFrame, limit: int = SIZE_LIMIT
     Components are found in distributed rounds and numbered from 1 by their smallest node; only
     those over the limit go to a worker each, which holds one component's nodes and edges.
     """
+    ship(nodes.sparkSession)
     lone = nodes.select(F.col("nodeid").alias("src"), F.col("nodeid").alias("dst"))
     found = connected_components(edges.select("src", "dst").unionByName(lone))
     sized = cut(nodes.join(found, nodes["nodeid"] == found["node"]).select("nodeid", "size", "component"))

@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a map-side combine and joined back, so that a hub's neighbours are never gathered in a list.
     Edges with a null end and self loops are ignored, except that a self loop still names its node.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    pairs = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     links = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None

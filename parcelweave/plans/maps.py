@@ -11,6 +11,7 @@ from parcelweave.functions.geo import Conic, hex_bin, hex_centre, hex_corners, r
 from parcelweave.functions.text import digits_only
 from parcelweave.operators.polygons import centre_of, contains, geojson, label_of, simplified
 from parcelweave.operators.relational import rolled_up, top_per_group, union_distinct, with_dense_id
+from parcelweave.shipping import ship
 from parcelweave.storage import cut
 
 #: Edges of the hexagons in feet, by zoom; each half of the one before.
@@ -43,6 +44,7 @@ def district_rollup(rows: DataFrame, key: str, shapes: DataFrame | None = None)
     out = rolled_up(rows.withColumn(name, F.col(key).cast("int")), name, measures())
     if shapes is None:
         return out
+    ship(shapes.sparkSession)
     drawn = shapes.select(F.col(name).cast("int").alias(name), to_degrees(F.col("geom")).alias("geom"))
     drawn = drawn.withColumn("_c", centre_of(F.col("geom"))).select(name, "geom", F.col("_c.x").alias("longitude"), F.col("_c.y").alias("latitude"), geojson(F.col("geom")).alias("geom_json"))
     return out.join(drawn, name, "left")
@@ -81,6 +83,7 @@ def located(points: DataFrame, shapes: DataFrame, key: str, cell: float = 5000.0
 
     ``points`` has ``x`` and ``y``, ``shapes`` has ``key`` and ``geom``, all in one plane.
     """
+    ship(points.sparkSession)
     flat = F.flatten(F.flatten("geom"))
     xs, ys = F.transform(flat, lambda p: F.floor(p["x"] / cell)), F.transform(flat, lambda p: F.floor(p["y"] / cell))
     cells = shapes.withColumn("_cx", F.explode(F.sequence(F.array_min(xs), F.array_max(xs)))).withColumn("_cy", F.explode(F.sequence(F.array_min(ys), F.array_max(ys))))
@@ -115,6 +118,7 @@ def layers(shapes: Mapping[str, DataFrame]) -> DataFrame:
 
 def features(areas: DataFrame, tolerance: float = 100.0, projection: Conic = Conic()) -> DataFrame:
     """``(typeValue, typeLabel, districts_geojson, labels_geojson)``: simplified areas and points for their labels, ids shared."""
+    ship(areas.sparkSession)
     rows = with_dense_id(areas, ["typevalue", F.col("areavalue").asc_nulls_last(), F.col("arealabel").asc_nulls_last()], "id")
     rows = rows.withColumn("_s", simplified(F.col("geom"), tolerance)).withColumn("_p", label_of(F.col("geom"))).drop("geom")
     rows = cut(rows.withColumn("_d", to_degrees(F.col("_s"), projection)).drop("_s"))  # so that no worker's function is planned inside an aggregate
