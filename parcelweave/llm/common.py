@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The separators of words: space and the five ASCII controls from tab to carriage return.
@@ -16,6 +16,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names are."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def packed(df: DataFrame, name: str = "_row") -> Column:
+    """A row as one value, so that its columns' names can't clash with others."""
+    return F.struct(*every(df)).alias(name)
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` from and to the columns of a table, whatever their names are."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none of a null."""
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), "")

@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parcelweave.llm.common import map_rows
+from parcelweave.shipping import ship
+
 #: Distinct shingles of test items that are sent to every executor at once, about 100 bytes each.
 BLOCK_SHINGLES = 500_000
 #: A fixed table of 2^22 slots that tells in one step that a hash is in no sketch.
@@ -119,6 +122,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, width: int, th
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """``(id_col, item_col, n_shared, n_item, containment)`` for each document and item contained in it."""
+    ship(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     fields = [T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType()), T.StructField("containment", T.DoubleType())]
     schema = T.StructType([frame.schema[0], *fields])
@@ -146,6 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that contain no test item; one narrow pass for each block of items."""
+    ship(docs.sparkSession)
     out, at = docs, docs.columns.index(text_col)
     for block in blocks_of(benchmark, item_col, item_text_col, width, threshold):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -154,5 +159,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for batch in batches:
                 yield batch.filter(pa.array([not sent.value.search(x.as_py()) for x in batch.column(at)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_rows(out, run)
     return out

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelweave.llm.common import words
+from parcelweave.llm.common import packed, words
 from parcelweave.storage import materialize
 
 #: Sources whose plan may be broadcast (about 200 bytes each).
@@ -123,6 +123,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_
     """The mixture itself: each row of ``docs`` as often as it is taken.  No row's text is shuffled."""
     _, sources = plan(docs, weights, cap, id_col, text_col, source_col, importance_col, seed)
     importance = F.lit(1.0) if importance_col is None else F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0))
-    drawn = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("_source"), _uniform(F.col(id_col), F.col(text_col), seed).alias("_u"), importance.alias("_i"))
+    drawn = docs.select(packed(docs), F.col(source_col).alias("_source"), _uniform(F.col(id_col), F.col(text_col), seed).alias("_u"), importance.alias("_i"))
     counted = _with_plan(drawn, sources).withColumn("_copies", _copies(cap).cast("int")).where("_copies > 0")
     return counted.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")

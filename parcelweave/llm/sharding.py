@@ -19,6 +19,8 @@ from parcelweave.storage import materialize
 #: Of the published algorithm: the multiplier of its generator.
 MULTIPLIER = 2862933555777941757
 LOW = 0xFFFFFFFF
+#: Names of the result; a payload column of such a name gets ``source_`` before it.
+RESERVED = frozenset(("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_part", "_at", "_rows", "_first", "_base"))
 
 
 def _times(half: Column, by: int) -> Column:
@@ -64,9 +66,10 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     key = F.coalesce(own, F.xxhash64(text))
+    kept = {c: f"source_{c}" if c in RESERVED else c for c in payload}
     rows = docs.select(
         F.col(id_col),
-        *[F.col(c) for c in payload],
+        *[F.col(f"`{c}`").alias(name) for c, name in kept.items()],
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
@@ -81,7 +84,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     starts = counts.select("shard", "_part", (before - F.col("_first")).alias("_base"))
     # at most a row for each shard and partition
     return placed.join(F.broadcast(starts), ["shard", "_part"]).select(
-        id_col, *payload, "size", "text_crc32", "law", "shard", (F.col("_at") + F.col("_base")).alias("slot"), "grown_shard"
+        id_col, *[F.col(f"`{c}`") for c in kept.values()], "size", "text_crc32", "law", "shard", (F.col("_at") + F.col("_base")).alias("slot"), "grown_shard"
     )
 
 

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelweave.llm.common import packed
 from parcelweave.operators.components import connected_components
+from parcelweave.shipping import ship
 from parcelweave.storage import materialize
 
 BITS = 64
@@ -66,6 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((majority(shingle_hashes(x.as_py(), width, seed)) for x in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
+    ship(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return frame.mapInArrow(run, T.StructType([frame.schema[0], T.StructField("fp", T.LongType())]))
 
@@ -136,6 +139,7 @@ def links(distinct: DataFrame, n: int, distance: int = 4, fp: str = "fp", chunk:
     ``chunk`` members is dealt to cells of two of its chunks each, so that every pair of members
     meets in a cell and no task holds a bucket of unbounded size.
     """
+    ship(distinct.sparkSession)
     masks = block_masks(n, distance)
     unsigned = np.array(masks, np.uint64)
     rows = distinct.select(F.col(fp).alias("fp")).select(
@@ -192,7 +196,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without an id can't be told apart by it and all stay.
     """
-    keep = classes(docs, id_col, text_col, width, distance).where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
-    joined = docs.join(keep, id_col)
-    once = joined.withColumn("_at", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("_at = 1").select(docs.columns)
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    keep = classes(docs, id_col, text_col, width, distance).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_key")).distinct()
+    rows = docs.select(packed(docs), F.col(id_col).alias("_key"))
+    once = rows.join(keep, "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_at = 1")
+    return once.unionByName(rows.where("_key IS NULL"), allowMissingColumns=True).select("_row.*")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parcelweave.llm.common import map_rows
+from parcelweave.shipping import ship
+
 Span = tuple[str, int, int]
 
 
@@ -20,6 +23,7 @@ def written(spans: list[Span]) -> str:
 
 def find(docs: DataFrame, finder: Callable[[str], list[Span]], base: tuple[str, ...], order: Callable[[Span], tuple], id_col: str, text_col: str) -> DataFrame:
     """``(id_col, n_<kind> of each base kind, base_sha256, spans)``, one row for each row of ``docs``."""
+    ship(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     schema = T.StructType([frame.schema[0], *[T.StructField(f"n_{k}", T.LongType()) for k in base], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
     target = to_arrow_schema(schema)
@@ -38,6 +42,7 @@ def find(docs: DataFrame, finder: Callable[[str], list[Span]], base: tuple[str,
 
 def redact(docs: DataFrame, finder: Callable[[str], list[Span]], text_col: str) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; of overlapping spans the first and longest names it."""
+    ship(docs.sparkSession)
     at, target = docs.columns.index(text_col), to_arrow_schema(docs.schema)
 
     def clean(text: str | None) -> str | None:
@@ -54,6 +59,6 @@ def redact(docs: DataFrame, finder: Callable[[str], list[Span]], text_col: str)
         for batch in batches:
             columns = list(batch.columns)
             columns[at] = pa.array([clean(x.as_py()) for x in columns[at]], target[at].type)
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parcelweave.llm.common import map_rows
+from parcelweave.shipping import ship
 from parcelweave.storage import materialize
 
 #: Labelled documents learnt from, at most.
@@ -42,18 +44,23 @@ LEXICON = 4_000
 STEMS = (4, 5, 6)
 #: Least length of a word that is also met with one edit.
 FUZZY = 5
+#: Share of clean documents with misspellings of a word, over which it is met only as it is.
+MISREAD = 0.0005
 #: Tokens on either side of a match that are its context.
 WINDOW = 6
 #: Least evidence of a term for its class: G-squared of its two-by-two table.
 EVIDENCE = 24.0
 #: Tokens without a match, and states of the automaton, that a worker keeps.
 TOKENS_KEPT, KEPT = 1_000_000, 200_000
-#: What is left of a match's weight when it is a mention.
-MENTION = 0.25
+#: Weights before any document is seen: a constant, then as in ``features``.
+PRIOR = (-4.0, 1.0, 0.3, 0.3, 0.5, 0.0)
+#: What is left of a match's weight when it is a mention, and when it is misspelt.
+MENTION, MISSPELT = 0.25, 0.85
 #: Words that report speech in four languages; fixed values.
 REPORTING = frozenset(
     "said says called calls quote quoted word term phrase meaning sagte sagt genannt wort dit disait mot appelé dijo dice palabra llamó".split()
 )
+NOTHING = (0.0, "")
 QUOTES = "\"“”„«»‘’'"
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -67,14 +74,14 @@ class Trie:
 
     def __init__(self, words: dict[str, float]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: dict[int, float] = {}
+        self.ends: dict[int, tuple[float, str]] = {}
         for word, weight in words.items():
             at = 0
             for c in word:
                 at = self.children[at].setdefault(c, len(self.children))
                 if at == len(self.children):
                     self.children.append({})
-            self.ends[at] = max(weight, self.ends.get(at, 0.0))
+            self.ends[at] = weight, word
         self.sizes = range(min(map(len, words), default=1) - 1, max(map(len, words), default=-1) + 2)
         self._forget()
 
@@ -82,7 +89,7 @@ class Trie:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.weights: list[float] = []
+        self.found: list[tuple[float, str]] = []
         self._id(self._closed({(0, 0)}))
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
@@ -96,7 +103,7 @@ class Trie:
             known = self.ids[states] = len(self.sets)
             self.sets.append(states)
             self.steps.append({})
-            self.weights.append(max((self.ends.get(node, 0.0) for node, _ in states), default=0.0))
+            self.found.append(max((self.ends[node] for node, _ in states if node in self.ends), default=NOTHING))
         return known
 
     def _step(self, at: int, c: str) -> int:
@@ -110,10 +117,10 @@ class Trie:
         found = self.steps[at][c] = self._id(self._closed(reached))
         return found
 
-    def near(self, token: str) -> float:
-        """The largest weight of a word within one edit; 0 if there is none."""
+    def near(self, token: str) -> tuple[float, str]:
+        """The weightiest word within one edit, and its weight."""
         if len(token) not in self.sizes:
-            return 0.0
+            return NOTHING
         if len(self.sets) >= KEPT:
             self._forget()
         at = 0
@@ -121,9 +128,9 @@ class Trie:
             if (following := self.steps[at].get(c)) is None:
                 following = self._step(at, c)
             if following < 0:
-                return 0.0
+                return NOTHING
             at = following
-        return self.weights[at]
+        return self.found[at]
 
 
 @dataclass
@@ -132,12 +139,13 @@ class Model:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    misspelt: frozenset[str] = frozenset()
     weights: list[float] | None = None
     share: float = 0.0
 
     @cached_property
     def _trie(self) -> Trie:
-        return Trie({w: x for w, x in self.words.items() if len(w) >= FUZZY})
+        return Trie({w: x for w, x in self.words.items() if w in self.misspelt})
 
     @cached_property
     def _clean(self) -> set[str]:
@@ -153,7 +161,7 @@ class Model:
         for k in STEMS:
             if (own := self.stems.get(token[:k], 0.0)) > exact:
                 exact = own
-        return (exact, True) if exact else (self._trie.near(token), False)
+        return (exact, True) if exact else (self._trie.near(token)[0], False)
 
     def matches(self, tokens: list[str]) -> dict[str, tuple[float, bool]]:
         """The distinct tokens that match, with what ``weigh`` says."""
@@ -169,14 +177,14 @@ class Model:
         return found
 
     def features(self, text: str | None) -> list[float]:
-        """Of a document's matches: their weights, largest weight, share, kinds, edits and mentions."""
+        """Of a document's matches: their weights, largest weight, share and kinds; mentions."""
         tokens = tokens_of(text)
         met = self.matches(tokens)
         if not met:
-            return [0.0] * 6
-        abuse = edited = most = mentions = 0.0
-        hits, low = 0.0, text.lower()
+            return [0.0] * 5
+        abuse = most = mentions = hits = 0.0
         kinds: dict[str, float] = {}
+        low = text.lower()
         places = [m.span() for m in TOKEN.finditer(low)]
         for i, t in enumerate(tokens):
             if t not in met:
@@ -188,15 +196,13 @@ class Model:
             if near & REPORTING or a and low[a - 1] in QUOTES and any(c in QUOTES for c in low[b : b + 40]):
                 mentions += 1
                 part = MENTION
-            weight *= part
+            if not exact:
+                part *= MISSPELT
+            abuse += weight * part
             hits += part
+            most = max(most, weight * part)
             kinds[t] = max(part, kinds.get(t, 0.0))
-            if exact:
-                abuse += weight
-            else:
-                edited += weight
-            most = max(most, weight)
-        return [math.log1p(abuse), most, math.log1p(1000 * hits / len(tokens)), math.log1p(sum(kinds.values())), math.log1p(edited), math.log1p(mentions)]
+        return [math.log1p(abuse), most, math.log1p(1000 * hits / len(tokens)), math.log1p(sum(kinds.values())), math.log1p(mentions)]
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -221,10 +227,13 @@ def _g_squared(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """The lexicon and model learnt from labelled rows that are not held out."""
+    ship(docs.sparkSession)
     named = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic"))
     chosen = named.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` ids, as the limit bounds them
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_toxic")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+    # a text that is copied is learnt from once
+    rows = rows.groupBy(F.xxhash64("_text").alias("_key"), "_toxic").agg(F.min(F.struct("_id", "_text")).alias("_one")).select("_one.*", "_toxic")
     rows = materialize(rows, "labelled")
 
     def terms(batches):
@@ -249,6 +258,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for term, weight in zip(top["term"], top["odds"], strict=True):
         (model.stems if term.endswith("*") else model.words)[term.rstrip("*")] = float(weight)
 
+    # words whose misspellings are words of clean documents are not met by them
+    model.misspelt = frozenset(w for w in model.words if len(w) >= FUZZY)
+
+    def misread(batches):
+        trie = model._trie
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, toxic in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if not toxic:
+                    seen.update({trie.near(t)[1] for t in set(tokens_of(text.as_py())) if t not in model.words})
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+    counted = rows.mapInArrow(misread, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, clean * MISREAD)).collect()
+    model.misspelt -= {r["term"] for r in counted}
+    model.__dict__.pop("_trie", None)
+
     def measured(batches):
         for batch in batches:
             found = [model.features(t.as_py()) for t in batch.column(1)]
@@ -260,28 +285,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60) -> list[float]:
-    """Newton's method on the ridge-penalised likelihood; the constant is not penalised.
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> list[float]:
+    """Newton's method with step halving on the likelihood, ridge-penalised toward ``PRIOR`` but for the constant.
 
-    Edits start from half the weight of exact matches, since a sample may hold none.
+    The prior gives what a sample may not hold its sign.
     """
     x = np.column_stack((np.ones(len(x)), x))
-    prior = np.zeros(x.shape[1])
-    prior[[1, 5]] = 1.0, 0.8
+    prior = np.array(PRIOR)
     w, penalty = prior.copy(), np.full(x.shape[1], ridge)
-    w[0], penalty[0] = math.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5)), 1e-6
+    penalty[0] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - z @ y + (penalty * (v - prior) ** 2).sum() / 2)
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (y - p) - penalty * (w - prior) * (np.arange(len(w)) > 0)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        gradient = x.T @ (p - y) + penalty * (w - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * float(gradient @ step):
+            size /= 2
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, now):
             break
     return w.tolist()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, held_out, score, predicted)``, one row for each row of ``docs``."""
+    ship(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     schema = T.StructType([frame.schema[0], T.StructField("score", T.DoubleType())])
     target = to_arrow_schema(schema)
@@ -296,6 +331,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``; a narrow pass."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -303,4 +339,4 @@ def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
         for batch in batches:
             yield batch.filter(pa.array([sent.value.score(x.as_py()) < threshold for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
