@@ -151,8 +151,9 @@ def priority_rank(customer, orders):
     spent = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), total("o_totalprice").alias("spent"))
     size = F.log(F.greatest("c_nationkey", F.lit(1)).cast("double"))
     rows = customer.join(spent, "c_custkey", "left").select("c_custkey", v.or_zero("n").alias("n"), (v.or_zero("n") * size).alias("a"), (F.coalesce("spent", F.lit(0.0)) * size).alias("b"))
-    rows = op.ranked(op.min_max(rows, ["a", "b"]).join(rows.select("c_custkey", F.col("n").alias("_n")), "c_custkey"), F.floor(F.col("a") * 100000 + 0.5), "rank_orders", F.col("a") == 0)
-    return op.ranked(rows, F.floor((F.col("a_norm") + F.col("b_norm") * 0.75) * 100000), "rank_final", F.col("_n") == 0).select("c_custkey", "rank_orders", "rank_final")
+    rows = op.min_max(rows, ["a", "b"]).join(rows.select("c_custkey", F.col("n").alias("_n")), "c_custkey")
+    by = {"rank_orders": F.floor(F.col("a") * 100000 + 0.5), "rank_final": F.floor((F.col("a_norm") + F.col("b_norm") * 0.75) * 100000)}
+    return op.ranked_many(rows, by, {"rank_orders": F.col("a") == 0, "rank_final": F.col("_n") == 0}).select("c_custkey", "rank_orders", "rank_final")
 
 
 @query("""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelweave.functions.text import col
+from parcelweave.storage import cut
 
 # latest and top rows
 
@@ -34,8 +35,6 @@ def with_dense_id(df: DataFrame, order: Sequence[Column | str], name: str) -> Da
     Rows are dealt by range, and each partition starts after the rows of those before it, so
     that no task holds all of them.
     """
-    from parcelweave.storage import cut
-
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     dealt = cut(dealt)
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
@@ -114,27 +113,38 @@ def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, *[((F.col(c) - F.col(f"_lo_{c}")) / F.nullif(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(0).cast(df.schema[c].dataType))).alias(f"{c}_norm") for c in columns])
 
 
-def ranked(df: DataFrame, value: Column | str, name: str, null_at: Column | None = None, partition: Sequence[str] = ()) -> DataFrame:
-    """Ranks from the largest value, gaps after ties; null where ``null_at`` holds, though such rows keep their places.
+def ranked_many(df: DataFrame, values: dict[str, Column], null_at: dict[str, Column] | None = None) -> DataFrame:
+    """Ranks of all rows by each of several values, from the largest; gaps after ties, nulls first.
 
-    Without a partition the ranks come from counts of the distinct values, not from one sorted task.
+    A rank is null where ``null_at`` holds, though such rows keep their places.  All ranks come
+    from one table of how often each value occurs, dealt by range: places are the counts of
+    earlier values, so that no task sorts all rows.
     """
+    names = list(values)
+    rows = cut(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_v", F.array(*[F.struct(F.lit(n).alias("rank"), values[n].cast("double").alias("v")) for n in names])))
+    long = rows.select("_id", F.explode("_v").alias("_e")).select("_id", "_e.rank", "_e.v")
+    counts = long.groupBy("rank", "v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = with_dense_id(counts, ["rank", F.col("v").desc_nulls_first()], "_order").withColumn("_chunk", F.floor(F.col("_order") / 65536))
+    sums = counts.groupBy("_chunk").agg(F.sum("_n").alias("_s"))
+    starts = sums.select("_chunk", F.coalesce(F.sum("_s").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_chunk").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = {n: i for i, n in enumerate(sorted(names))}  # each rank's places follow those of the ranks before it
+    shift = F.create_map(*[F.lit(x) for n, i in every.items() for x in (n, i)])[F.col("rank")]
+    total = rows.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    places = counts.withColumn("_inside", inside).join(starts, "_chunk").crossJoin(F.broadcast(total)).select("rank", F.col("v").alias("_w"), (F.col("_inside") + F.col("_before") + 1 - shift * F.col("_all")).alias("_place"))
+    placed = long.join(places.withColumnRenamed("rank", "_r"), (F.col("rank") == F.col("_r")) & F.col("v").eqNullSafe(F.col("_w")))
+    wide = placed.groupBy("_id").pivot("rank", names).agg(F.first("_place"))
+    out = rows.drop("_v", *names).join(wide, "_id").drop("_id")
+    return out.withColumns({n: F.when(~F.coalesce(c, F.lit(False)), F.col(n)) for n, c in (null_at or {}).items()})
+
+
+def ranked(df: DataFrame, value: Column | str, name: str, null_at: Column | None = None, partition: Sequence[str] = ()) -> DataFrame:
+    """One rank, as in ``ranked_many``; or within each partition."""
     v = col(value)
-    if partition:
-        place = F.rank().over(Window.partitionBy(*partition).orderBy(v.desc_nulls_first()))
-        out = df.withColumn("_place", place)
-    else:
-        rows = df.withColumn("_v", v)
-        counts = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-        counts = with_dense_id(counts, [F.col("_v").desc_nulls_first()], "_order")
-        parts = counts.withColumn("_chunk", F.floor(F.col("_order") / 65536))
-        sums = parts.groupBy("_chunk").agg(F.sum("_n").alias("_s"))
-        starts = sums.select("_chunk", F.coalesce(F.sum("_s").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_chunk").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        places = parts.withColumn("_inside", inside).join(starts, "_chunk").select(F.col("_v").alias("_w"), (F.col("_before") + F.col("_inside") + 1).alias("_place"))
-        out = rows.join(places, F.col("_v").eqNullSafe(F.col("_w"))).drop("_v", "_w")
-    out = out.withColumn(name, F.col("_place") if null_at is None else F.when(~F.coalesce(null_at, F.lit(False)), F.col("_place")))
-    return out.drop("_place")
+    if not partition:
+        return ranked_many(df, {name: v}, {} if null_at is None else {name: null_at})
+    place = F.rank().over(Window.partitionBy(*partition).orderBy(v.desc_nulls_first()))
+    return df.withColumn(name, place if null_at is None else F.when(~F.coalesce(null_at, F.lit(False)), place))
 
 
 def with_total(df: DataFrame, name: str = "total") -> DataFrame:

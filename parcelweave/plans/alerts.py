@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.functions.values import any_in, band, day, is_late, iso_micros, or_zero
-from parcelweave.operators.relational import min_max, ranked, with_total
+from parcelweave.operators.relational import min_max, ranked_many, with_total
 from parcelweave.sources.load import points
 
 AREAS = ("coun_dist", "nta", "census_tract", "community_dist", "assem_dist", "stsen_dist", "zipcode")
@@ -69,10 +69,8 @@ def ranked_area(indicators: DataFrame, areas: Mapping[str, Sequence]) -> DataFra
     inside = in_areas(indicators, areas)
     rows = prioritised(inside)
     rows = min_max(rows, [c for c in rows.columns if c.startswith("priority_")])
-    for m, _, _ in METRICS:
-        value = f"{OUT[m]}__week"
-        rows = ranked(rows, value, f"rank_{m}__week", F.col(value) == 0)
-    rows = ranked(rows, final_weight(), "rank_final")
+    weeks = {f"rank_{m}__week": F.col(f"{OUT[m]}__week") for m, _, _ in METRICS}
+    rows = ranked_many(rows, weeks | {"rank_final": final_weight()}, {name: value == 0 for name, value in weeks.items()})
     shared = rows.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("area_bbls_shared_portfolio"))
     every = inside.agg(F.count(F.lit(1)).alias("area_bbls_all"))  # one row
     rows = rows.join(shared, "portfolio_id", "left").crossJoin(F.broadcast(every))
