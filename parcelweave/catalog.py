@@ -230,7 +230,7 @@ def district_rollup(supplier):
 
 @query("""
 WITH s AS (SELECT p_partkey, nullif(p_size, 7) AS size, p_type, nullif(p_size % 5, 0) AS a, nullif(p_size % 3, 0) AS b, p_retailprice FROM part)
-SELECT p_partkey, coalesce(a, b, 0) AS latest, CASE WHEN size IS NULL THEN 0 WHEN size < 6 THEN 0 WHEN size < 10 THEN .5 WHEN size < 20 THEN 1 WHEN size < 40 THEN .5 ELSE .25 END AS weight,
+SELECT p_partkey, coalesce(a, b, 0) AS latest, CAST(CASE WHEN size IS NULL THEN 0 WHEN size < 6 THEN 0 WHEN size < 10 THEN .5 WHEN size < 20 THEN 1 WHEN size < 40 THEN .5 ELSE .25 END AS DOUBLE) AS weight,
 NOT regexp_matches(p_type, '^[RIMHW]|C8|C6|STEEL', 'i') AS by_class, (size > 10 OR p_retailprice > 1500) AS by_size, NOT regexp_matches(p_type, '^[RIMHW]|C8|C6|STEEL', 'i') AND (size > 10 OR p_retailprice > 1500) AS eligible FROM s""")
 def eligibility_flags(part):
     size = F.nullif("p_size", F.lit(7))
@@ -289,7 +289,7 @@ def initcap_squish(part):
 
 @query("""
 WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
-SELECT k, sum(n) AS distinct_sum, max(al) AS all_sum FROM (SELECT * FROM a UNION SELECT * FROM b) JOIN (SELECT k, sum(n) AS al FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1) USING (k) GROUP BY k""")
+SELECT k, CAST(sum(n) AS BIGINT) AS distinct_sum, CAST(max(al) AS BIGINT) AS all_sum FROM (SELECT * FROM a UNION SELECT * FROM b) JOIN (SELECT k, sum(n) AS al FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1) USING (k) GROUP BY k""")
 def union_distinct_vs_all(orders):
     a, b = (orders.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n")) for s in "FO")
     every = a.unionByName(b).groupBy("k").agg(F.sum("n").alias("all_sum"))
@@ -384,7 +384,7 @@ def date_forms(orders):
 
 
 @query("""
-SELECT n_name, n_regionkey, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS positive, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey
+SELECT n_name, n_regionkey, CAST(sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey
 WHERE n_name IN ('FRANCE', 'GERMANY', 'CHINA') OR n_regionkey IN (1) OR c_mktsegment = 'BUILDING' GROUP BY 1, 2""")
 def any_area_filter(customer, nation):
     rows = customer.join(nation, customer.c_nationkey == nation.n_nationkey)

@@ -102,7 +102,7 @@ def plan_address_search(part):
 
 
 @query(f"""
-WITH {_COUNTS} SELECT count(*) AS parcels, 0 AS units_res, sum(permits_total) AS permits_total, sum(violations_open) AS violations_open, sum(violations_total) AS violations_total, sum(requests_311_total) AS requests_311_total,
+WITH {_COUNTS} SELECT count(*) AS parcels, 0 AS units_res, CAST(sum(permits_total) AS BIGINT) AS permits_total, CAST(sum(violations_open) AS BIGINT) AS violations_open, CAST(sum(violations_total) AS BIGINT) AS violations_total, CAST(sum(requests_311_total) AS BIGINT) AS requests_311_total,
 CAST(sum(violations_open) AS DOUBLE) / count(*) AS violations_open_per_parcel, CAST(0 AS DOUBLE) AS violations_open_per_unit FROM counts""")
 def plan_summary(part, lineitem):
     rows = built(part)[0].select("pin", "units_res").join(counted(part, lineitem), "pin")
