@@ -29,13 +29,13 @@ def squish(text: Column | str) -> Column:
 def norm_address(text: Column | str, strip_unit: bool = False, strict_unit: bool = False) -> Column:
     """An address for equality: upper case, single blanks, optionally without its unit.
 
-    The unit's words match without a boundary after them, so that ``100 FLOWER ST`` loses its
-    street; ``strict_unit`` asks for the boundary.
+    The unit's words match without a boundary after them, so that ``100 FLOWER ST`` and ``100 PARK
+    AVE`` lose their streets; ``strict_unit`` asks for the boundary, and for a hyphen or an H after a P.
     """
     out = F.trim(F.coalesce(col(text), F.lit("")))
     if strip_unit:
-        end = r"(?:\b|(?<=#))" if strict_unit else ""
-        out = F.regexp_replace(out, rf"(?i)\s+(?:{'|'.join(UNIT_WORDS)}){end}.*$", "")
+        units, end = ((*UNIT_WORDS[:-1], r"P-\S+", "PH"), r"(?:\b|(?<=#))") if strict_unit else (UNIT_WORDS, "")
+        out = F.regexp_replace(out, rf"(?i)\s+(?:{'|'.join(units)}){end}.*$", "")
     return F.upper(F.regexp_replace(out, r"\s+", " "))
 
 
