@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from parcelweave.llm.common import SPACE, let, words
 
 SYMBOLS = "#*$%&|<>"
+#: Signs that stand between the entries of a menu.
+SEPARATORS = "|»›•·"
+#: Repeated windows up to which their places are looked up one by one; beyond, by sorting.
+FEW = 32
 #: Phrases of page furniture; fixed values.
 BOILERPLATE = (
     "lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
@@ -29,49 +33,76 @@ SENTENCE_END = r"[.!?:;…。！？؟][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 def repeated_words(own: Column, width: int = 3) -> Column:
     """How many words lie in ``width``-word windows that occur twice or more; ``own`` is a bound array of words.
 
-    Windows are compared by a 64- and a 32-bit hash.  Those that occur again are put in the order
-    of the text; each adds the words that the one before does not cover.
+    Windows are compared by 64-bit hashes.  Those that occur again are put in the order of the
+    text; each adds the words that the one before does not cover.
     """
-    windows = F.transform(F.sequence(F.lit(0), F.size(own) - width), lambda i: F.struct(F.xxhash64(*[own[i + k] for k in range(width)]).alias("h"), F.hash(*[own[i + k] for k in range(width)]).alias("g"), i.alias("i")))
+    windows = F.transform(F.sequence(F.lit(0), F.size(own) - width), lambda i: F.xxhash64(*[own[i + k] for k in range(width)]))
 
-    def again(s: Column) -> Column:
-        def same(x: Column, y: Column) -> Column:
-            return F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False))
-
-        places = F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x["i"]))
+    def covered(places: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
         return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(width), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    return F.when(F.size(own) > width, let(F.sort_array(windows), again)).otherwise(F.lit(0)).cast("long")
+    def sorted_places(h: Column) -> Column:
+        """Where windows are that occur again, by sorting them with their places."""
+        def again(s: Column) -> Column:
+            found = F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False)))
+            return F.sort_array(F.transform(found, lambda x: x["i"]))
+
+        return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), again)
+
+    def few_places(h: Column, repeated: Column) -> Column:
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(repeated, x), i)), lambda i: i.isNotNull())
+
+    def counted(h: Column) -> Column:
+        repeated = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (x == F.get(s, k - 1)))))
+        return let(repeated, lambda r: F.when(F.size(r) == 0, F.lit(0)).when(F.size(r) <= FEW, covered(few_places(h, r))).otherwise(covered(sorted_places(h))))
+
+    return F.when(F.size(own) > width, let(windows, counted)).otherwise(F.lit(0)).cast("long")
+
+
+def without(text: Column, letters: str) -> Column:
+    for c in letters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def any_of(text: Column, parts) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
+def flags_of(text: Column) -> Column:
+    """What a text has none of, none of its lines breaks a rule about."""
+    return F.struct(any_of(text, SYMBOLS).alias("symbols"), any_of(text, SEPARATORS).alias("separators"), any_of(F.lower(text), BOILERPLATE).alias("boilerplate"))
 
 
-def line_failed(line: Column, max_symbols: float = 0.1, min_words: int = 3) -> Column:
-    """Whether a line with words breaks a rule."""
-    bare = F.regexp_replace(line, SPACE, "")
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    letters = F.regexp_replace(line, r"[^\p{L}]", "")
-    navigation = line.rlike(r"(?:[|»›•·][\x20\x09-\x0D]*[^|»›•·]{1,40}){3,}")
-    shouting = (F.length(letters) >= 10) & (F.upper(letters) == letters) & (F.lower(letters) != letters)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+def line_failed(line: Column, flags: Column, max_symbols: float = 0.1, min_words: int = 3) -> Column:
+    """Whether a line with words breaks a rule; ``flags`` are those of its text, and spare most lines most rules."""
+    symbols = flags["symbols"] & ((F.length(line) - F.length(without(line, SYMBOLS))) > F.length(F.regexp_replace(line, SPACE, "")) * max_symbols)
+    navigation = flags["separators"] & line.rlike(rf"(?:[{SEPARATORS}][\x20\x09-\x0D]*[^{SEPARATORS}]{{1,40}}){{3,}}")
+    shouting = (F.upper(line) == line) & (F.lower(line) != line) & (F.length(F.regexp_replace(line, r"[^\p{L}]", "")) >= 10)
+    boilerplate = flags["boilerplate"] & any_of(F.lower(line), BOILERPLATE)
     open_end = ~line.rlike(SENTENCE_END) & (F.size(F.split(line, SPACE)) >= min_words)
-    return (symbols > F.length(bare) * max_symbols) | navigation | shouting | boilerplate | open_end
+    return symbols | navigation | shouting | boilerplate | open_end
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeats: int = 50, max_lost: float = 0.5) -> DataFrame:
     """``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words, clean_text)``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select(F.col(id_col), text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"))
+    counted = docs.select(F.col(id_col), text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"), flags_of(text).alias("_flags"))
 
     def count(line: Column) -> Column:
         return F.size(F.array_remove(F.split(line, SPACE), ""))
 
-    good = F.filter("_lines", lambda x: ~line_failed(x))
+    good = F.filter("_lines", lambda x: ~line_failed(x, F.col("_flags")))
     counted = counted.select(
         id_col,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.when(F.col("_flags.symbols"), F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         let(F.col("_words"), lambda own: repeated_words(own)).alias("n_repeat_words"),
         good.alias("_good"),
