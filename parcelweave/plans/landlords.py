@@ -61,15 +61,23 @@ def _pairs(nodes: DataFrame, on: list[str], own: list[str], weight: Callable[[di
     return x.join(y, on).where(F.col("x_nodeid") != F.col("y_nodeid")).where(holds).select(F.col("x_nodeid").alias("src"), F.col("y_nodeid").alias("dst"), value.alias("weight"))
 
 
-def name_edges(nodes: DataFrame) -> DataFrame:
-    """The same name and zip, and a similar street: over 0.9, or over 0.8 with the same apartment number."""
-    rows = nodes.withColumn("grams", trigrams("bizhousestreet"))
+def similar_streets(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """``(street, other, sim)`` for streets that some name and zip has both of and that are alike; each pair is compared once."""
+    known = nodes.select("name", "bizzip", F.col("bizhousestreet").alias("street")).distinct()
+    pairs = known.join(known.withColumnRenamed("street", "other"), ["name", "bizzip"]).select("street", "other").distinct()
+    grams = nodes.select(F.col("bizhousestreet").alias("street")).distinct().withColumn("g", trigrams("street"))
+    rows = pairs.join(grams, "street").join(grams.toDF("other", "h"), "other")
+    return rows.select("street", "other", set_similarity("g", "h").alias("sim")).where(F.col("sim") > F.lit(least).cast("float"))
 
-    def weight(x, y):
-        sim = set_similarity(x["grams"], y["grams"])
-        return (sim > F.lit(0.9).cast("float")) | ((sim > F.lit(0.8).cast("float")) & (x["bizaptnum"] == y["bizaptnum"])), sim.cast("double") + F.coalesce(x["bizapt"] == y["bizapt"], F.lit(False)).cast("double") * 0.5 + 1
 
-    return _pairs(rows, ["name", "bizzip"], ["grams", "bizapt", "bizaptnum"], weight)
+def name_edges(nodes: DataFrame) -> DataFrame:
+    """The same name and zip, and a similar street: over 0.9, or over 0.8 with the same apartment number."""
+    own = ["name", "bizzip", "bizhousestreet", "nodeid", "bizapt", "bizaptnum"]
+    x = nodes.select(*own).toDF("name", "bizzip", "street", "src", "x_apt", "x_num").join(similar_streets(nodes), "street")
+    y = nodes.select(*own).toDF("name", "bizzip", "other", "dst", "y_apt", "y_num")
+    close = (F.col("sim") > F.lit(0.9).cast("float")) | (F.col("x_num") == F.col("y_num"))
+    rows = x.join(y, ["name", "bizzip", "other"]).where((F.col("src") != F.col("dst")) & close)
+    return rows.select("src", "dst", (F.col("sim").cast("double") + F.coalesce(F.col("x_apt") == F.col("y_apt"), F.lit(False)).cast("double") * 0.5 + 1).alias("weight"))
 
 
 def address_edges(nodes: DataFrame) -> DataFrame:
