@@ -196,7 +196,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without an id can't be told apart by it and all stay.
     """
-    keep = classes(docs, id_col, text_col, width, distance).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_key")).distinct()
+    return first_rows(docs, classes(docs, id_col, text_col, width, distance), id_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the ``component_id`` that ``found`` gives it, once for each id, and all without an id."""
+    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_key")).distinct()
     rows = docs.select(packed(docs), F.col(id_col).alias("_key"))
     once = rows.join(keep, "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_at = 1")
     return once.unionByName(rows.where("_key IS NULL"), allowMissingColumns=True).select("_row.*")
