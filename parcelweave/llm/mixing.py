@@ -3,13 +3,13 @@
 Each source gets a target in words; a document's expected copies are its source's target over its
 source's size.  The whole part is allocated for certain.  For the rest, documents are ranked by
 their random odds over their inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in this
-order while they fit in what is left of the target; a few later draws, of sizes that fit, close
-the gap.  The sample's size is thus fixed in words, and inclusion odds differ between sources
-(and between documents, if ``importance_col`` is given).
+order; a document that does not fit in what is left of the target is passed over, and the order is
+gone through to its end, so that no document is left that would fit.  The sample's size is thus fixed
+in words, and inclusion odds differ between sources (and between documents, if ``importance_col`` is given).
 
 ``u`` comes from the MD5 of seed and id, so that reruns and retried tasks agree.  The draw needs
 no sorted source: words are summed over buckets of the rank, and only the bucket that holds the
-cut is sorted.  What is left is one row for each source, which a narrow pass applies to the documents.
+first misfit is sorted; behind it, the same is done with the documents of sizes that still fit.  What is left is one row for each source, which a narrow pass applies to the documents.
 
 Edge cases: a null source is a source and comes last; null, empty and blank texts have size 0;
 a source without words has target 0; a null id draws by its text; rows that repeat an id share
@@ -28,6 +28,8 @@ from parcelweave.storage import materialize
 MOST_BROADCAST = 100_000
 #: Rows of the largest source expected in a bucket of the rank.
 BUCKET_ROWS = 2_000
+#: Draws of a source that may be gone through one by one to close the gap.
+FEW = 2_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int, source_col: str) -> DataFrame:
@@ -59,8 +61,9 @@ def _rank(u: Column, p: Column) -> Column:
 def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance_col: str | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes and draws, and the plan: one row for each source.
 
-    The plan has the source's size, target and copies of each document (``ratio``), the last
-    draw taken in order (``_cut``) and the draws that close the gap (``_close``).
+    The plan has the source's size, target and copies of each document (``ratio``), the runs of
+    draws that are taken if their sizes fit (``_segments``: after a draw, before a draw, at most
+    so many words), and the draws, of at most ``_gap`` words, that close what is left (``_close``).
     """
     importance = F.lit(1.0) if importance_col is None else F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0))
     sized = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words(F.col(text_col))).cast("long").alias("_size"), _uniform(F.col(id_col), F.col(text_col), seed).alias("_u"), importance.alias("_i")), "sizes")
@@ -73,28 +76,44 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id
     chances = _with_plan(sized, scaled).select("_source", "_size", "target", "_u", "_id", F.least(F.lit(float(cap)), F.col("ratio") * F.col("_i")).alias("_e"))
     chances = chances.withColumn("_whole", F.floor("_e")).withColumn("_rank", _rank(F.col("_u"), F.col("_e") - F.floor("_e")))
     chances = chances.withColumn("_bucket", F.floor(F.col("_rank") / (1 + F.col("_rank")) * buckets))
-    sums = chances.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"), F.sum(F.col("_whole") * F.col("_size")).alias("_sure"), F.first("target").alias("target"), F.max(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "_u"))).alias("_last"))
-    by = Window.partitionBy("_source")
-    ordered = by.orderBy(F.col("_bucket").asc_nulls_last())
-    sums = sums.withColumn("_left", F.col("target") - F.sum("_sure").over(by)).withColumn("_upto", F.sum("_words").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = materialize(sums.where("_bucket IS NOT NULL"), "buckets")
-    # the first bucket that does not fit whole holds the cut; all earlier ones are taken
-    edge = sums.where("_upto > _left").groupBy("_source").agg(F.min_by(F.struct("_bucket", (F.col("_left") - F.col("_upto") + F.col("_words")).alias("_room")), "_bucket").alias("_edge")).select("_source", "_edge.*")
-    below = sums.where("_upto <= _left").groupBy("_source").agg(F.max("_last").alias("_below"))
-    room = _with_plan(chances, edge.withColumnRenamed("_bucket", "_at"), inner=True)
-    inside = room.where(F.col("_bucket") == F.col("_at")).withColumn("_upto", F.sum("_size").over(Window.partitionBy("_source").orderBy("_rank", "_u"))).where(F.col("_upto") <= F.col("_room"))
-    inside = inside.groupBy("_source").agg(F.max(F.struct("_rank", "_u")).alias("_inside"), F.max("_upto").alias("_filled"))
-    cuts = scaled.alias("s").join(below.alias("b"), F.col("s._source").eqNullSafe(F.col("b._source")), "left").join(inside.alias("i"), F.col("s._source").eqNullSafe(F.col("i._source")), "left").join(edge.alias("e"), F.col("s._source").eqNullSafe(F.col("e._source")), "left")
-    cuts = materialize(cuts.select("s._source", "source_size", "target", "ratio", F.coalesce("_inside", "_below").alias("_cut"), (F.col("_room") - F.coalesce("_filled", F.lit(0))).alias("_gap")), "cuts")
-    # outside the sample, the first draw of each eighth of a doubling in size; from the largest on, those that fit close the gap
-    rest = _with_plan(chances.drop("target"), cuts, inner=True).where("_rank IS NOT NULL AND _size > 0 AND _size <= _gap").where(F.col("_cut").isNull() | (F.struct("_rank", "_u") > F.col("_cut")))
-    firsts = rest.groupBy("_source", F.floor(F.log2("_size") * 8).alias("_bin")).agg(F.first("_gap").alias("_gap"), F.min(F.struct("_rank", "_u", "_size")).alias("_d"))
-    offered = firsts.groupBy("_source").agg(F.first("_gap").alias("_gap"), F.sort_array(F.collect_list(F.struct(F.col("_d._size").alias("_size"), F.struct("_d._rank", "_d._u").alias("_key"))), False).alias("_offers"))
-    none = F.struct(F.col("_gap").alias("gap"), F.slice(F.transform("_offers", lambda x: x["_key"]), 1, 0).alias("keys"))
-    fits = F.aggregate("_offers", none, lambda s, x: F.when(x["_size"] <= s["gap"], F.struct((s["gap"] - x["_size"]).alias("gap"), F.concat(s["keys"], F.array(x["_key"])).alias("keys"))).otherwise(s), lambda s: s["keys"])
-    close = offered.select("_source", fits.alias("_close"))
-    made = cuts.alias("c").join(close.alias("d"), F.col("c._source").eqNullSafe(F.col("d._source")), "left").select("c._source", "source_size", "target", "ratio", "_cut", "_close")
-    return sized, materialize(made, "plan")
+    key = F.struct("_rank", "_u")
+    room = chances.groupBy("_source").agg((F.first("target") - F.sum(F.col("_whole") * F.col("_size"))).alias("_left"))
+    state = materialize(room.withColumn("_after", F.lit(None).cast("struct<_rank: double, _u: double>")).withColumn("_segments", F.array().cast("array<struct<after: struct<_rank: double, _u: double>, before: struct<_rank: double, _u: double>, most: double>>")), "room")
+    rest = chances.where("_rank IS NOT NULL").select("_source", "_size", "_rank", "_u", "_bucket")
+    while True:
+        # in order while all fit; then past the draw that does not, among those of sizes that still fit
+        found = _first_misfit(rest, state.select("_source", "_left"))
+        segment = F.struct(F.col("_after").alias("after"), F.col("_before").alias("before"), F.when(F.col("_after").isNotNull(), F.col("_left")).alias("most"))
+        going = F.col("_after").isNotNull() | (F.size("_segments") == 0)
+        state = _with_plan(state, found).select("_source", (F.col("_left") - F.coalesce("_filled", F.lit(0))).alias("_left"), F.col("_before").alias("_after"), F.when(going, F.concat("_segments", F.array(segment))).otherwise(F.col("_segments")).alias("_segments"))
+        state = materialize(state, "segments")
+        open_ = state.where("_after IS NOT NULL").select("_source", "_left", "_after")
+        rest = materialize(_with_plan(rest, open_, inner=True).where(F.col("_size").between(1, F.col("_left")) & (key > F.col("_after"))).select("_source", "_size", "_rank", "_u", "_bucket"), "rest")
+        if (rest.groupBy("_source").count().agg(F.max("count")).first()[0] or 0) <= FEW:
+            break
+    # where few are left, one by one
+    listed = rest.groupBy("_source", "_rank", "_u").agg(F.sum("_size").alias("_size")).groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_rank", "_u", "_size"))).alias("_offers"))
+    offered = _with_plan(listed, open_, inner=True)
+    none = F.struct(F.col("_left").alias("gap"), F.slice(F.transform("_offers", lambda x: F.struct(x["_rank"].alias("_rank"), x["_u"].alias("_u"))), 1, 0).alias("keys"))
+    fits = F.aggregate("_offers", none, lambda s, x: F.when(x["_size"] <= s["gap"], F.struct((s["gap"] - x["_size"]).alias("gap"), F.concat(s["keys"], F.array(F.struct(x["_rank"].alias("_rank"), x["_u"].alias("_u")))).alias("keys"))).otherwise(s), lambda s: s["keys"])
+    close = offered.select("_source", F.col("_left").alias("_gap"), fits.alias("_close"))
+    made = scaled.alias("s").join(state.alias("c"), F.col("s._source").eqNullSafe(F.col("c._source")), "left").join(close.alias("d"), F.col("s._source").eqNullSafe(F.col("d._source")), "left")
+    return sized, materialize(made.select("s._source", "source_size", "target", "ratio", "_segments", "_gap", "_close"), "plan")
+
+
+def _first_misfit(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """``(_source, _before, _filled)``: in order of the draws, the first that exceeds what is left, and the words of those before it.
+
+    Sources whose draws all fit have no row.  Only the bucket in which the words exceed it is sorted.
+    """
+    ordered = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = _with_plan(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words")), room, inner=True)
+    sums = sums.withColumn("_upto", F.sum("_words").over(ordered)).where("_upto > _left")
+    edge = sums.groupBy("_source").agg(F.min_by(F.struct(F.col("_bucket").alias("_at"), (F.col("_upto") - F.col("_words")).alias("_base"), "_left"), "_bucket").alias("_edge")).select("_source", "_edge.*")
+    inside = _with_plan(rows, materialize(edge, "edges"), inner=True).where(F.col("_bucket") == F.col("_at"))
+    inside = inside.withColumn("_upto", F.col("_base") + F.sum("_size").over(Window.partitionBy("_source").orderBy("_rank", "_u")))
+    found = inside.groupBy("_source").agg(F.min(F.when(F.col("_upto") > F.col("_left"), F.struct("_rank", "_u"))).alias("_before"), F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_upto"))), F.first("_base")).alias("_filled"))
+    return materialize(found, "misfits")
 
 
 def _with_plan(rows: DataFrame, per_source: DataFrame, inner: bool = False) -> DataFrame:
@@ -109,7 +128,11 @@ def _copies(cap: int) -> Column:
     e = F.least(F.lit(float(cap)), F.col("ratio") * F.col("_i"))
     rank = _rank(F.col("_u"), e - F.floor(e))
     mine = F.struct(rank.alias("_rank"), F.col("_u").alias("_u"))
-    drawn = rank.isNotNull() & (F.coalesce(mine <= F.col("_cut"), F.lit(False)) | F.coalesce(F.array_contains("_close", mine), F.lit(False)))
+    first = F.col("_segments")[0]
+    # sizes matter only behind the first draw that did not fit
+    later = F.exists("_segments", lambda x: (mine > x["after"]) & (x["before"].isNull() | (mine < x["before"])) & F.col("_size").between(1, x["most"]))
+    close = (F.col("_size").between(1, F.col("_gap"))) & F.array_contains("_close", mine)
+    drawn = rank.isNotNull() & (first["before"].isNull() | (mine < first["before"]) | F.coalesce(later, F.lit(False)) | F.coalesce(close, F.lit(False)))
     return (F.floor(e) + drawn.cast("int")).cast("long")
 
 
@@ -123,6 +146,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_
     """The mixture itself: each row of ``docs`` as often as it is taken.  No row's text is shuffled."""
     _, sources = plan(docs, weights, cap, id_col, text_col, source_col, importance_col, seed)
     importance = F.lit(1.0) if importance_col is None else F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0))
-    drawn = docs.select(packed(docs), F.col(source_col).alias("_source"), _uniform(F.col(id_col), F.col(text_col), seed).alias("_u"), importance.alias("_i"))
+    drawn = docs.select(packed(docs), F.col(source_col).alias("_source"), _uniform(F.col(id_col), F.col(text_col), seed).alias("_u"), F.size(words(F.col(text_col))).cast("long").alias("_size"), importance.alias("_i"))
     counted = _with_plan(drawn, sources).withColumn("_copies", _copies(cap).cast("int")).where("_copies > 0")
     return counted.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")

@@ -70,3 +70,20 @@ def test_importance_changes_odds(docs, prose):
     low = sum(r.taken for r in rows if r.doc_id % 4 < 2)
     high = sum(r.taken for r in rows if r.doc_id % 4 >= 2)
     assert high > 1.8 * low
+
+
+@pytest.mark.parametrize("few", [mixing.FEW, 3])
+def test_goes_on_past_what_does_not_fit(docs, prose, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    texts = [(prose(1000 * s + k, 5 + (k * k) % 60), f"s{s:02}") for s in range(12) for k in range(100)] + [(prose(s, 6000), f"s{s:02}") for s in range(12)]
+    frame = docs(*texts)
+    rows = mixing.taken(frame).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[texts[r.doc_id][1]].append(r)
+    for source, own in by.items():
+        target, copies = own[0].target, int(own[0].target / own[0].source_size) + 1
+        gap = target - sum(r.taken for r in own)
+        assert gap >= -1e-6 and all(r.taken == copies * r.size or r.size > gap for r in own), source
+    counts = {r.doc_id: r["count"] for r in mixing.mix(frame).groupBy("doc_id").count().collect()}
+    assert counts == {r.doc_id: r.taken // r.size for r in rows if r.taken}
