@@ -2,7 +2,8 @@
 
 Base kinds are runs of known shape: ``assign`` (a credential's name and its value), ``access``
 (an access key's prefix) and ``hex``.  The method adds ``credential``: a value beside any word
-for a credential whose cheapest explanation costs an attacker too many guesses.  The cost is
+for a credential whose cheapest explanation costs an attacker too many guesses; in quotation marks
+the value ends at the closing mark, without them at a blank or a delimiter.  The cost is
 that of the best segmentation of the whole value into common words, dates, repeats, keyboard
 walks and brute-force spans, by dynamic programming from left to right; a long value takes time
 in proportion to its length.
@@ -25,7 +26,10 @@ KINDS = (*BASE, "credential")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key|auth|bearer|credentials?)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?([^\s"'<>,;()]{4,})""", re.ASCII | re.IGNORECASE)
+VALUE = r"""(?:"((?:[^"\\\r\n]|\\.){4,}+)"|'((?:[^'\\\r\n]|\\.){4,}+)'|["']?([^\s"'<>,;()]{4,}))"""
+CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key|auth|bearer|credentials?)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*""" + VALUE, re.ASCII | re.IGNORECASE)
+#: Cues that blanks alone may follow: options, and a bearer's token, which outside its header is no plain word.
+BLANK = re.compile(r"""(?:(?<![\w-])--(?:password|passwd|passphrase|secret|token|api-?key)|(?<![A-Za-z])authorization["']?[\x20\t]*[:=][\x20\t]*["']?bearer|(?<![A-Za-z])bearer(?![\x20\t]+(?-i:[A-Z]?[a-z]+)[.!?:]*(?:[\s"'<>,;()]|$)))[\x20\t]+""" + VALUE, re.ASCII | re.IGNORECASE)
 
 #: Common words of passwords and placeholders, the commonest first; fixed values.
 COMMON = (
@@ -121,12 +125,17 @@ def finder(threshold: float = 9.0, dictionary: tuple[str, ...] = COMMON):
     """A function from a text to its spans."""
     guesser = Guesser(dictionary)
 
+    def credentials(pattern: re.Pattern, text: str) -> list[Span]:
+        return [("credential", *m.span(m.lastindex)) for m in pattern.finditer(text) if guesser.log10(m[m.lastindex].rstrip(".")) >= threshold]
+
     def spans_of(text: str) -> list[Span]:
         out: list[Span] = [("access", *m.span()) for m in ACCESS.finditer(text)]
         out += [("hex", *m.span()) for m in HEX.finditer(text)]
         if ":" in text or "=" in text:
             out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-            out += [("credential", *m.span(1)) for m in CONTEXT.finditer(text) if guesser.log10(m[1].rstrip(".")) >= threshold]
+            out += credentials(CONTEXT, text)
+        if "--" in text or "bearer" in text.lower():
+            out += credentials(BLANK, text)
         return out
 
     return spans_of
