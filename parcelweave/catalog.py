@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str):
-    """Registers a query over named tables: the function's parameters are tables, or ``spark``."""
+def query(sql: str | None):
+    """Registers a query over named tables, with its SQL if there is any: the function's parameters are tables, or ``spark``."""
 
     def register(f):
         names = f.__code__.co_varnames[: f.__code__.co_argcount]
@@ -34,7 +34,8 @@ def query(sql: str):
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
-        SQL[f.__name__] = sql
+        if sql is not None:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -255,7 +256,17 @@ WITH RECURSIVE sold AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM line
 walk(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node)
 SELECT node, min(root) AS component FROM walk GROUP BY node""")
 def components(lineitem):
-    sold = lineitem.where("l_quantity = 50 AND l_discount >= 0.095").select("l_suppkey", "l_partkey").distinct()
+    return _seller_components(lineitem.where("l_quantity = 50 AND l_discount >= 0.095"))
+
+
+@query(None)
+def components_whole(lineitem):
+    """Over all rows; recursive SQL would walk each seller from each other."""
+    return _seller_components(lineitem)
+
+
+def _seller_components(lineitem):
+    sold = lineitem.select("l_suppkey", "l_partkey").distinct()
     lowest = sold.groupBy("l_partkey").agg(F.min("l_suppkey").alias("dst"))  # a star of each part's sellers links what all pairs would
     return connected_components(sold.join(lowest, "l_partkey").select(F.col("l_suppkey").alias("src"), "dst"))
 

@@ -1,0 +1,21 @@
+import random
+
+from parcelweave import catalog
+
+
+def test_all_rows_count(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(r.randrange(300), r.randrange(400), float(r.randint(1, 50)), 0.05) for _ in range(420)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root, first = {s: s for s, *_ in rows}, {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for s, p, *_ in rows:
+        a, b = sorted((find(s), find(first.setdefault(p, s))))
+        root[b] = a
+    got = {x.node: x.component for x in catalog.QUERIES["components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {s: find(s) for s in root}
