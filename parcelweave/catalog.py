@@ -194,7 +194,18 @@ def topk_docs_per_key(orders):
 WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 49)
 SELECT DISTINCT x.l_suppkey AS ref_key, y.l_suppkey AS key FROM s x JOIN s y USING (l_partkey) WHERE x.l_suppkey <> y.l_suppkey""")
 def related_pairs(lineitem):
-    sold = lineitem.where("l_quantity >= 49").select("l_suppkey", "l_partkey").distinct()
+    return _part_sharers(lineitem.where("l_quantity >= 49"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
+SELECT DISTINCT x.l_suppkey AS ref_key, y.l_suppkey AS key FROM s x JOIN s y USING (l_partkey) WHERE x.l_suppkey <> y.l_suppkey""")
+def related_pairs_whole(lineitem):
+    return _part_sharers(lineitem)
+
+
+def _part_sharers(lineitem):
+    sold = lineitem.select("l_suppkey", "l_partkey").distinct()
     x, y = sold.withColumnRenamed("l_suppkey", "ref_key"), sold.withColumnRenamed("l_suppkey", "key")
     return x.join(y, "l_partkey").where("ref_key <> key").select("ref_key", "key").distinct()
 
@@ -203,8 +214,19 @@ def related_pairs(lineitem):
 WITH w AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier), o AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), m AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_discount > 0.09 GROUP BY 1)
 SELECT w.k, s_name, o.k IS NOT NULL AS by_owner, coalesce(n > 10, false) AS by_docs, coalesce(n, 0) AS docs FROM w LEFT JOIN o ON o.k = w.k LEFT JOIN m ON m.k = w.k""")
 def evidence_join(supplier, lineitem):
-    owner = lineitem.where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_suppkey").alias("k")).distinct().withColumn("by_owner", F.lit(True))
-    docs = lineitem.where("l_discount > 0.09").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return _evidence(supplier, lineitem.where("l_returnflag = 'R' AND l_quantity > 49"), lineitem.where("l_discount > 0.09"))
+
+
+@query("""
+WITH w AS (SELECT s_suppkey AS k, s_name FROM supplier), o AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R'), m AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT w.k, s_name, o.k IS NOT NULL AS by_owner, coalesce(n > 10, false) AS by_docs, coalesce(n, 0) AS docs FROM w LEFT JOIN o ON o.k = w.k LEFT JOIN m ON m.k = w.k""")
+def evidence_join_whole(supplier, lineitem):
+    return _evidence(supplier, lineitem.where("l_returnflag = 'R'"), lineitem)
+
+
+def _evidence(supplier, owned, documents):
+    owner = owned.select(F.col("l_suppkey").alias("k")).distinct().withColumn("by_owner", F.lit(True))
+    docs = documents.groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     rows = supplier.select(F.col("s_suppkey").alias("k"), "s_name").join(owner, "k", "left").join(docs, "k", "left")
     return rows.select("k", "s_name", v.is_true(F.col("by_owner")).alias("by_owner"), v.is_true(F.col("n") > 10).alias("by_docs"), v.or_zero("n").alias("docs"))
 
@@ -383,8 +405,19 @@ def array_predicates(customer, orders):
 SELECT coalesce(a.k, b.k) AS k, coalesce(returned, 0) AS returned, coalesce(open, 0) AS open FROM (SELECT l_suppkey AS k, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 GROUP BY 1) a
 FULL JOIN (SELECT l_suppkey AS k, count(*) AS open FROM lineitem WHERE l_linestatus = 'O' AND l_quantity = 1 GROUP BY 1) b ON a.k = b.k""")
 def full_join_sources(lineitem):
-    a = lineitem.where("l_returnflag = 'R' AND l_quantity = 50").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("returned"))
-    b = lineitem.where("l_linestatus = 'O' AND l_quantity = 1").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("open"))
+    return _two_counts(lineitem.where("l_returnflag = 'R' AND l_quantity = 50"), lineitem.where("l_linestatus = 'O' AND l_quantity = 1"))
+
+
+@query("""
+SELECT coalesce(a.k, b.k) AS k, coalesce(returned, 0) AS returned, coalesce(open, 0) AS open FROM (SELECT l_suppkey AS k, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a
+FULL JOIN (SELECT l_suppkey AS k, count(*) AS open FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b ON a.k = b.k""")
+def full_join_sources_whole(lineitem):
+    return _two_counts(lineitem.where("l_returnflag = 'R'"), lineitem.where("l_linestatus = 'O'"))
+
+
+def _two_counts(returned, opened):
+    a = returned.groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("returned"))
+    b = opened.groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("open"))
     return a.join(b, "k", "full").select("k", v.or_zero("returned").alias("returned"), v.or_zero("open").alias("open"))
 
 

@@ -42,12 +42,12 @@ def built(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parcels.build_parcels(raw, owners), parcels.build_portfolios(raw, owners)
 
 
-def counted(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+def counted(part: DataFrame, lineitem: DataFrame, permitted: str = "l_quantity > 45", violating: str = "l_discount > 0.08") -> DataFrame:
     none = F.lit(None).cast("string")
     both = F.concat(F.lpad(F.floor(F.col("l_partkey") / 2).cast("string"), 10, "0"), F.lit(" | "), F.lpad(F.floor((F.col("l_partkey") + 2) / 2).cast("string"), 10, "0"), F.lit(" |"))
-    permits = lineitem.where("l_quantity > 45").select(both.alias("pin_list"))
+    permits = lineitem.where(permitted).select(both.alias("pin_list"))
     names = part.select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("street_name"))
-    seen = lineitem.where("l_discount > 0.08").join(names, "l_partkey").select((F.col("l_partkey") % 40).cast("string").alias("street_number"), none.alias("street_direction"), "street_name", F.lit("").alias("street_type"), F.when(F.col("l_linestatus") == "O", "Opened").otherwise("CLOSED").alias("violation_status"), "l_tax")
+    seen = lineitem.where(violating).join(names, "l_partkey").select((F.col("l_partkey") % 40).cast("string").alias("street_number"), none.alias("street_direction"), "street_name", F.lit("").alias("street_type"), F.when(F.col("l_linestatus") == "O", "Opened").otherwise("CLOSED").alias("violation_status"), "l_tax")
     return parcels.build_indicators(built(part)[0], permits, seen, seen.where("l_tax > 0.05"))
 
 
@@ -76,6 +76,11 @@ def plan_indicators(part, lineitem):
     return counted(part, lineitem)
 
 
+@query(f"WITH {_COUNTS.replace(' WHERE l_quantity > 45', '').replace(' WHERE l_discount > 0.08', '')} SELECT * FROM counts")
+def plan_indicators_whole(part, lineitem):
+    return counted(part, lineitem, "true", "true")
+
+
 @query(f"""
 WITH {_COUNTS} SELECT pin, address, class AS land_class, permits_total, violations_open, violations_total, requests_311_total FROM keyed JOIN counts USING (pin) WHERE k IN (SELECT k FROM keyed WHERE pin = '00000000000012')""")
 def plan_portfolio_addresses(part, lineitem):

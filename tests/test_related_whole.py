@@ -1,0 +1,14 @@
+from parcelweave import catalog
+
+
+def test_all_rows_count(spark, tmp_path):
+    rows = [(1, 7, 1.0, 0.0, "R", "O"), (2, 7, 50.0, 0.1, "N", "F"), (3, 8, 2.0, 0.0, "N", "O"), (1, 8, 3.0, 0.0, "N", "F")]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"s{k}") for k in (1, 2, 3, 4)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+
+    def got(name):
+        return sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+
+    assert got("related_pairs_whole") == [(1, 2), (1, 3), (2, 1), (3, 1)]
+    assert got("full_join_sources_whole") == [(1, 1, 1), (3, 0, 1)]
+    assert got("evidence_join_whole") == [(1, "s1", True, False, 2), (2, "s2", False, False, 1), (3, "s3", False, False, 1), (4, "s4", False, False, 0)]
