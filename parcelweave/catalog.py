@@ -13,6 +13,7 @@ from parcelweave.functions.geo import hex_bin, hex_centre
 from parcelweave.functions.trigram import set_similarity, trigrams
 from parcelweave.operators import relational as op
 from parcelweave.operators.components import connected_components
+from parcelweave.operators.similar import similar_pairs
 from parcelweave.plans.parcels import portfolios_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,6 +274,16 @@ def trigram_similarity(part):
     return pairs.where("s > 0.3").select("a", "b", F.round(F.col("s").cast("double"), 5).alias("sim"))
 
 
+@query("""
+WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: list_transform(range(1, length(x) + 2), lambda i: substring('  ' || x || ' ', i, 3))))) AS g FROM n)
+SELECT a.p_name AS a, b.p_name AS b, round(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 5) AS sim FROM w a JOIN w b ON a.p_name < b.p_name
+WHERE CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) > 0.3""")
+def trigram_similarity_whole(part):
+    """All pairs over 0.3, whatever their first words."""
+    names = part.select("p_name").distinct().select("p_name", trigrams("p_name").alias("g"))
+    return similar_pairs(names, "p_name", "g", 0.3).select("a", "b", F.round("s", 5).alias("sim"))
+
+
 @query("""
 WITH RECURSIVE sold AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.095), e AS (SELECT DISTINCT x.s AS a, y.s AS b FROM sold x JOIN sold y USING (p)),
 walk(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node)
