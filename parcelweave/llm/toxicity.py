@@ -43,7 +43,7 @@ LEXICON = 4_000
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 #: Least length of a word that is also met with one edit.
-FUZZY = 5
+FUZZY = 4
 #: Share of clean documents with misspellings of a word, over which it is met only as it is.
 MISREAD = 0.0005
 #: Tokens on either side of a match that are its context.
