@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
+import json
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from parcelweave.functions.text import sentence_list, title_case
 from parcelweave.functions.values import or_zero
 from parcelweave.operators.relational import co_members
-from parcelweave.sources.load import csv_text, json_array, point
+from parcelweave.sources.load import csv_lines, json_array, point, result_lines
 
 COUNTS = ("permits_total", "violations_open", "violations_total", "requests_311_total")
 ADDRESS = (
@@ -73,14 +75,17 @@ def address_search(parcels: DataFrame, q: str, limit: int = 5) -> DataFrame:
     return parcels.where(hit).orderBy(F.col("address").asc_nulls_last(), "pin").limit(limit).select("pin", "housenumber", "streetname", "address", "city", "state", "zip")
 
 
-def address_response(parcels: DataFrame, portfolios: DataFrame, indicators: DataFrame, pin: str) -> dict:
-    rows = portfolio_addresses(parcels, portfolios, indicators, pin).collect()
-    return {"geosearch": {"pin": valid_pin(pin)}, "addrs": [r.asDict(recursive=True) for r in rows]}
+def address_response(parcels: DataFrame, portfolios: DataFrame, indicators: DataFrame, pin: str) -> Iterator[str]:
+    """A portfolio's addresses as JSON beside the pin asked for, in pieces."""
+    rows = portfolio_addresses(parcels, portfolios, indicators, pin)
+    return result_lines(rows, "addrs", geosearch=json.dumps({"pin": valid_pin(pin)}))
 
 
-def address_export(parcels: DataFrame, portfolios: DataFrame, indicators: DataFrame, pin: str) -> str | None:
-    """A portfolio's addresses as CSV; ``None`` for an unknown pin."""
-    return csv_text(portfolio_addresses(parcels, portfolios, indicators, pin))
+def address_export(parcels: DataFrame, portfolios: DataFrame, indicators: DataFrame, pin: str) -> Iterator[str] | None:
+    """A portfolio's addresses as CSV, line by line; ``None`` for an unknown pin."""
+    lines = csv_lines(portfolio_addresses(parcels, portfolios, indicators, pin))
+    first = next(lines, None)
+    return None if first is None else itertools.chain([first], lines)
 
 
 def export_portfolios(portfolios: DataFrame, out: io.TextIOBase) -> int:
@@ -111,9 +116,9 @@ def headline(df: DataFrame, name: str, items: str) -> DataFrame:
     return df.select(title_case(name).alias(name), sentence_list(items).alias(items))
 
 
-def respond(call, *args, **kwargs) -> tuple[int, Mapping]:
-    """A call's rows or error as a status and body."""
+def respond(call, *args, **kwargs) -> tuple[int, Iterator[str]]:
+    """A call's rows or error as a status and the body's pieces."""
     try:
-        return 200, {"result": [r.asDict(recursive=True) for r in call(*args, **kwargs).collect()]}
+        return 200, result_lines(call(*args, **kwargs))
     except ValueError as e:
-        return 400, {"error": "Bad request", "validationErrors": str(e)}
+        return 400, iter([json.dumps({"error": "Bad request", "validationErrors": str(e)})])

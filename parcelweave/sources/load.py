@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import json
+import re
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +27,24 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+#: How a quoted empty field is read, to be told from a blank one; no text has this character.
+EMPTY = "\x01"
+
+
+def _strict_csv(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """Whole records: quotes are doubled inside quotes, every row has as many fields as the schema; blank is null, quoted blank is empty."""
+    options = {"header": True, "enforceSchema": True, "nullValue": "", "emptyValue": EMPTY, "multiLine": True, "escape": '"', "mode": "FAILFAST", "columnPruning": False}
+    raw = spark.read.schema(schema).options(**options).csv(path)
+    return raw.select(*[F.when(F.col(c) == EMPTY, "").otherwise(F.col(c)).alias(c) for c in raw.columns])
+
+
 def load_csv(spark: SparkSession, path: str, spec: DatasetSpec) -> DataFrame:
     """A CSV file with all columns of the dataset, as text.
 
     Columns are matched by the header's names: unknown ones are dropped, missing ones are null.
-    Blank unquoted fields are null.  Without a file the table is empty; a header that is empty or
-    shares no name with the dataset is an error.
+    Blank unquoted fields are null, quoted ones are empty; quoted fields may hold line breaks, for
+    which each file is read by one task.  Without a file the table is empty; a header that is empty
+    or shares no name with the dataset is an error, and so is a row of another length.
     """
     if not _exists(spark, path):
         return empty(spark, spec.schema)
@@ -40,7 +55,7 @@ def load_csv(spark: SparkSession, path: str, spec: DatasetSpec) -> DataFrame:
     if not set(names) & set(spec.columns):
         raise ValueError(f"{path} has no column of {spec.name}")
     read = T.StructType([T.StructField(c if c in spec.columns else f"_other_{i}", T.StringType()) for i, c in enumerate(names)])
-    raw = spark.read.schema(read).option("header", True).option("enforceSchema", True).option("nullValue", "").option("emptyValue", "").option("multiLine", False).option("escape", '"').csv(path)
+    raw = _strict_csv(spark, read, path)
     return raw.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in spec.columns])
 
 
@@ -53,7 +68,7 @@ def load_positional(spark: SparkSession, path: str | None, columns: Sequence[str
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if path is None:
         return empty(spark, schema)
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').csv(path)
+    return _strict_csv(spark, schema, path)
 
 
 def point(df: DataFrame, key: str, value) -> DataFrame:
@@ -65,20 +80,86 @@ def points(df: DataFrame, key: str, values: Sequence) -> DataFrame:
     return df.where(F.col(key).isin(list(values)))
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The names of a table's versions, the latest last."""
+    fs, folder = _files(spark, f"{path}/_versions")
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of a table that ``write_table`` wrote."""
+    names = _versions(spark, path)
+    if not names:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{names[-1]}")
+
+
 def write_table(df: DataFrame, path: str, sort_by: str | None = None) -> DataFrame:
-    """Materialise beside the target, then swap, so that readers never see a half-written table."""
-    spark = df.sparkSession
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(sort_by) if sort_by else df).write.parquet(staged)
-    target, ready, past = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, old))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, past)
-    if not fs.rename(ready, target):
-        raise OSError(f"{staged} could not be moved to {path}")
-    if fs.exists(past):
-        fs.delete(past, True)
-    return spark.read.parquet(path)
+    """Write a new version of a table, then name it in ``_versions``, so that readers never see a part of one.
+
+    A version is a folder; it counts from the moment that an empty file with its name is created,
+    which is one step.  A crash before leaves the version of before, and the one replaced stays for
+    readers that have begun; older ones are deleted.
+    """
+    spark, names = df.sparkSession, _versions(df.sparkSession, path)
+    made = f"{int(names[-1].split('-')[0]) + 1 if names else 1:08d}-{uuid.uuid4().hex}"
+    (df.sortWithinPartitions(sort_by) if sort_by else df).write.parquet(f"{path}/{made}")
+    fs, mark = _files(spark, f"{path}/_versions/{made}")
+    fs.create(mark, False).close()
+    for old in names[:-1]:
+        for stale in (f"{path}/_versions/{old}", f"{path}/{old}"):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(stale), True)
+    return spark.read.parquet(f"{path}/{made}")
+
+
+@dataclass(frozen=True)
+class BuildFile:
+    """What a build needs: datasets, further ones of the service, and the steps before and after the portfolios."""
+
+    dependencies: tuple[str, ...] = ()
+    api_dependencies: tuple[str, ...] = ()
+    pre: tuple[str, ...] = ()
+    post: tuple[str, ...] = ()
+
+    @classmethod
+    def read(cls, text: str, pre: str = "wow_pre_sql", post: str = "wow_post_sql") -> BuildFile:
+        """From the lists of a YAML file; comments, other keys and ``[]`` are allowed, nesting is not."""
+        lists: dict[str, list[str]] = {}
+        at = None
+        for raw in text.splitlines():
+            line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+            if not line or line == "---":
+                continue
+            if m := re.fullmatch(r"\s*-\s+(.+)", line):
+                if at is None:
+                    raise ValueError(f"an entry outside a list: {raw}")
+                lists[at].append(m[1].strip("'\" "))
+            elif m := re.fullmatch(r"(\w+):\s*(?:\[(.*)\])?", line):
+                at = m[1]
+                lists[at] = [x.strip("'\" ") for x in (m[2] or "").split(",") if x.strip()]
+            else:
+                raise ValueError(f"no list of names: {raw}")
+        names = [tuple(lists.get(k, ())) for k in ("dependencies", "api_dependencies", pre, post)]
+        return cls(*names)
+
+    def datasets(self, for_api: bool = False) -> tuple[str, ...]:
+        return self.dependencies + (self.api_dependencies if for_api else ())
+
+    def steps(self, which: str = "all") -> tuple[str, ...]:
+        return {"pre": self.pre, "post": self.post, "all": self.pre + self.post}[which]
+
+    def build(self, spark: SparkSession, folder: str, builders: dict[str, tuple[str, Sequence[str], Callable[..., DataFrame]]]) -> dict[str, DataFrame]:
+        """Load the datasets and run the steps; ``builders`` gives a step its table, inputs and builder, steps without one are passed over."""
+        unknown = [d for d in self.dependencies if d not in DATASETS]
+        if unknown:
+            raise ValueError(f"unknown datasets: {', '.join(unknown)}")
+        loaded = {d: load_dataset(spark, folder, d) for d in self.dependencies}
+        return build_all(spark, {builders[s][0]: builders[s][1:] for s in self.steps() if s in builders}, loaded)
 
 
 def build_all(spark: SparkSession, steps: dict[str, tuple[Sequence[str], Callable[..., DataFrame]]], tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -110,19 +191,23 @@ def json_array(df: DataFrame, out: io.TextIOBase, order: str) -> int:
     return n
 
 
-def csv_text(df: DataFrame) -> str | None:
-    """Rows as CSV with a header: lists joined by commas, null as nothing; ``None`` without rows."""
+def csv_lines(df: DataFrame) -> Iterator[str]:
+    """Rows as lines of CSV behind a header, streamed partition by partition: lists joined by commas, null as nothing; no line without rows."""
     cells = [csv_cell(F.col(f"`{f.name}`"), isinstance(f.dataType, T.ArrayType)).alias(f.name) for f in df.schema]
-    rows = df.select(*cells).collect()
-    if not rows:
-        return None
-    out = io.StringIO()
-    writer = csv.writer(out)
-    writer.writerow(df.columns)
-    writer.writerows([tuple(r) for r in rows])
-    return out.getvalue()
-
-
-def result(df: DataFrame) -> dict:
-    """Rows as they are sent to a client."""
-    return {"result": [r.asDict(recursive=True) for r in df.collect()]}
+    def line(values) -> str:
+        out = io.StringIO()
+        csv.writer(out).writerow(values)
+        return out.getvalue()
+
+    for i, row in enumerate(df.select(*cells).toLocalIterator()):
+        if i == 0:
+            yield line(df.columns)
+        yield line(row)
+
+
+def result_lines(df: DataFrame, name: str = "result", **more: str) -> Iterator[str]:
+    """The rows as one JSON object ``{name: [...]}``, streamed partition by partition; ``more`` goes before them."""
+    yield "{" + "".join(f"{json.dumps(k)}: {v}, " for k, v in more.items()) + f"{json.dumps(name)}: ["
+    for i, (line,) in enumerate(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).toLocalIterator()):
+        yield (", " if i else "") + line
+    yield "]}"
