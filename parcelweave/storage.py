@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is absent a temporary folder will do for a local master, as in tests; on a
+    cluster its machines could not see each other's, so that this is an error.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -17,12 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parcelweave-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: survives the loss of any executor."""
+    """A reliable checkpoint: survives the loss of any executor.
+
+    Its files go when nothing refers to it any more, if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``session`` sets it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -32,3 +42,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, when no later plan reads it."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        folder = shared_dir(table.sparkSession).rstrip("/")
+        for file in table.inputFiles():
+            path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getParent().toString().rstrip("/").split(":")[-1].lstrip("/") == folder.split(":")[-1].lstrip("/"):
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+                break
