@@ -1,4 +1,4 @@
-"""Polygons in Python workers: area, centre, containment, simplification and label points.
+"""Polygons: containment and text as expressions; area, centre, simplification and label points in Python workers.
 
 A geometry is a list of polygons; a polygon is its outer ring and its holes; a ring is a closed
 list of points.
@@ -162,11 +162,33 @@ def centre_of(geometry: Column) -> Column:
 
 
 def contains(geometry: Column, x: Column, y: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(rows: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None else any(inside((px, py), p) for p in _plain(g)) for g, px, py in zip(rows, xs, ys, strict=True)], dtype="object")
+    """Whether any polygon holds a point, by the number of sides that a ray crosses; in Spark expressions."""
+    def crosses(a: Column, b: Column) -> Column:
+        at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
+        return ((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < at, F.lit(False))
 
-    return run(F.to_json(geometry), x, y)
+    def crossings(ring: Column) -> Column:
+        inner = F.greatest(F.size(ring) - 1, F.lit(0))
+        sides = F.zip_with(F.slice(ring, F.lit(1), inner), F.slice(ring, F.lit(2), inner), lambda a, b: crosses(a, b).cast("int"))
+        return F.aggregate(sides, F.lit(0), lambda n, c: n + c)
+
+    def odd(polygon: Column) -> Column:
+        return F.aggregate(F.transform(polygon, crossings), F.lit(0), lambda n, c: n + c) % 2 == 1
+
+    return F.exists(geometry, odd)
+
+
+def as_text(geometry: Column) -> Column:
+    """Well-known text: ``POLYGON`` for one polygon, else ``MULTIPOLYGON``; ``EMPTY`` without any."""
+    def ring(points: Column) -> Column:
+        return F.concat(F.lit("("), F.array_join(F.transform(points, lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))), ","), F.lit(")"))
+
+    polygons = F.transform(geometry, lambda polygon: F.concat(F.lit("("), F.array_join(F.transform(polygon, ring), ","), F.lit(")")))
+    return F.when(F.size(geometry) == 0, "POLYGON EMPTY").when(F.size(geometry) == 1, F.concat(F.lit("POLYGON"), F.get(polygons, F.lit(0)))).when(F.size(geometry) > 1, F.concat(F.lit("MULTIPOLYGON("), F.array_join(polygons, ","), F.lit(")")))
+
+
+def point_text(x: Column, y: Column) -> Column:
+    return F.concat(F.lit("POINT("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))
 
 
 def geojson(geometry: Column) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from parcelweave.functions.text import col
 from parcelweave.storage import cut
 
+#: Different values of ranks whose places may be broadcast (about 50 bytes each).
+MOST_VALUES = 200_000
+
 # latest and top rows
 
 
@@ -132,7 +135,10 @@ def ranked_many(df: DataFrame, values: dict[str, Column], null_at: dict[str, Col
     shift = F.create_map(*[F.lit(x) for n, i in every.items() for x in (n, i)])[F.col("rank")]
     total = rows.agg(F.count(F.lit(1)).alias("_all"))  # one row
     places = counts.withColumn("_inside", inside).join(starts, "_chunk").crossJoin(F.broadcast(total)).select("rank", F.col("v").alias("_w"), (F.col("_inside") + F.col("_before") + 1 - shift * F.col("_all")).alias("_place"))
-    placed = long.join(places.withColumnRenamed("rank", "_r"), (F.col("rank") == F.col("_r")) & F.col("v").eqNullSafe(F.col("_w")))
+    places = places.withColumnRenamed("rank", "_r")
+    if counts.limit(MOST_VALUES + 1).count() <= MOST_VALUES:  # else adaptive execution splits the commonest values
+        places = F.broadcast(places)
+    placed = long.join(places, (F.col("rank") == F.col("_r")) & F.col("v").eqNullSafe(F.col("_w")))
     wide = placed.groupBy("_id").pivot("rank", names).agg(F.first("_place"))
     out = rows.drop("_v", *names).join(wide, "_id").drop("_id")
     return out.withColumns({n: F.when(~F.coalesce(c, F.lit(False)), F.col(n)) for n, c in (null_at or {}).items()})

@@ -94,11 +94,12 @@ def district(indicators: DataFrame, areas: Mapping[str, Sequence], top: int = 5,
 
 
 def _cutoff(tracker: DataFrame, key: str) -> DataFrame:
-    return tracker.where(F.col("key") == key).select(F.date_sub(F.col("value").cast("timestamp").cast("date"), 1).alias("last_updated"))
+    """One row: the day before a dataset's last update; null for an unknown one."""
+    return tracker.where(F.col("key") == key).agg(F.date_sub(F.max(F.col("value").cast("timestamp").cast("date")), 1).alias("last_updated"))
 
 
 def _recent(rows: DataFrame, cutoff: DataFrame, date: str, total: str, limit: int = 10) -> DataFrame:
-    dated = rows.crossJoin(F.broadcast(cutoff)).where(F.col(date) > F.date_sub("last_updated", 30))  # a row for the dataset
+    dated = rows.crossJoin(F.broadcast(cutoff)).where(F.col(date) > F.date_sub("last_updated", 30))  # one row
     return with_total(dated, total).orderBy(F.col(date).desc_nulls_first(), "bbl").limit(limit)
 
 

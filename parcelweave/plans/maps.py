@@ -18,6 +18,8 @@ from parcelweave.storage import cut
 EDGES = {zoom: 4800 / 2 ** (zoom - 10) for zoom in range(10, 17)}
 DISTRICTS = {"assem_dist": "assemdist", "coun_dist": "coundist", "stsen_dist": "stsendist", "cong_dist": "congdist"}
 NO_ZIP = ("00083",)
+#: Corners of shapes, counted in each cell of a shape, that may be broadcast (about 16 bytes each).
+MOST_CORNERS = 2_000_000
 
 
 def measures() -> list[Column]:
@@ -83,11 +85,14 @@ def located(points: DataFrame, shapes: DataFrame, key: str, cell: float = 5000.0
 
     ``points`` has ``x`` and ``y``, ``shapes`` has ``key`` and ``geom``, all in one plane.
     """
-    ship(points.sparkSession)
     flat = F.flatten(F.flatten("geom"))
     xs, ys = F.transform(flat, lambda p: F.floor(p["x"] / cell)), F.transform(flat, lambda p: F.floor(p["y"] / cell))
     cells = shapes.withColumn("_cx", F.explode(F.sequence(F.array_min(xs), F.array_max(xs)))).withColumn("_cy", F.explode(F.sequence(F.array_min(ys), F.array_max(ys))))
-    near = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(cells.select(key, "geom", "_cx", "_cy"), ["_cx", "_cy"])
+    cells = cells.select(key, "geom", "_cx", "_cy")
+    corners = cells.agg(F.sum(F.size(F.flatten(F.flatten("geom"))))).first()[0] or 0
+    if corners <= MOST_CORNERS:
+        cells = F.broadcast(cells)
+    near = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(cells, ["_cx", "_cy"])
     return near.where(contains(F.col("geom"), F.col("x"), F.col("y"))).drop("_cx", "_cy", "geom")
 
 
