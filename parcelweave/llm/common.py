@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The separators of words: space and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,20 +17,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def every(df: DataFrame) -> list[Column]:
-    """All columns of a table, whatever their names are."""
-    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+def plain(df: DataFrame) -> DataFrame:
+    """A table with its columns named ``c0``, ``c1`` and so on, so that their own names, in any case, can't clash."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def packed(df: DataFrame, name: str = "_row") -> Column:
-    """A row as one value, so that its columns' names can't clash with others."""
-    return F.struct(*every(df)).alias(name)
+def place(df: DataFrame, column: str) -> str:
+    """The name of a column in ``plain``."""
+    return f"c{df.columns.index(column)}"
+
+
+def take(df: DataFrame, **columns: str) -> DataFrame:
+    """Some columns under new names."""
+    return plain(df).select(*[F.col(place(df, c)).alias(name) for name, c in columns.items()])
+
+
+def carried(df: DataFrame, **columns: str) -> DataFrame:
+    """``_row``, each row as one value, beside some columns under new names; ``uncarried`` undoes it."""
+    whole = F.struct(*[F.col(f"c{i}") for i in range(len(df.columns))]).alias("_row")
+    return plain(df).select(whole, *[F.col(place(df, c)).alias(name) for name, c in columns.items()])
+
+
+def uncarried(rows: DataFrame, df: DataFrame) -> DataFrame:
+    return rows.select("_row.*").toDF(*df.columns)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def content(df: DataFrame, row: str = "_row") -> Column:
+    """A hash of a carried row, but for its maps: an order among rows that agree in all else."""
+    return F.xxhash64(F.lit(0), *[F.col(f"{row}.c{i}") for i, f in enumerate(df.schema) if _hashable(f.dataType)])
 
 
 def map_rows(df: DataFrame, run) -> DataFrame:
     """``mapInArrow`` from and to the columns of a table, whatever their names are."""
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    frame = plain(df)
+    return frame.mapInArrow(run, frame.schema).toDF(*df.columns)
 
 
 def words(text: Column) -> Column:

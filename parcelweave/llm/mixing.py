@@ -1,19 +1,26 @@
 """Mixing sources to target weights: whole copies, then Pareto order sampling (Rosen, 1997).
 
-Each source gets a target in words; a document's expected copies are its source's target over its
-source's size.  The whole part is allocated for certain.  For the rest, documents are ranked by
-their random odds over their inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in this
-order; a document that does not fit in what is left of the target is passed over, and the order is
-gone through to its end, so that no document is left that would fit.  The sample's size is thus fixed
-in words, and inclusion odds differ between sources (and between documents, if ``importance_col`` is given).
+Each source gets a target in words; a document's expected copies are its importance times its
+source's ratio, but at most ``cap``, and the ratio is such that they add up to the target.  The whole
+part is allocated for certain.  For the rest, documents are ranked by their random odds over their
+inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in this order; a document that does not
+fit in what is left of the target is passed over, and the order is gone through to its end, so that
+no document is left that would fit.  The sample's size is thus fixed in words.
+
+A document's importance is that of ``importance_col``, or else grows with the logarithm of its
+length, so that inclusion odds differ within a source.  It is rounded to an eighth of a doubling,
+which leaves a source a few hundred levels to find its ratio by.
 
 ``u`` comes from the MD5 of seed and id, so that reruns and retried tasks agree.  The draw needs
 no sorted source: words are summed over buckets of the rank, and only the bucket that holds the
-first misfit is sorted; behind it, the same is done with the documents of sizes that still fit.  What is left is one row for each source, which a narrow pass applies to the documents.
+first misfit is sorted; behind it, the same is done with the documents of sizes that still fit.  What
+is left is one row for each source, which a narrow pass applies to the documents.
 
 Edge cases: a null source is a source and comes last; null, empty and blank texts have size 0;
-a source without words has target 0; a null id draws by its text; rows that repeat an id share
-its draw; an empty table gives an empty result.
+texts of any length are counted whole; a source without words has target 0; a null id draws by its
+text; rows that repeat an id share its draw and stand or fall together; a document of importance 0,
+null or less is never taken; an empty table gives an empty result; other columns are ignored or, by
+``mix``, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelweave.llm.common import packed, words
+from parcelweave.llm.common import carried, take, uncarried, words
 from parcelweave.storage import materialize
 
 #: Sources whose plan may be broadcast (about 200 bytes each).
@@ -58,18 +65,47 @@ def _rank(u: Column, p: Column) -> Column:
     return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
 
 
+def length_importance(size: Column) -> Column:
+    """From 1 for a word, by a quarter for each doubling."""
+    return 1 + F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) + 1e-9) / 4
+
+
+def _sized(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` of ``_id``, ``_text``, ``_source`` and perhaps ``_given`` with size, draw and importance in place of text and what is given."""
+    size = F.size(words(F.col("_text"))).cast("long")
+    given = F.col("_given").cast("double") if "_given" in rows.columns else length_importance(size)
+    level = F.when(given > 0, F.pow(F.lit(2.0), F.round(F.log2(given) * 8) / 8)).otherwise(F.lit(0.0))
+    return rows.select(*[c for c in rows.columns if c not in ("_text", "_given")], size.alias("_size"), _uniform(F.col("_id"), F.col("_text"), seed).alias("_u"), F.coalesce(level, F.lit(0.0)).alias("_i"))
+
+
+def ratios(levels: DataFrame, cap: int) -> DataFrame:
+    """``(_source, ratio)`` from ``(_source, target, _i, _words)``: the ratio by which ``least(cap, ratio * _i)`` copies of the words make up the target.
+
+    The levels that the cap holds are the largest; the ratio is that of the first level, from the
+    largest on, which it does not hold.
+    """
+    by = Window.partitionBy("_source").orderBy(F.col("_i").desc())
+    before = F.coalesce(F.sum("_words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("_i") * F.col("_words")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    tried = levels.where("_i > 0 AND _words > 0").select("_source", "_i", ((F.col("target") - cap * before) / rest).alias("_r"))
+    free = F.col("_r") * F.col("_i") <= cap * (1 + 1e-9)
+    return tried.groupBy("_source").agg(F.coalesce(F.max_by(F.when(free, F.col("_r")), F.when(free, F.col("_i"))), cap / F.min("_i")).alias("ratio"))
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance_col: str | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes and draws, and the plan: one row for each source.
 
-    The plan has the source's size, target and copies of each document (``ratio``), the runs of
-    draws that are taken if their sizes fit (``_segments``: after a draw, before a draw, at most
-    so many words), and the draws, of at most ``_gap`` words, that close what is left (``_close``).
+    The plan has the source's size, target and ``ratio``, the runs of draws that are taken if
+    their sizes fit (``_segments``: after a draw, before a draw, at most so many words), and the
+    draws, of at most ``_gap`` words, that close what is left (``_close``).
     """
-    importance = F.lit(1.0) if importance_col is None else F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0))
-    sized = materialize(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words(F.col(text_col))).cast("long").alias("_size"), _uniform(F.col(id_col), F.col(text_col), seed).alias("_u"), importance.alias("_i")), "sizes")
-    per = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum(F.col("_size") * F.col("_i")).alias("_weighted"), F.count(F.lit(1)).alias("_rows"))
-    scaled = targets(per, weights, cap, "_source").select("_source", "source_size", "target", "_rows", F.when(F.col("_weighted") > 0, F.col("target") / F.col("_weighted")).otherwise(F.lit(0.0)).alias("ratio"))
-    scaled = materialize(scaled, "targets")
+    names = {"_id": id_col, "_text": text_col, "_source": source_col} | ({"_given": importance_col} if importance_col else {})
+    sized = materialize(_sized(take(docs, **names), seed), "sizes")
+    levels = materialize(sized.groupBy("_source", "_i").agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_n")), "levels")
+    per = levels.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.sum("_n").alias("_rows"))
+    scaled = materialize(targets(per, weights, cap, "_source"), "goals")
+    found = ratios(_with_plan(levels, scaled.select("_source", "target"), inner=True), cap)
+    scaled = materialize(_with_plan(scaled, found).withColumn("ratio", F.coalesce("ratio", F.lit(0.0))), "targets")
     most = scaled.agg(F.max("_rows")).first()[0] or 1
     buckets = 1 << max(4, min(24, (most // BUCKET_ROWS).bit_length() + 1))
 
@@ -110,7 +146,8 @@ def _first_misfit(rows: DataFrame, room: DataFrame) -> DataFrame:
     sums = _with_plan(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words")), room, inner=True)
     sums = sums.withColumn("_upto", F.sum("_words").over(ordered)).where("_upto > _left")
     edge = sums.groupBy("_source").agg(F.min_by(F.struct(F.col("_bucket").alias("_at"), (F.col("_upto") - F.col("_words")).alias("_base"), "_left"), "_bucket").alias("_edge")).select("_source", "_edge.*")
-    inside = _with_plan(rows, materialize(edge, "edges"), inner=True).where(F.col("_bucket") == F.col("_at"))
+    inside = _with_plan(rows, materialize(edge, "edges"), inner=True).where(F.col("_bucket") == F.col("_at")).select("_source", "_left", "_base", "_rank", "_u", "_size")
+    inside = inside.groupBy("_source", "_left", "_base", "_rank", "_u").agg(F.sum("_size").alias("_size"))
     inside = inside.withColumn("_upto", F.col("_base") + F.sum("_size").over(Window.partitionBy("_source").orderBy("_rank", "_u")))
     found = inside.groupBy("_source").agg(F.min(F.when(F.col("_upto") > F.col("_left"), F.struct("_rank", "_u"))).alias("_before"), F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_left"), F.col("_upto"))), F.first("_base")).alias("_filled"))
     return materialize(found, "misfits")
@@ -145,7 +182,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, i
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", importance_col: str | None = None, seed: int = 7) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as it is taken.  No row's text is shuffled."""
     _, sources = plan(docs, weights, cap, id_col, text_col, source_col, importance_col, seed)
-    importance = F.lit(1.0) if importance_col is None else F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0))
-    drawn = docs.select(packed(docs), F.col(source_col).alias("_source"), _uniform(F.col(id_col), F.col(text_col), seed).alias("_u"), F.size(words(F.col(text_col))).cast("long").alias("_size"), importance.alias("_i"))
+    names = {"_id": id_col, "_text": text_col, "_source": source_col} | ({"_given": importance_col} if importance_col else {})
+    drawn = _sized(carried(docs, **names), seed)
     counted = _with_plan(drawn, sources).withColumn("_copies", _copies(cap).cast("int")).where("_copies > 0")
-    return counted.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
+    return uncarried(counted.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))), docs)

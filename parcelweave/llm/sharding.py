@@ -5,22 +5,29 @@ move only into it.  Law ``key``.  Multiplication modulo 2^64 is done on 32- and
 since Spark's own raises on overflow.
 
 Edge cases: a null key falls back to the hash of its text, so that such rows spread; a null text
-has no bytes; repeated rows share a shard and have a slot each; an empty table gives an empty result.
+has no bytes; rows that repeat an id share a shard and have a slot each, ordered by text and
+content; a text of any length is read whole and only measured; an empty table gives an empty
+result; other columns are ignored, or carried as ``payload`` under names that don't clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelweave.llm.common import carried, content, place
 from parcelweave.storage import materialize
 
 #: Of the published algorithm: the multiplier of its generator.
 MULTIPLIER = 2862933555777941757
 LOW = 0xFFFFFFFF
-#: Names of the result; a payload column of such a name gets ``source_`` before it.
-RESERVED = frozenset(("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_part", "_at", "_rows", "_first", "_base"))
+#: Names of the result; a payload column of such a name, in any case, gets ``source_`` before it.
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+#: Ranges that rows alike in all columns are spread over.
+SPREAD = 4096
 
 
 def _times(half: Column, by: int) -> Column:
@@ -56,36 +63,51 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards - 1)), start, step, lambda state: state["shard"].cast("int"))
 
 
-def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = ()) -> DataFrame:
+def _names(id_col: str, payload: Sequence[str]) -> list[str]:
+    """Payload names that clash neither with the result nor with each other, whatever their case."""
+    used, out = {id_col.lower(), *RESULT}, []
+    for name in payload:
+        while name.lower() in used:
+            name = f"source_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", payload: Sequence[str] = ()) -> DataFrame:
     """``(id_col, *payload, size, text_crc32, law, shard, slot, grown_shard)``, one row for each row of ``docs``.
 
     One range exchange brings each shard's rows together in the order of their ids, over as many
-    partitions as the shard needs.  A row's slot is its place in its partition plus the rows of
-    its shard in earlier partitions; those counts are a row for each partition and shard.
+    partitions as the shard needs; rows that repeat an id follow each other by text and content, and
+    such as are alike in all columns are dealt at random, so that no partition has to hold them all.
+    A row's slot is its place in its partition plus the rows of its shard in earlier partitions; those
+    counts are a row for each partition and shard.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
+    own = F.col("_id").cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.when(F.col("_id").isNotNull(), F.xxhash64("_id"))
     key = F.coalesce(own, F.xxhash64(text))
-    kept = {c: f"source_{c}" if c in RESERVED else c for c in payload}
-    rows = docs.select(
-        F.col(id_col),
-        *[F.col(f"`{c}`").alias(name) for c, name in kept.items()],
+    extra = [f"_row.{place(docs, c)}" for c in payload]
+    rows = carried(docs, _id=id_col, _text=text_col).select(
+        "_id",
+        *[F.col(c).alias(f"_p{i}") for i, c in enumerate(extra)],
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.lit("key").alias("law"),
         jump_hash(key, shards).alias("shard"),
         jump_hash(key, shards + 1).alias("grown_shard"),
+        content(docs).alias("_content"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("_spread"),
     )
-    order = ["shard", id_col, "text_crc32", "size"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["shard", "_id", "text_crc32", "size", "_content"]
+    dealt = rows.repartitionByRange(*order, "_spread").sortWithinPartitions(*order).drop("_content", "_spread")
     placed = materialize(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "shards")
     counts = placed.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_rows").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "_part", (before - F.col("_first")).alias("_base"))
     # at most a row for each shard and partition
-    return placed.join(F.broadcast(starts), ["shard", "_part"]).select(
-        id_col, *[F.col(f"`{c}`") for c in kept.values()], "size", "text_crc32", "law", "shard", (F.col("_at") + F.col("_base")).alias("slot"), "grown_shard"
+    made = placed.join(F.broadcast(starts), ["shard", "_part"]).select(
+        "_id", *[f"_p{i}" for i in range(len(extra))], "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_at") + F.col("_base")).alias("slot"), "grown_shard"
     )
+    return made.toDF(id_col, *_names(id_col, payload), *RESULT)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:

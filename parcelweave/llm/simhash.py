@@ -4,9 +4,10 @@
 all choices of blocks that a close pair must share, and verifies candidates inside a bucket by
 popcount.  ``classes`` turns links into components.
 
-Edge cases: a null, empty or blank text has fingerprint zero and is linked like any other; a
-null id keeps its row and takes part in no minimum; repeated rows keep one row each; an empty
-table gives an empty result; other columns are ignored, whatever their names.
+Edge cases: a null, empty or blank text has fingerprint zero and is linked like any other; a text
+of any length is read whole; a null id keeps its row and takes part in no minimum; repeated rows
+keep one row each; rows that share an id and differ in text go by their own texts; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelweave.llm.common import packed
+from parcelweave.llm.common import carried, content, take, uncarried
 from parcelweave.operators.components import connected_components
 from parcelweave.shipping import ship
 from parcelweave.storage import materialize
@@ -60,17 +61,17 @@ def majority(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """``(id_col, fp)`` for every row; ``fp`` is the unsigned fingerprint as a signed long."""
+    """``(id, txt, fp)`` for every row: ``txt`` is a hash of the text, ``fp`` the unsigned fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             found = np.fromiter((majority(shingle_hashes(x.as_py(), width, seed)) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "txt", "fp"])
 
     ship(docs.sparkSession)
-    frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return frame.mapInArrow(run, T.StructType([frame.schema[0], T.StructField("fp", T.LongType())]))
+    frame = take(docs, id=id_col, text=text_col).select("id", F.xxhash64(F.col("text").cast("string")).alias("txt"), F.col("text").cast("string"))
+    return frame.mapInArrow(run, T.StructType([*frame.schema[:2], T.StructField("fp", T.LongType())]))
 
 
 def block_masks(n: int, distance: int = 4, crowd: int = 8) -> list[int]:
@@ -83,6 +84,11 @@ def block_masks(n: int, distance: int = 4, crowd: int = 8) -> list[int]:
     b = distance + 1
     while b < 2 * distance + 2 and n >> (BITS * (b - distance) // b) > crowd:
         b += 1
+    return chosen_blocks(b, distance)
+
+
+def chosen_blocks(b: int, distance: int) -> list[int]:
+    """All choices of ``b - distance`` of ``b`` blocks of bits, as masks."""
     cuts = [BITS * i // b for i in range(b + 1)]
     blocks = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(b)]
     return [sum(x) for x in combinations(blocks, b - distance)]
@@ -132,22 +138,39 @@ def _bucket_links(keys: np.ndarray, marks: np.ndarray, fps: np.ndarray, masks: n
     return all_edges[first == own][:, :2]
 
 
+def _keys(rows: DataFrame, masks: list[int], *before: str) -> DataFrame:
+    """``(key, mark, fp)``: a row for each mask, with a key of ``before`` and what the mask shows of the fingerprint."""
+    own = [F.struct(F.lit(i).alias("at"), F.xxhash64(*before, F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key")) for i, m in enumerate(masks)]
+    return rows.select(F.explode(F.array(*own)).alias("b"), *[c for c in rows.columns if c not in ("key",)])
+
+
+def _sized(rows: DataFrame, over: int, label: str) -> tuple[DataFrame, int]:
+    """The keys of more than ``over`` rows with their ``size``, and their number; broadcast where they are few."""
+    crowded = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > over), label)
+    many = crowded.count()
+    return F.broadcast(crowded) if many <= MOST_BROADCAST else crowded, many
+
+
 def links(distinct: DataFrame, n: int, distance: int = 4, fp: str = "fp", chunk: int = CHUNK) -> DataFrame:
     """``(src, dst)``: enough pairs of fingerprints at most ``distance`` bits apart to connect all that such pairs connect.
 
-    ``distinct`` holds each fingerprint once, ``n`` is their number.  A bucket with over
-    ``chunk`` members is dealt to cells of two of its chunks each, so that every pair of members
-    meets in a cell and no task holds a bucket of unbounded size.
+    ``distinct`` holds each fingerprint once, ``n`` is their number.  Where fingerprints are not
+    spread evenly a bucket may be large: its members get keys of further blocks, as a pair within
+    the distance agrees on half of ``2 * distance`` blocks, too.  What is still over ``chunk`` is dealt
+    to cells of two of its chunks each, so that every pair of members meets in a cell and no task holds
+    a bucket of unbounded size.
     """
     ship(distinct.sparkSession)
-    masks = block_masks(n, distance)
+    masks, further = block_masks(n, distance), chosen_blocks(2 * distance, distance)
     unsigned = np.array(masks, np.uint64)
-    rows = distinct.select(F.col(fp).alias("fp")).select(
-        F.explode(F.array(*[F.struct(F.lit(i).alias("mark"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key")) for i, m in enumerate(masks)])).alias("b"), "fp"
-    ).select("b.key", "b.mark", "fp")
-    crowded = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > chunk), "crowded")
-    if many := crowded.count():
-        small = F.broadcast(crowded) if many <= MOST_BROADCAST else crowded
+    rows = _keys(distinct.select(F.col(fp).alias("fp")), masks).select("b.key", F.col("b.at").alias("mark"), "fp")
+    huge, many = _sized(rows, chunk * len(further), "huge")
+    if many:
+        marked = rows.join(huge, "key", "left")
+        refined = _keys(marked.where("size IS NOT NULL").withColumnRenamed("key", "outer").drop("size"), further, "outer").select("b.key", "mark", "fp")
+        rows = marked.where("size IS NULL").select("key", "mark", "fp").unionByName(refined)
+    small, many = _sized(rows, chunk, "crowded")
+    if many:
         cells = F.ceil(F.col("size") / chunk).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit(7)), cells).cast("int")
         dealt = rows.join(small, "key", "left").withColumn("cells", F.coalesce(cells, F.lit(1))).withColumn("own", F.coalesce(own, F.lit(0)))
@@ -179,29 +202,43 @@ def links(distinct: DataFrame, n: int, distance: int = 4, fp: str = "fp", chunk:
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """``(id_col, fingerprint, component_id)``, one row for each row of ``docs``."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, txt, fp)`` of every row, and ``(fp, component_id, first)`` of every fingerprint: its component's smallest id and ``first_row``."""
     marked = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("first_id"), first_row().alias("first")), "distinct")
     edges = links(distinct, distinct.count(), distance)
     found = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    members = distinct.join(found, "fp")
-    lowest = members.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    owners = distinct.join(members.join(lowest, "root").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id"))
-    return marked.join(owners, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked, owners(distinct, "fp", found)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; of rows that repeat such an id, one.
+def first_row() -> Column:
+    """What the row of a group that stays is known by: the smallest id, then the smallest hash of a text; null ids come last."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "txt"))
 
-    Rows without an id can't be told apart by it and all stay.
-    """
-    return first_rows(docs, classes(docs, id_col, text_col, width, distance), id_col)
+
+def owners(distinct: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """``(key, component_id, first)`` for each row of ``distinct``, from the ``(key, root)`` of those that are linked."""
+    members = distinct.join(found, key)
+    lowest = members.groupBy("root").agg(F.min("first_id").alias("_lowest"), F.min("first").alias("_first"))
+    linked = members.join(lowest, "root").select(key, "_lowest", "_first")
+    rows = distinct.join(linked, key, "left")
+    return rows.select(key, F.when(F.col("_first").isNull(), F.col("first_id")).otherwise(F.col("_lowest")).alias("component_id"), F.coalesce("_first", "first").alias("first"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """``(id_col, fingerprint, component_id)``, one row for each row of ``docs``."""
+    marked, placed = _placed(docs, id_col, text_col, width, distance)
+    return marked.join(placed, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest id, of several texts under it that with the smallest hash."""
+    return first_rows(docs, _placed(docs, id_col, text_col, width, distance)[1], id_col, text_col)
 
 
-def first_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is the ``component_id`` that ``found`` gives it, once for each id, and all without an id."""
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_key")).distinct()
-    rows = docs.select(packed(docs), F.col(id_col).alias("_key"))
-    once = rows.join(keep, "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_at = 1")
-    return once.unionByName(rows.where("_key IS NULL"), allowMissingColumns=True).select("_row.*")
+def first_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are ``first`` in ``placed``, once each; of rows alike in id and text, that of the smallest content."""
+    wanted = placed.select(F.struct(F.col("first.id").alias("id"), F.col("first.txt").alias("txt")).alias("_key")).distinct()
+    rows = carried(docs, id=id_col, text=text_col).select("_row", F.struct("id", F.xxhash64(F.col("text").cast("string")).alias("txt")).alias("_key"), content(docs).alias("_content"))
+    once = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_content"))).where("_at = 1")
+    return uncarried(once.join(wanted, "_key", "left_semi"), docs)

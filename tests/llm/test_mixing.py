@@ -1,3 +1,5 @@
+import hashlib
+import math
 from collections import defaultdict
 
 import pytest
@@ -72,18 +74,58 @@ def test_importance_changes_odds(docs, prose):
     assert high > 1.8 * low
 
 
+def draw(texts, weights=(5, 2, 1), cap=3, seed=7, given=None):
+    """What is taken of each document, by going through each source's documents one by one."""
+    sizes, by = [len((t or "").split()) for t, _ in texts], defaultdict(list)
+    for k, (_, source) in enumerate(texts):
+        by[source].append(k)
+    goal, took = fill({s: sum(sizes[k] for k in own) for s, own in by.items()}, weights, cap), {}
+    for source, own in by.items():
+        worth = {}
+        for k in own:
+            i = (1 + (max(sizes[k], 1).bit_length() - 1) / 4) if given is None else given[k]
+            worth[k] = 2 ** (math.floor(math.log2(i) * 8 + 0.5) / 8)
+        low, high = 0.0, 1e6
+        for _ in range(200):  # the ratio by halving
+            ratio = (low + high) / 2
+            low, high = (ratio, high) if sum(min(cap, ratio * worth[k]) * sizes[k] for k in own) < goal[source] else (low, ratio)
+        copies = {k: min(cap, (low + high) / 2 * worth[k]) for k in own}
+        copies = {k: round(e) if abs(e - round(e)) < 1e-9 else e for k, e in copies.items()}
+        left = goal[source] - sum(int(e) * sizes[k] for k, e in copies.items())
+        took |= {k: int(e) * sizes[k] for k, e in copies.items()}
+        ranks = {}
+        for k, e in copies.items():
+            u = (int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if (p := e - int(e)) > 0:
+                ranks[k] = u / (1 - u) / (p / (1 - p))
+        for k in sorted(ranks, key=ranks.get):
+            if sizes[k] <= left + 1e-6:
+                took[k] += sizes[k]
+                left -= sizes[k]
+    return took
+
+
 @pytest.mark.parametrize("few", [mixing.FEW, 3])
-def test_goes_on_past_what_does_not_fit(docs, prose, monkeypatch, few):
+def test_draw_against_brute_force(docs, prose, monkeypatch, few):
+    """With documents longer than what is left of their source's target."""
     monkeypatch.setattr(mixing, "FEW", few)
-    texts = [(prose(1000 * s + k, 5 + (k * k) % 60), f"s{s:02}") for s in range(12) for k in range(100)] + [(prose(s, 6000), f"s{s:02}") for s in range(12)]
+    texts = [(prose(1000 * s + k, 5 + (k * k) % 60), f"s{s:02}") for s in range(6) for k in range(60)] + [(prose(s, 6000), f"s{s:02}") for s in range(6)]
     frame = docs(*texts)
     rows = mixing.taken(frame).collect()
-    by = defaultdict(list)
-    for r in rows:
-        by[texts[r.doc_id][1]].append(r)
-    for source, own in by.items():
-        target, copies = own[0].target, int(own[0].target / own[0].source_size) + 1
-        gap = target - sum(r.taken for r in own)
-        assert gap >= -1e-6 and all(r.taken == copies * r.size or r.size > gap for r in own), source
+    assert {r.doc_id: r.taken for r in rows} == draw(texts)
     counts = {r.doc_id: r["count"] for r in mixing.mix(frame).groupBy("doc_id").count().collect()}
     assert counts == {r.doc_id: r.taken // r.size for r in rows if r.taken}
+
+
+def test_given_importance_and_repeats(docs, prose):
+    """By a column, with copies that share an id and fall together, and a column named like another in the plan."""
+    texts = [(prose(k, 20 + k % 50), f"s{k % 3}") for k in range(300)]
+    frame = docs(*texts).withColumn("w", F.lit(0.25) + F.col("doc_id") % 7).withColumn("_size", F.lit(1)).withColumn("Target", F.lit("t"))
+    rows = mixing.taken(frame, importance_col="w").collect()
+    assert {r.doc_id: r.taken for r in rows} == draw(texts, given=[0.25 + k % 7 for k in range(300)])
+    twice = mixing.taken(frame.union(frame.where("doc_id < 50")), importance_col="w").collect()
+    took = defaultdict(set)
+    for r in twice:
+        took[r.doc_id].add(r.taken)
+    assert len(twice) == 350 and all(len(t) == 1 for t in took.values())
+    assert mixing.mix(frame).columns == frame.columns

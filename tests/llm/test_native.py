@@ -120,3 +120,24 @@ def test_licenses(docs, prose):
 
 def test_license_bands():
     assert (1 - 3 / 4) ** licenses.bands_needed(3, 1, 0.8, 1e-4) <= 1e-4 and licenses.bands_needed(100, 25, 0.8, 1e-4) < 40
+
+
+def test_shards_keep_clashing_columns(spark):
+    rows = [(k % 7, f"text {k % 5}", "a", k, "b", "c") for k in range(70)] + [(None, None, None, None, None, None)] * 9
+    frame = spark.createDataFrame(rows, "doc_id long, text string, Size string, source_size int, Slot string, _part string")
+    made = sharding.assign(frame, 5, payload=tuple(c for c in frame.columns if c != "doc_id"))
+    assert made.columns == ["doc_id", "text", "source_Size", "source_source_size", "source_Slot", "_part", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = made.collect()
+    assert sorted(tuple(r)[:6] for r in got if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())
+    again = sharding.assign(frame.repartition(6), 5, payload=tuple(c for c in frame.columns if c != "doc_id"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+
+
+def test_shard_of_a_long_text(docs, prose):
+    text = prose(1, 100_000)
+    row = sharding.assign(docs(text)).first()
+    assert (row["size"], row.text_crc32) == (len(text.encode()) + 8, zlib.crc32(text.encode()))

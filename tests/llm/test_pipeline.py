@@ -19,12 +19,13 @@ def sf_dir(spark, prose, tmp_path_factory):
             text += " " + " ".join(r.choices(("blorgfish", "snorkwit", "grumbletoad"), k=3))
         if k % 50 == 7:
             text += "\n" + items[k % 5]
-        rows.append((k, text, "en", f"s{k % 3}", len(text)))
+        rows.append((k, text, "en", f"s{k % 3}", len(text), "x", k, "y", "z"))
         labels.append((k, 1, int(bad)))
-    rows += [(k + 1000, t, "en", "s1", len(t)) for k, t, *_ in rows[1:40:2]]
-    rows += [(2000, None, None, None, None), (2001, "", "en", "s0", 0), (2000, None, None, None, None)]
+    rows += [(k + 1000, t, "en", "s1", len(t), "x", k, "y", "z") for k, t, *_ in rows[1:40:2]]
+    rows += [(2000, None, None, None, None, None, None, None, None), (2001, "", "en", "s0", 0, "", 0, "", ""), (2000, None, None, None, None, None, None, None, None)]
+    rows += [(2002, prose(5000, 30_000), "en", "s1", 9, "x", 1, "y", "z")]
     path = str(tmp_path_factory.mktemp("sf"))
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, Size string, fp int, source_size string, _row string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from parcelweave.llm import simhash
+from parcelweave.llm import neardup, simhash
 
 
 def brute(texts):
@@ -72,10 +72,44 @@ def test_crowded_buckets(spark, chunk):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected))
 
 
-def test_deduplicate(docs, prose):
+@pytest.mark.parametrize("search", [simhash, neardup])
+def test_deduplicate(docs, prose, search):
     frame = docs(prose(1, 80), prose(1, 80), prose(2, 80), None, "", prose(2, 80), prose(3, 50), prose(3, 50), ids=[5, 4, 7, 9, 8, 7, None, None])
-    kept = simhash.deduplicate(frame)
+    kept = search.deduplicate(frame)
     assert kept.columns == frame.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, 4), (False, 7), (False, 8)]
-    assert kept.where("doc_id IS NULL").count() == 2
-    assert simhash.deduplicate(docs()).count() == 0 and simhash.classes(docs()).count() == 0
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 4), (False, 7), (False, 8), (True, None)]
+    assert search.deduplicate(docs()).count() == 0 and search.classes(docs()).count() == 0
+
+
+@pytest.mark.parametrize("search", [simhash, neardup])
+def test_one_id_with_several_texts(spark, prose, search):
+    """No text is lost, whatever the order of the rows."""
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(3, a, "x", 1), (5, a, "y", 2), (5, b, "z", 3), (5, b, "z", 3), (None, b, "w", 4)]
+    wanted = sorted([(3, a, "x", 1), (5, b, "z", 3)])
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        frame = spark.createDataFrame(order, "doc_id int, text string, fp string, _key int").coalesce(1)
+        assert sorted(tuple(r) for r in search.deduplicate(frame).collect()) == wanted
+
+
+def test_long_text(docs, prose):
+    text = prose(1, 60_000)
+    made = simhash.classes(docs(text, text + " end", None)).collect()
+    assert [r.fingerprint for r in made if r.doc_id == 0] == [f"{brute([text])[0]:016x}"] and {r.component_id for r in made if r.doc_id < 2} == {0}
+
+
+def test_huge_buckets_are_refined(spark, monkeypatch):
+    r = random.Random(4)
+    base = 0x1234 << 48
+    marks = sorted({base | r.getrandbits(48) for _ in range(300)})
+    marks += [m ^ 0b1011 << (i % 40) for i, m in enumerate(marks[::8])]
+    marks = sorted(set(marks))
+    frame = spark.createDataFrame([(simhash.signed(m),) for m in marks], "fp long")
+    from parcelweave.operators.components import connected_components
+
+    monkeypatch.setattr(simhash, "block_masks", lambda n, distance=4: simhash.chosen_blocks(5, distance))
+    found = {r.node: r.component for r in connected_components(simhash.links(frame, len(marks), chunk=3)).collect()}
+    expected, groups = components(marks, marks), {}
+    for m, e in zip(marks, expected, strict=True):
+        groups.setdefault(found.get(simhash.signed(m), simhash.signed(m)), set()).add(e)
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected)) < len(marks) - 20
