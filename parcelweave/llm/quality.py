@@ -4,32 +4,54 @@ Every line is judged by itself: punctuation, navigation and boilerplate rules.
 are removed, and a document that loses too many of its words is rejected.  The counts of symbols,
 repeated lines and repeated three-word windows are taken over the whole text.
 
-Edge cases: a null, empty or blank text has no words, no lines and fails by its length; a line
-without words is neither kept nor lost; repeated rows are judged alike; an empty table gives an
-empty result.
+Edge cases: a null, empty or blank text has no words, no lines and fails by its length; a text of
+any length is judged whole; a line without words is neither kept nor lost; repeated rows are judged
+alike; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelweave.llm.common import SPACE, let, words
+from parcelweave.llm.common import SPACE, let, take, words
 
 SYMBOLS = "#*$%&|<>"
 #: Signs that stand between the entries of a menu.
 SEPARATORS = "|»›•·"
-#: Repeated windows up to which their places are looked up one by one; beyond, by sorting.
-FEW = 32
-#: Phrases of page furniture; fixed values.
-BOILERPLATE = (
-    "lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
-    "sign up", "log in", "sign in", "subscribe", "click here", "read more", "share on", "skip to content", "add to cart",
+#: Bits of a place in a text; longer texts are sorted by whole hashes.
+PLACE_BITS = 20
+#: Phrases of page furniture in English, German, Spanish and French; fixed values.
+NOTICES = (
+    "lorem ipsum", "enable javascript", "javascript is disabled", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
+    "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "alle rechte vorbehalten",
+    "política de privacidad", "política de cookies", "términos de uso", "todos los derechos reservados",
+    "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "tous droits réservés",
+)
+#: Phrases that are furniture where little else stands on their line; fixed values.
+LABELS = (
+    "javascript", "sign up", "log in", "sign in", "subscribe", "click here", "read more", "share on", "skip to content", "add to cart",
+    "anmelden", "registrieren", "weiterlesen", "mehr lesen", "hier klicken", "abonnieren", "teilen auf", "zum inhalt springen", "in den warenkorb", "impressum",
+    "iniciar sesión", "registrarse", "suscríbete", "haz clic aquí", "leer más", "compartir en", "saltar al contenido", "añadir al carrito",
+    "se connecter", "s'inscrire", "s'abonner", "cliquez ici", "lire la suite", "partager sur", "aller au contenu", "ajouter au panier",
 )
+#: Words of a line that a label makes furniture, at most; and the letters such a line has at most.
+LABEL_WORDS, LABEL_LETTERS = 8, 160
 #: A sentence ends with one of these, before closing quotes and brackets.
 SENTENCE_END = r"[.!?:;…。！？؟][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 
 
+def whole(phrases: tuple[str, ...]) -> str:
+    """A pattern of phrases that no letter or digit goes on before or after."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(phrases)})(?:[^\p{{L}}\p{{N}}]|$)"
+
+
+def one_of(letters: str) -> str:
+    return f"[{letters}]"
+
+
 def repeated_words(own: Column, width: int = 3) -> Column:
     """How many words lie in ``width``-word windows that occur twice or more; ``own`` is a bound array of words.
 
@@ -42,72 +64,70 @@ def repeated_words(own: Column, width: int = 3) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
         return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(width), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    def sorted_places(h: Column) -> Column:
-        """Where windows are that occur again, by sorting them with their places."""
-        def again(s: Column) -> Column:
-            found = F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False)))
-            return F.sort_array(F.transform(found, lambda x: x["i"]))
+    def again(s: Column, part: Callable[[Column], Column]) -> Column:
+        """Of a sorted array, the elements whose part is that of a neighbour."""
+        return F.filter(s, lambda x, k: F.coalesce(part(x) == part(F.get(s, k - 1)), F.lit(False)) | F.coalesce(part(x) == part(F.get(s, k + 1)), F.lit(False)))
 
-        return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), again)
+    def exact(pairs: Column) -> Column:
+        """Places in order, of pairs of hash and place, whose hash occurs again."""
+        return let(F.sort_array(pairs), lambda s: F.sort_array(F.transform(again(s, lambda x: x["h"]), lambda x: x["i"])))
 
-    def few_places(h: Column, repeated: Column) -> Column:
-        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(repeated, x), i)), lambda i: i.isNotNull())
+    def places(h: Column) -> Column:
+        """Where windows are that occur again.
+
+        The first bits of the hashes with the places behind them are sorted as numbers; only
+        where these bits agree the whole hashes are compared.
+        """
+        near = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("long")))
+        few = let(F.sort_array(near), lambda s: F.transform(again(s, lambda x: F.shiftright(x, PLACE_BITS)), lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")))
+        some = F.transform(few, lambda i: F.struct(F.get(h, i).alias("h"), i.alias("i")))
+        return exact(F.when(F.size(h) < 1 << PLACE_BITS, some).otherwise(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
 
     def counted(h: Column) -> Column:
-        repeated = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (x == F.get(s, k - 1)))))
-        return let(repeated, lambda r: F.when(F.size(r) == 0, F.lit(0)).when(F.size(r) <= FEW, covered(few_places(h, r))).otherwise(covered(sorted_places(h))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(places(h)))
 
     return F.when(F.size(own) > width, let(windows, counted)).otherwise(F.lit(0)).cast("long")
 
 
-def without(text: Column, letters: str) -> Column:
-    for c in letters:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
-
-
-def any_of(text: Column, parts) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | F.contains(text, F.lit(p))
-    return out
+def any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a text contains any of the parts; a loop over them, since a term for each would make a method too large to be compiled."""
+    return let(text, lambda t: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(t, p)))
 
 
 def flags_of(text: Column) -> Column:
     """What a text has none of, none of its lines breaks a rule about."""
-    return F.struct(any_of(text, SYMBOLS).alias("symbols"), any_of(text, SEPARATORS).alias("separators"), any_of(F.lower(text), BOILERPLATE).alias("boilerplate"))
+    return F.struct(text.rlike(one_of(SYMBOLS)).alias("symbols"), text.rlike(one_of(SEPARATORS)).alias("separators"), any_of(F.lower(text), NOTICES).alias("notices"))
 
 
 def line_failed(line: Column, flags: Column, max_symbols: float = 0.1, min_words: int = 3) -> Column:
     """Whether a line with words breaks a rule; ``flags`` are those of its text, and spare most lines most rules."""
-    symbols = flags["symbols"] & ((F.length(line) - F.length(without(line, SYMBOLS))) > F.length(F.regexp_replace(line, SPACE, "")) * max_symbols)
+    symbols = flags["symbols"] & (F.regexp_count(line, F.lit(one_of(SYMBOLS))) > F.length(F.regexp_replace(line, SPACE, "")) * max_symbols)
     navigation = flags["separators"] & line.rlike(rf"(?:[{SEPARATORS}][\x20\x09-\x0D]*[^{SEPARATORS}]{{1,40}}){{3,}}")
-    shouting = (F.upper(line) == line) & (F.lower(line) != line) & (F.length(F.regexp_replace(line, r"[^\p{L}]", "")) >= 10)
-    boilerplate = flags["boilerplate"] & any_of(F.lower(line), BOILERPLATE)
-    open_end = ~line.rlike(SENTENCE_END) & (F.size(F.split(line, SPACE)) >= min_words)
-    return symbols | navigation | shouting | boilerplate | open_end
+    shouting = ~line.rlike("[a-z]") & (F.upper(line) == line) & (F.lower(line) != line) & (F.length(F.regexp_replace(line, r"[^\p{L}]", "")) >= 10)
+    notice = flags["notices"] & F.lower(line).rlike(whole(NOTICES))
+    label = (F.length(line) <= LABEL_LETTERS) & F.lower(line).rlike(whole(LABELS)) & (F.size(F.array_remove(F.split(line, SPACE), "")) <= LABEL_WORDS)
+    open_end = ~line.rlike(SENTENCE_END) & (F.size(F.array_remove(F.split(line, SPACE), "")) >= min_words)
+    return symbols | navigation | shouting | notice | label | open_end
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeats: int = 50, max_lost: float = 0.5) -> DataFrame:
     """``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words, clean_text)``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select(F.col(id_col), text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"), flags_of(text).alias("_flags"))
-
-    def count(line: Column) -> Column:
-        return F.size(F.array_remove(F.split(line, SPACE), ""))
-
-    good = F.filter("_lines", lambda x: ~line_failed(x, F.col("_flags")))
-    counted = counted.select(
-        id_col,
+    read = take(docs, id=id_col, text=text_col).select("id", text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"), flags_of(text).alias("_flags"))
+    counted = read.select(
+        "id",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_text", SPACE, "")).cast("long").alias("word_chars"),
-        F.when(F.col("_flags.symbols"), F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).otherwise(0).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.when(F.col("_flags.symbols"), F.regexp_count("_text", F.lit(one_of(SYMBOLS)))).otherwise(0).cast("long").alias("n_symbols"),
+        let(F.col("_lines"), lambda own: F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
         let(F.col("_words"), lambda own: repeated_words(own)).alias("n_repeat_words"),
-        good.alias("_good"),
+        F.transform("_lines", lambda x: F.struct(x.alias("line"), line_failed(x, F.col("_flags")).alias("failed"))).alias("_judged"),
     )
-    counted = counted.withColumn("n_lost_words", F.col("n_words") - F.aggregate("_good", F.lit(0).cast("long"), lambda n, x: n + count(x)))
+    # words are counted in the lines that go, which are few
+    lost_words = F.aggregate(F.filter("_judged", lambda x: x["failed"]), F.lit(0).cast("long"), lambda n, x: n + F.size(F.array_remove(F.split(x["line"], SPACE), "")))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeats)
     lost = F.col("n_lost_words") > F.col("n_words") * max_lost
-    return counted.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~lost).alias("kept"), "n_lost_words", F.array_join("_good", "\n").alias("clean_text"))
+    clean = F.array_join(F.transform(F.filter("_judged", lambda x: ~x["failed"]), lambda x: x["line"]), "\n")
+    counted = counted.withColumn("n_lost_words", lost_words)
+    return counted.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~lost).alias("kept"), "n_lost_words", clean.alias("clean_text"))

@@ -87,9 +87,12 @@ CAST(sum(length(escaped) + CASE WHEN before IS NOT DISTINCT FROM role THEN 10 EL
 
 
 _SPACE = r"[ \t\n\x0B\f\r]"
+_QUOTED = {k: quality.whole(p).replace("'", "''") for k, p in (("notices", quality.NOTICES), ("labels", quality.LABELS))}
+_LINE_WORDS = rf"len(list_filter(string_split_regex(x, '{_SPACE}+'), lambda y: y <> ''))"
 _FAILED = rf"""length(x) - length(translate(x, '{quality.SYMBOLS}', '')) > length(regexp_replace(x, '{_SPACE}+', '', 'g')) * 0.1
   OR regexp_matches(x, '(?:[{quality.SEPARATORS}]{_SPACE}*[^{quality.SEPARATORS}]{{1,40}}){{3,}}') OR (upper(x) = x AND lower(x) <> x AND length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= 10)
-  OR {" OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)} OR (NOT regexp_matches(x, '[.!?:;…。！？؟]["''”’»)\]]*(?:{_SPACE}|$)') AND len(string_split_regex(x, '{_SPACE}+')) >= 3)"""
+  OR regexp_matches(lower(x), '{_QUOTED["notices"]}') OR (length(x) <= {quality.LABEL_LETTERS} AND {_LINE_WORDS} <= {quality.LABEL_WORDS} AND regexp_matches(lower(x), '{_QUOTED["labels"]}'))
+  OR (NOT regexp_matches(x, '[.!?:;…。！？؟]["''”’»)\]]*(?:{_SPACE}|$)') AND {_LINE_WORDS} >= 3)"""
 
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM documents),

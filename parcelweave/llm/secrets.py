@@ -4,18 +4,26 @@ Base kinds are runs of known shape: ``assign`` (a credential's name and its valu
 (an access key's prefix) and ``hex``.  The method adds ``credential``: a value beside any word
 for a credential whose cheapest explanation costs an attacker too many guesses; in quotation marks
 the value ends at the closing mark, without them at a blank or a delimiter.  The cost is
-that of the best segmentation of the whole value into common words, dates, repeats, keyboard
-walks and brute-force spans, by dynamic programming from left to right; a long value takes time
-in proportion to its length.
+that of the cheapest of all segmentations of the whole value into words of a ranked dictionary,
+dates, repeats, keyboard walks and brute-force spans, by dynamic programming from left to right; a
+value of any length takes time in proportion to its length.
 
-Edge cases: a null or empty text has no spans; offsets are code points, ends exclusive; repeated
-rows are searched alike; an empty table gives an empty result; other columns are ignored.
+The dictionary is a list of common passwords followed by the words of public tokenizers'
+vocabularies, which stand in the order of their frequency (``VOCABULARIES``, a parameter); where
+these files are missing it is the list alone.
+
+Edge cases: a null or empty text has no spans; a text of any length is searched whole; offsets are
+code points, ends exclusive; repeated rows are searched alike; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import os
 import re
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -43,10 +51,8 @@ COMMON = (
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("@4301!$5+7", "aaeoiissTt".lower())
 DATE = re.compile(r"(?:19|20)[0-9]{2}(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12][0-9]|3[01]))?)?|(?:0[1-9]|[12][0-9]|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?[0-9]{2}")
-#: Steps of a walk or repeat that are tried as separate ends before the longest.
-STEPS = 24
-#: Log10 of the guesses for joining two segments.
-JOIN = math.log10(2)
+#: Log10 of the guesses for joining two segments, and for a date.
+JOIN, DATES = math.log10(2), math.log10(365 * 120)
 
 
 def _neighbours() -> frozenset[tuple[str, str]]:
@@ -67,89 +73,146 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
+#: Files of byte-level vocabularies in the order of their ranks: a token in base 64 and a rank on each line.
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Letters of a vocabulary's word, at least; shorter ones are mostly parts of words.
+WORD_LETTERS = 3
+#: Longest block of a repeat.
+PERIODS = 8
+
+
+def _tokens(path: str) -> Iterator[str]:
+    with open(path, "rb") as lines:
+        for line in lines:
+            token = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+            if token[0] == " " and len(token) > WORD_LETTERS and token[1:].isalpha():
+                yield token[1:].lower()
+
+
+def ranked_words(vocabularies: Sequence[str] = VOCABULARIES, first: Sequence[str] = COMMON) -> tuple[str, ...]:
+    """``first`` and then the whole words of the vocabularies that exist, the commonest first, each once."""
+    lists = [list(_tokens(path)) for path in vocabularies if os.path.exists(path)]
+    mixed = (own[i] for i in range(max(map(len, lists), default=0)) for own in lists if i < len(own))
+    return tuple(dict.fromkeys((*first, *mixed)))
+
+
+class _Run:
+    """The cheapest of the segments that begin inside one run and end at a place: ``worth`` of a beginning plus the logarithm of the length.
+
+    Of two beginnings the earlier one gains on the later as the run goes on: once it is as cheap and
+    its worth no more, the later one is given up; and the earlier one, when a later one of no more worth
+    is long enough.  So few are kept, and none that could still be best.
+    """
+
+    def __init__(self):
+        self.kept: list[tuple[int, float]] = []
+
+    def add(self, at: int, worth: float) -> None:
+        self.kept.append((at, worth))
+
+    def best(self, end: int, unit: int, least: int) -> float:
+        if len(self.kept) == 1:
+            at, worth = self.kept[0]
+            return worth + math.log10((end - at) // unit) if end - at >= least * unit else math.inf
+        costs = [(at, worth, worth + math.log10((end - at) // unit)) for at, worth in self.kept]
+        kept = []
+        for at, worth, cost in costs:
+            for other, w, c in costs:
+                if w <= worth and (other < at and c <= cost or other > at and end - other >= least * unit):
+                    break
+            else:
+                kept.append((at, worth))
+        self.kept = kept
+        return min((c for at, _, c in costs if end - at >= least * unit), default=math.inf)
+
+
 class Guesser:
     """Log10 of the guesses that the cheapest segmentation of a value needs."""
 
-    def __init__(self, dictionary: tuple[str, ...] = COMMON):
-        self.cost = {w: math.log10(i + 2) for i, w in enumerate(dictionary)}
+    def __init__(self, dictionary: Sequence[str] = COMMON):
+        self.cost: dict[str, float] = {}
+        for rank, word in enumerate(dictionary):
+            self.cost.setdefault(word, math.log10(rank + 2))
         self.longest = max(map(len, self.cost), default=0)
 
-    def _segments(self, value: str, plain: str, leet: str, at: int):
-        """Ends and costs of the segments that start at ``at``, but for brute force."""
-        for end in range(at + 2, min(len(value), at + self.longest) + 1):
-            word, changed = plain[at:end], leet[at:end]
-            own = min(self.cost.get(word, 99.0), self.cost.get(changed, 99.0) + 0.6)
+    def _words(self, value: str, forms: tuple[str, str, str], upper: list[int], end: int) -> Iterator[tuple[int, float]]:
+        """Beginnings and costs of the words that end at a place: as they are, with signs for letters, or turned around."""
+        plain, leet, turned = forms
+        n = len(value)
+        for at in range(max(0, end - self.longest), end - 1):
+            own = min(self.cost.get(plain[at:end], 99.0), self.cost.get(leet[at:end], 99.0) + 0.6, self.cost.get(turned[n - end : n - at], 99.0) + 0.3)
             if own < 99:
-                capitals = sum(c.isupper() for c in value[at:end])
-                yield end, own + (0.3 if capitals in (0, 1, end - at) else math.log10(math.comb(end - at, capitals) + 1)) * bool(capitals)
-            if (turned := self.cost.get(word[::-1])) is not None:
-                yield end, turned + 0.3
-        if m := DATE.match(value, at):
-            yield m.end(), math.log10(365 * 120)
-        for ends, cost in ((self._run(plain, at, lambda a, b: a == b), 0.0), (self._run(plain, at, lambda a, b: (a, b) in NEXT), 1.0)):
-            for end in ends:
-                yield end, cost + math.log10(_alphabet(value[at]) * (end - at))
-        for period in range(2, 9):
-            if plain[at : at + period] == plain[at + period : at + 2 * period] and at + 2 * period <= len(plain):
-                end = at + 2 * period
-                while plain[end : end + period] == plain[at : at + period]:
-                    end += period
-                yield end, sum(math.log10(_alphabet(c)) for c in value[at : at + period]) + math.log10((end - at) // period)
-
-    @staticmethod
-    def _run(plain: str, at: int, follows) -> list[int]:
-        end = at + 1
-        while end < len(plain) and follows(plain[end - 1], plain[end]):
-            end += 1
-        if end - at < 3:
-            return []
-        return sorted({*range(at + 3, min(end, at + STEPS) + 1), end})
+                capitals = upper[end] - upper[at]
+                yield at, own + (0.3 if capitals in (1, end - at) else math.log10(math.comb(end - at, capitals) + 1)) * bool(capitals)
 
     def log10(self, value: str) -> float:
         plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-        leet = plain.translate(LEET)
-        best = [0.0] + [math.inf] * len(value)
-        skip_to = 0
-        for at, c in enumerate(value):
-            best[at + 1] = min(best[at + 1], best[at] + math.log10(_alphabet(c)))
-            if at < skip_to:  # inside a very long run of one character: its first position has covered it
-                continue
-            for end, cost in self._segments(value, plain, leet, at):
-                best[end] = min(best[end], best[at] + cost + JOIN)
-                if end - at > 64:
-                    skip_to = end - 32
+        forms = plain, plain.translate(LEET), plain[::-1]
+        upper, brute = [0], [0.0]  # capitals, and guesses by brute force, before each place
+        for c in value:
+            upper.append(upper[-1] + c.isupper())
+            brute.append(brute[-1] + math.log10(_alphabet(c)))
+        best = [0.0]
+        repeats = [[_Run() for _ in range(p)] for p in range(PERIODS + 1)]
+        going = [False] * (PERIODS + 1)
+        walk, walking = _Run(), False
+        for end in range(1, len(value) + 1):
+            found = best[end - 1] + brute[end] - brute[end - 1]
+            for at, cost in self._words(value, forms, upper, end):
+                found = min(found, best[at] + cost + JOIN)
+            if value[end - 1].isdigit():
+                for size in range(4, 11):
+                    if size <= end and DATE.fullmatch(value, end - size, end):
+                        found = min(found, best[end - size] + DATES + JOIN)
+            for p in range(1, min(PERIODS, end - 1) + 1):
+                if plain[end - 1] != plain[end - 1 - p]:
+                    if going[p]:
+                        repeats[p], going[p] = [_Run() for _ in range(p)], False
+                    continue
+                for at in (end - p,) if going[p] else (end - p - 1, end - p):
+                    repeats[p][at % p].add(at, best[at] + brute[at + p] - brute[at])
+                going[p] = True
+                found = min(found, repeats[p][end % p].best(end, p, 3 if p == 1 else 2) + JOIN)
+            if end > 1 and (plain[end - 2], plain[end - 1]) in NEXT:
+                walk = walk if walking else _Run()
+                walking = True
+                walk.add(end - 2, best[end - 2] + 1.0 + brute[end - 1] - brute[end - 2])
+                found = min(found, walk.best(end, 1, 3) + JOIN)
+            else:
+                walking = False
+            best.append(found)
         return best[-1]
 
 
-def finder(threshold: float = 9.0, dictionary: tuple[str, ...] = COMMON):
-    """A function from a text to its spans."""
-    guesser = Guesser(dictionary)
+class Finder:
+    """From a text to its spans."""
+
+    def __init__(self, threshold: float = 9.0, dictionary: Sequence[str] = COMMON):
+        self.threshold, self.guesser = threshold, Guesser(dictionary)
 
-    def credentials(pattern: re.Pattern, text: str) -> list[Span]:
-        return [("credential", *m.span(m.lastindex)) for m in pattern.finditer(text) if guesser.log10(m[m.lastindex].rstrip(".")) >= threshold]
+    def credentials(self, pattern: re.Pattern, text: str) -> list[Span]:
+        return [("credential", *m.span(m.lastindex)) for m in pattern.finditer(text) if self.guesser.log10(m[m.lastindex].rstrip(".")) >= self.threshold]
 
-    def spans_of(text: str) -> list[Span]:
+    def __call__(self, text: str) -> list[Span]:
         out: list[Span] = [("access", *m.span()) for m in ACCESS.finditer(text)]
         out += [("hex", *m.span()) for m in HEX.finditer(text)]
         if ":" in text or "=" in text:
             out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-            out += credentials(CONTEXT, text)
+            out += self.credentials(CONTEXT, text)
         if "--" in text or "bearer" in text.lower():
-            out += credentials(BLANK, text)
+            out += self.credentials(BLANK, text)
         return out
 
-    return spans_of
-
 
 def order(span: Span) -> tuple:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 9.0, dictionary: tuple[str, ...] = COMMON) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 9.0, dictionary: Sequence[str] | None = None) -> DataFrame:
     """``(id_col, n_assign, n_access, n_hex, base_sha256, spans)``, one row for each row of ``docs``."""
-    return find(docs, finder(threshold, dictionary), BASE, order, id_col, text_col)
+    return find(docs, Finder(threshold, ranked_words() if dictionary is None else dictionary), BASE, order, id_col, text_col)
 
 
-def masked(docs: DataFrame, text_col: str = "text", threshold: float = 9.0, dictionary: tuple[str, ...] = COMMON) -> DataFrame:
+def masked(docs: DataFrame, text_col: str = "text", threshold: float = 9.0, dictionary: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with secrets replaced by the names of their kinds."""
-    return redact(docs, finder(threshold, dictionary), text_col)
+    return redact(docs, Finder(threshold, ranked_words() if dictionary is None else dictionary), text_col)

@@ -39,7 +39,7 @@ def test_pii_base(t):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
 def test_secret_base(t):
-    assert [s for s in sorted(secrets.finder()(t), key=secrets.order) if s[0] in secrets.BASE] == base_secrets(t)
+    assert [s for s in sorted(secrets.Finder()(t), key=secrets.order) if s[0] in secrets.BASE] == base_secrets(t)
 
 
 def test_added_kinds():
@@ -47,8 +47,12 @@ def test_added_kinds():
     found = {(k, text[a:b]) for k, a, b in pii.spans_of(text)}
     assert {("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"), ("account", "12345678"), ("login", "http://bob:pw@host.example"), ("login", "https://10.0.0.1:80")} <= found
     assert {k for k, _, _ in pii.spans_of("The number of an account is 7, and the iban is secret.")} == set()
+    text = "Social Security 123-45-6789; SSN Number: 987-65-4321. Customer ID: 12345678, Https://10.0.0.1, Iban no de89370400440532013000 and x. İİ CUSTOMER id: 87654321"
+    found = [(k, text[a:b]) for k, a, b in sorted(pii.spans_of(text), key=pii.order) if k not in pii.BASE]
+    assert found == [("login", "Https://10.0.0.1"), ("iban", "de89370400440532013000"), ("ssn", "123-45-6789"), ("ssn", "987-65-4321"), ("account", "12345678"), ("account", "87654321")]
+    assert pii.spans_of("classn 123-45-6789") == [] and {k for k, *_ in pii.spans_of("iban DE89 3704 0044 0532 0130 01")} <= set(pii.BASE)
     text = 'passphrase: "xK9#mQ2$vL7!" and password = changeme and pwd=qwertyuiop'
-    assert [(k, text[a:b]) for k, a, b in secrets.finder()(text)] == [("credential", "xK9#mQ2$vL7!")]
+    assert [(k, text[a:b]) for k, a, b in secrets.Finder()(text)] == [("credential", "xK9#mQ2$vL7!")]
 
 
 def test_guesses():
@@ -61,7 +65,7 @@ def test_guesses():
 
 def test_tables(docs, prose):
     texts = [None, "", "é me@x.example 4111 1111 1111 1111", prose(1, 100_000) + " token=abcdefghijkl me@x.example", "x"]
-    for op, finder, order, base in ((pii.scan, pii.spans_of, pii.order, pii.BASE), (secrets.scan, secrets.finder(), secrets.order, secrets.BASE)):
+    for op, finder, order, base in ((pii.scan, pii.spans_of, pii.order, pii.BASE), (secrets.scan, secrets.Finder(dictionary=secrets.ranked_words()), secrets.order, secrets.BASE)):
         rows = {r.doc_id: r for r in op(docs(*texts)).collect()}
         for i, t in enumerate(texts):
             spans = sorted(finder(t or ""), key=order)
