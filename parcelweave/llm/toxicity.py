@@ -4,42 +4,47 @@
 of what a document's matches amount to.  A token matches a word of the lexicon exactly, a stem by
 its beginning, or a word with one edit: the Levenshtein automaton of the word is run along the
 lexicon's trie, its subset construction kept as it is discovered, so that most tokens die within
-a few characters.  A match inside quotation marks, or with a word of reporting near it, counts as
-a mention and weighs less than abuse.
+a few characters.  A match between quotation marks that belong together on its line, or with a word
+of reporting near it, counts as a mention and weighs less than abuse.
 
-Labels, language, source and id are no inputs of a score.  Rows whose crc32 of the id's text is
-0 modulo 5 are held out of all learning.  At most ``SAMPLE`` other labelled rows are learnt from,
-those with the smallest hash of the id; scores cover all rows and whole texts.
+A term enters the lexicon if its G-squared is one that chance gives only a few of the terms tried, so
+that less evidence does for a small sample; all such terms enter.  What a match is worth is learnt by
+cross-fitting: a document's matches are measured with the lexicon of the other folds, so that terms
+which are toxic by chance are seen to fail.
 
-Edge cases: a null, empty or blank text has no tokens and gets the score of no match; rows whose
-label is null or whose id is null are not learnt from; repeated rows score alike; without a row
-of either class every document gets the share of toxic labels seen, or 0; an empty table gives
-an empty result.
+Labels, language, source and id are no inputs of a score.  Rows whose crc32 of the id's text is
+0 modulo 5 are held out of all learning.  At most ``SAMPLE`` other labelled ids are learnt from,
+those with the smallest hash, each with one of its texts; scores cover all rows and whole texts.
+
+Edge cases: a null, empty or blank text has no tokens and gets the score of no match; a text of any
+length is scored whole; rows whose label is null or whose id is null are not learnt from; an id with
+several labels is toxic if one is, and of several texts gives that with the smallest hash; repeated rows
+score alike; without a row of either class every document gets the share of toxic labels seen, or 0;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parcelweave.llm.common import map_rows
+from parcelweave.llm.common import map_rows, take
 from parcelweave.shipping import ship
 from parcelweave.storage import materialize
 
 #: Labelled documents learnt from, at most.
 SAMPLE = 12_000
-#: Words and stems in the lexicon, at most.
-LEXICON = 4_000
 #: Lengths of stems.
 STEMS = (4, 5, 6)
 #: Least length of a word that is also met with one edit.
@@ -48,11 +53,15 @@ FUZZY = 4
 MISREAD = 0.0005
 #: Tokens on either side of a match that are its context.
 WINDOW = 6
-#: Least evidence of a term for its class: G-squared of its two-by-two table.
-EVIDENCE = 24.0
+#: Toxic documents of the sample that a term is in, at least, and how much likelier it is there than elsewhere (a logarithm).
+SEEN, ODDS = 3, 2.0
+#: Terms expected in the lexicon by chance.
+BY_CHANCE = 0.5
+#: Parts of the sample for cross-fitting.
+FOLDS = 4
 #: Tokens without a match, and states of the automaton, that a worker keeps.
 TOKENS_KEPT, KEPT = 1_000_000, 200_000
-#: Weights before any document is seen: a constant, then as in ``features``.
+#: Weights before any document is seen: a constant, then those of ``features``.
 PRIOR = (-4.0, 1.0, 0.3, 0.3, 0.5, 0.0)
 #: What is left of a match's weight when it is a mention, and when it is misspelt.
 MENTION, MISSPELT = 0.25, 0.85
@@ -61,10 +70,32 @@ REPORTING = frozenset(
     "said says called calls quote quoted word term phrase meaning sagte sagt genannt wort dit disait mot appelé dijo dice palabra llamó".split()
 )
 NOTHING = (0.0, "")
-QUOTES = "\"“”„«»‘’'"
+#: Marks that open a quotation, each with those that close it.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "'": "'’", "‘": "’"}
+MARK = re.compile(r"""["“”„«»'‘’\n]""")
 TOKEN = re.compile(r"[^\W_]+")
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations begin and end, in order and without overlaps: on one line, the marks not inside a word."""
+    out: list[tuple[int, int]] = []
+    waiting: dict[str, int] = {}  # opened, and not closed yet
+    for m in MARK.finditer(text):
+        at, mark = m.start(), m[0]
+        if mark == "\n":
+            waiting.clear()
+            continue
+        before, after = text[at - 1] if at else " ", text[at + 1] if at + 1 < len(text) else " "
+        opened = next((o for o in waiting if mark in QUOTES[o]), None)
+        plain = mark in "\"'’"  # which side it belongs to shows in the blanks beside it
+        if opened is not None and not (plain and before.isspace()) and not after.isalnum():
+            out.append((waiting[opened], at))
+            waiting.clear()
+        elif mark in QUOTES and not before.isalnum() and not (plain and after.isspace()):
+            waiting.setdefault(mark, at)
+    return out
+
+
 def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
@@ -135,13 +166,15 @@ class Trie:
 
 @dataclass
 class Model:
-    """What is sent to the executors; its size is bounded by ``LEXICON``."""
+    """What is sent to the executors; its size is bounded by the sample's."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     misspelt: frozenset[str] = frozenset()
     weights: list[float] | None = None
     share: float = 0.0
+    #: Matches by chance for each token of a clean text.
+    rate: float = 0.0
 
     @cached_property
     def _trie(self) -> Trie:
@@ -176,24 +209,28 @@ class Model:
             clean.clear()
         return found
 
-    def features(self, text: str | None) -> list[float]:
-        """Of a document's matches: their weights, largest weight, share and kinds; mentions."""
+    def measures(self, text: str | None) -> list[float]:
+        """Of a document's matches: their weights, largest weight, parts and kinds; mentions; their number; the number of tokens."""
         tokens = tokens_of(text)
         met = self.matches(tokens)
         if not met:
-            return [0.0] * 5
+            return [0.0] * 6 + [float(len(tokens))]
+        matched = 0
         abuse = most = mentions = hits = 0.0
         kinds: dict[str, float] = {}
         low = text.lower()
         places = [m.span() for m in TOKEN.finditer(low)]
+        quoted = quotations(low)
         for i, t in enumerate(tokens):
             if t not in met:
                 continue
+            matched += 1
             weight, exact = met[t]
             a, b = places[i]
+            inside = bisect(quoted, (a, b)) - 1
             near = set(tokens[max(0, i - WINDOW) : i + WINDOW + 1])
             part = 1.0
-            if near & REPORTING or a and low[a - 1] in QUOTES and any(c in QUOTES for c in low[b : b + 40]):
+            if near & REPORTING or inside >= 0 and b <= quoted[inside][1]:
                 mentions += 1
                 part = MENTION
             if not exact:
@@ -202,65 +239,102 @@ class Model:
             hits += part
             most = max(most, weight * part)
             kinds[t] = max(part, kinds.get(t, 0.0))
-        return [math.log1p(abuse), most, math.log1p(1000 * hits / len(tokens)), math.log1p(sum(kinds.values())), math.log1p(mentions)]
+        return [abuse, most, hits, sum(kinds.values()), mentions, float(matched), float(len(tokens))]
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return self.share
-        x = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], self.features(text), strict=True))
+        x = self.weights[0] + float(features(np.array([self.measures(text)]), self.rate)[0] @ np.array(self.weights[1:]))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+def features(measured: np.ndarray, rate: float) -> np.ndarray:
+    """What the model weighs, of rows of ``measures``: less what chance would match, so that a long text is not toxic by its length."""
+    abuse, most, hits, kinds, mentions, matched, tokens = measured.T
+    left = np.clip(1 - 2 * rate * tokens / np.maximum(matched, 1), 0, 1)
+    return np.column_stack((np.log1p(abuse * left), most * left, np.log1p(1000 * hits * left / np.maximum(tokens, 1)), np.log1p(kinds * left), np.log1p(mentions)))
+
+
 def held_out(id_col: str):
     return (F.crc32(F.col(id_col).cast("string")) % 5 == 0) & F.col(id_col).isNotNull()
 
 
-def _g_squared(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """Of terms in ``a`` of the toxic and ``b`` of the clean documents."""
-    total = 0.0
-    for x, n in ((a, toxic), (b, clean)):
-        share = (a + b) / (toxic + clean)
-        for seen, expected in ((x, n * share), (n - x, n * (1 - share))):
-            total = total + np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+def g_squared(toxic: int, clean: int) -> Column:
+    """G-squared of the two-by-two table of terms in ``a`` of the toxic and ``b`` of the clean documents."""
+    share = (F.col("a") + F.col("b")) / F.lit(float(toxic + clean))
+    cells = [(F.col(c), part, n) for c, n in (("a", toxic), ("b", clean)) for part in (True, False)]
+    total = F.lit(0.0)
+    for x, there, n in cells:
+        seen = (x if there else F.lit(n) - x).cast("double")
+        expected = (share if there else 1 - share) * n
+        total = total + F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
     return total
 
 
+def evidence_needed(tried: int) -> float:
+    """The G-squared that ``BY_CHANCE`` of so many terms pass without a reason: the tail of chi-squared with one degree of freedom."""
+    low, high = 0.0, 200.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tried * math.erfc(math.sqrt(middle / 2)) > BY_CHANCE else (low, middle)
+    return high
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """The lexicon and model learnt from labelled rows that are not held out."""
     ship(docs.sparkSession)
-    named = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic"))
+    named = take(labels, _id=id_col, _toxic=label_col).where(~held_out("_id") & F.col("_toxic").isNotNull()).select("_id", (F.col("_toxic") > 0).cast("int").alias("_toxic"))
     chosen = named.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` ids, as the limit bounds them
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    # a text that is copied is learnt from once
-    rows = rows.groupBy(F.xxhash64("_text").alias("_key"), "_toxic").agg(F.min(F.struct("_id", "_text")).alias("_one")).select("_one.*", "_toxic")
-    rows = materialize(rows, "labelled")
+    rows = take(docs, _id=id_col, _text=text_col).select("_id", F.col("_text").cast("string")).join(F.broadcast(chosen), "_id")
+    # one text of each id, and a text that is copied once
+    rows = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("_key"), "_text", "_toxic")).alias("_one")).select("_id", "_one.*")
+    rows = rows.groupBy("_key", "_toxic").agg(F.min(F.struct("_id", "_text")).alias("_one")).select("_one.*", "_toxic")
+    rows = materialize(rows.withColumn("_fold", F.pmod(F.xxhash64("_text", F.lit(5)), F.lit(FOLDS)).cast("int")), "labelled")
 
     def terms(batches):
         for batch in batches:
-            seen = (Counter(), Counter())  # documents of the batch that have a term, clean and toxic
-            for text, toxic in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            seen: Counter = Counter()  # documents of the batch that have a term, by fold and class
+            for text, toxic, fold in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = set(tokens_of(text.as_py()))
-                seen[toxic].update(own)
-                seen[toxic].update({f"{t[:k]}*" for t in own for k in STEMS if len(t) > k})
-            names = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([seen[i][t] for t in names], pa.int64()) for i in (1, 0)]], names=["term", "a", "b"])
-
-    counts = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    model = Model(share=toxic / max(1, toxic + clean))
+                own |= {f"{t[:k]}*" for t in own for k in STEMS if len(t) > k}
+                seen.update((t, fold, toxic) for t in own)
+            names = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.string()), pa.array([n[1] for n in names], pa.int32()), pa.array([n[2] for n in names], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "fold", "toxic", "n"])
+
+    counts = {(r["_fold"], r["_toxic"]): r["n"] for r in rows.groupBy("_fold", "_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def documents(left_out: int | None) -> tuple[int, int]:
+        toxic, clean = (sum(n for (fold, kind), n in counts.items() if kind == k and fold != left_out) for k in (1, 0))
+        return toxic, clean
+
+    toxic, clean = documents(None)
     if not toxic or not clean:
-        return model
-    seen = rows.mapInArrow(terms, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-    top = seen.where(F.col("a") >= 3).withColumn("odds", odds).where(F.col("odds") >= 2).orderBy(F.desc(F.col("odds") * F.col("a")), "term").limit(4 * LEXICON).toPandas()
-    top = top[_g_squared(top["a"].to_numpy(float), top["b"].to_numpy(float), toxic, clean) >= EVIDENCE].head(LEXICON)
-    for term, weight in zip(top["term"], top["odds"], strict=True):
-        (model.stems if term.endswith("*") else model.words)[term.rstrip("*")] = float(weight)
+        return Model(share=toxic / max(1, toxic + clean))
+    each = rows.mapInArrow(terms, "term string, fold int, toxic int, n long")
+    each = each.groupBy("term").agg(*[F.sum(F.when((F.col("toxic") == k) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"{c}{f}") for c, k in (("a", 1), ("b", 0)) for f in range(FOLDS)])
+    each = materialize(each.where(sum((F.col(f"a{f}") for f in range(FOLDS)), F.lit(0)) >= SEEN), "terms")
+
+    def learnt(left_out: int | None) -> Model:
+        """The lexicon of the documents outside a fold."""
+        toxic, clean = documents(left_out)
+        if not toxic or not clean:
+            return Model()
+        sums = {c: sum((F.col(f"{c}{f}") for f in range(FOLDS) if f != left_out), F.lit(0)).alias(c) for c in "ab"}
+        odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
+        seen = each.select("term", *sums.values()).where(F.col("a") >= SEEN).select("term", odds.alias("odds"), g_squared(toxic, clean).alias("g"))
+        needed = evidence_needed(seen.count())
+        top = seen.where((F.col("odds") >= ODDS) & (F.col("g") >= needed)).orderBy("term").select("term", "odds").toPandas()
+        made = Model()
+        for term, weight in zip(top["term"], top["odds"], strict=True):
+            (made.stems if term.endswith("*") else made.words)[term.rstrip("*")] = float(weight)
+        made.misspelt = frozenset(w for w in made.words if len(w) >= FUZZY)
+        return made
+
+    model, others = learnt(None), [learnt(f) for f in range(FOLDS)]
+    model.share = toxic / (toxic + clean)
 
     # words whose misspellings are words of clean documents are not met by them
-    model.misspelt = frozenset(w for w in model.words if len(w) >= FUZZY)
-
     def misread(batches):
         trie = model._trie
         for batch in batches:
@@ -271,17 +345,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
     counted = rows.mapInArrow(misread, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, clean * MISREAD)).collect()
-    model.misspelt -= {r["term"] for r in counted}
-    model.__dict__.pop("_trie", None)
+    wrong = {r["term"] for r in counted}
+    for made in (model, *others):
+        made.misspelt -= wrong
+        made.__dict__.pop("_trie", None)
 
     def measured(batches):
         for batch in batches:
-            found = [model.features(t.as_py()) for t in batch.column(1)]
+            found = [others[fold].measures(t.as_py()) for t, fold in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), batch.column(2)], names=["_id", "x", "y"])
 
     schema = T.StructType([rows.schema["_id"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])
-    sampled = rows.mapInArrow(measured, schema).orderBy("_id", "y", "x").select("x", "y").limit(2 * sample).toPandas()
-    model.weights = _logistic(np.array(sampled["x"].tolist(), float), sampled["y"].to_numpy(float))
+    sampled = rows.mapInArrow(measured, schema).orderBy("_id", "y", "x").select("x", "y").toPandas()  # at most ``sample`` rows
+    measures, y = np.array(sampled["x"].tolist(), float), sampled["y"].to_numpy(float)
+    model.rate = float((measures[y == 0, 5].sum() + 1) / (measures[y == 0, 6].sum() + 1))
+    model.weights = _logistic(features(measures, model.rate), y)
     return model
 
 
@@ -317,7 +395,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 10
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, held_out, score, predicted)``, one row for each row of ``docs``."""
     ship(docs.sparkSession)
-    frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    frame = take(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string"))
     schema = T.StructType([frame.schema[0], T.StructField("score", T.DoubleType())])
     target = to_arrow_schema(schema)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -326,7 +404,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(target[0].type), pa.array([sent.value.score(x.as_py()) for x in batch.column(1)], pa.float64())], schema=target)
 
-    return frame.mapInArrow(run, schema).select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return frame.mapInArrow(run, schema).select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -78,3 +78,73 @@ def test_held_out_rows_teach_nothing(labelled):
     flipped = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out("doc_id"), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
     assert a.words == b.words and a.weights == pytest.approx(b.weights)
+
+
+def quoted_by_hand(text, word):
+    """Whether a word lies between quotation marks, by the spans."""
+    at = text.index(word)
+    return any(a < at and at + len(word) <= b for a, b in toxicity.quotations(text))
+
+
+@pytest.mark.parametrize("text", ['"a total blorgfish here"', "he said “you are a blorgfish, sir” and left", "das „war ein blorgfish“ nur", "« un blorgfish de plus »", "the 'old blorgfish you don't see' sign", "«blorgfish»"])
+def test_quotations(text):
+    assert quoted_by_hand(text, "blorgfish")
+
+
+@pytest.mark.parametrize("text", ["'blorgfish you don't", 'a 5" blorgfish 6" long', "don't blorgfish can't", '"closed" blorgfish "again"', '"open blorgfish', '"open\nblorgfish" x', "rock 'n' blorgfish"])
+def test_no_quotations(text):
+    assert not quoted_by_hand(text, "blorgfish")
+
+
+def test_many_marks_take_little_time():
+    assert toxicity.quotations("'x " * 100_000) == []
+
+
+def test_score_against_brute_force():
+    """With plain edit distances and windows, of random texts."""
+    import math
+
+    words, stems = {"abcde": 2.0, "zzyx": 3.0, "nasty": 4.0}, {"qwer": 1.5}
+    model = toxicity.Model(words, stems, frozenset(("abcde", "nasty")), [-2.0, 1.0, 0.3, 0.3, 0.5, -0.2], 0.1)
+    near = {w: edits(w) for w in model.misspelt}
+
+    def weigh(t):
+        exact = max([words.get(t, 0.0)] + [x for s, x in stems.items() if t.startswith(s)])
+        return (exact, 1.0) if exact else (max((words[w] for w in near if t in near[w]), default=0.0), toxicity.MISSPELT)
+
+    r = random.Random(8)
+    choices = ["abcde", "abde", "abcdxe", "zzyx", "zzy", "qwerty", "nasty", "nastyy", "said", "plain", "word", "of", '"nasty', 'thing"', "x", "y"]
+    for _ in range(300):
+        tokens = r.choices(choices, k=r.randint(0, 30))
+        text = " ".join(tokens)
+        clean = [t.strip('"') for t in tokens]
+        inside, open_at = [False] * len(tokens), None
+        for i, t in enumerate(tokens):
+            if t.startswith('"') and open_at is None:
+                open_at = i
+            if t.endswith('"') and open_at is not None:
+                inside[open_at : i + 1] = [True] * (i + 1 - open_at)
+                open_at = None
+        abuse = most = hits = mentions = 0.0
+        kinds = {}
+        for i, t in enumerate(clean):
+            weight, part = weigh(t)
+            if not weight:
+                continue
+            if inside[i] or set(clean[max(0, i - 6) : i + 7]) & toxicity.REPORTING:
+                mentions, part = mentions + 1, part * toxicity.MENTION
+            abuse, hits, most = abuse + weight * part, hits + part, max(most, weight * part)
+            kinds[t] = max(part, kinds.get(t, 0.0))
+        x = [math.log1p(abuse), most, math.log1p(1000 * hits / len(clean)), math.log1p(sum(kinds.values())), math.log1p(mentions)] if kinds else [0.0] * 5
+        z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], x))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z))), text
+
+
+def test_clashing_names_and_several_labels(spark, prose):
+    rows = [(k, prose(k, 40) + (" snorkwit snorkwit" if k % 4 == 0 else ""), k, "x") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _toxic int, _text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), "y") for k in range(200)] + [(4, 0, "y"), (8, None, "y")], "doc_id long, toxic int, _id string")
+    model = toxicity.fit(docs, labels)
+    assert "snorkwit" in model.words
+    kept = toxicity.remove_toxic(docs, model)
+    assert kept.columns == docs.columns and all(r.doc_id % 4 for r in kept.collect())
