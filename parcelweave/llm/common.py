@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The separators of words: space and the five ASCII controls from tab to carriage return.
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE = r"\s+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

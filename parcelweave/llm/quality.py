@@ -37,10 +37,10 @@ LABELS = (
     "iniciar sesión", "registrarse", "suscríbete", "haz clic aquí", "leer más", "compartir en", "saltar al contenido", "añadir al carrito",
     "se connecter", "s'inscrire", "s'abonner", "cliquez ici", "lire la suite", "partager sur", "aller au contenu", "ajouter au panier",
 )
-#: Words of a line that a label makes furniture, at most; and the letters such a line has at most.
-LABEL_WORDS, LABEL_LETTERS = 8, 160
+#: Letters of a line that a notice or a label makes furniture, and words beside a label, at most.
+NOTICE_LETTERS, LABEL_LETTERS, LABEL_WORDS = 300, 160, 8
 #: A sentence ends with one of these, before closing quotes and brackets.
-SENTENCE_END = r"[.!?:;…。！？؟][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
+SENTENCE_END = r"[.!?:;…。！？؟][\"'”’»)\]]*(?:\s|$)"
 
 
 def whole(phrases: tuple[str, ...]) -> str:
@@ -58,7 +58,10 @@ def repeated_words(own: Column, width: int = 3) -> Column:
     Windows are compared by 64-bit hashes.  Those that occur again are put in the order of the
     text; each adds the words that the one before does not cover.
     """
-    windows = F.transform(F.sequence(F.lit(0), F.size(own) - width), lambda i: F.xxhash64(*[own[i + k] for k in range(width)]))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[h[i + k] for k in range(width)]))
+
+    hashed = F.transform(own, lambda w: F.xxhash64(w))
 
     def covered(places: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
@@ -86,7 +89,7 @@ def repeated_words(own: Column, width: int = 3) -> Column:
     def counted(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(places(h)))
 
-    return F.when(F.size(own) > width, let(windows, counted)).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(own) > width, let(let(hashed, windows), counted)).otherwise(F.lit(0)).cast("long")
 
 
 def any_of(text: Column, parts: tuple[str, ...]) -> Column:
@@ -96,16 +99,16 @@ def any_of(text: Column, parts: tuple[str, ...]) -> Column:
 
 def flags_of(text: Column) -> Column:
     """What a text has none of, none of its lines breaks a rule about."""
-    return F.struct(text.rlike(one_of(SYMBOLS)).alias("symbols"), text.rlike(one_of(SEPARATORS)).alias("separators"), any_of(F.lower(text), NOTICES).alias("notices"))
+    return F.struct(text.rlike(one_of(SYMBOLS)).alias("symbols"), text.rlike(one_of(SEPARATORS)).alias("separators"))
 
 
 def line_failed(line: Column, flags: Column, max_symbols: float = 0.1, min_words: int = 3) -> Column:
     """Whether a line with words breaks a rule; ``flags`` are those of its text, and spare most lines most rules."""
     symbols = flags["symbols"] & (F.regexp_count(line, F.lit(one_of(SYMBOLS))) > F.length(F.regexp_replace(line, SPACE, "")) * max_symbols)
-    navigation = flags["separators"] & line.rlike(rf"(?:[{SEPARATORS}][\x20\x09-\x0D]*[^{SEPARATORS}]{{1,40}}){{3,}}")
+    navigation = flags["separators"] & line.rlike(rf"(?:[{SEPARATORS}]\s*[^{SEPARATORS}]{{1,40}}){{3,}}")
     shouting = ~line.rlike("[a-z]") & (F.upper(line) == line) & (F.lower(line) != line) & (F.length(F.regexp_replace(line, r"[^\p{L}]", "")) >= 10)
-    notice = flags["notices"] & F.lower(line).rlike(whole(NOTICES))
-    label = (F.length(line) <= LABEL_LETTERS) & F.lower(line).rlike(whole(LABELS)) & (F.size(F.array_remove(F.split(line, SPACE), "")) <= LABEL_WORDS)
+    notice = (F.length(line) <= NOTICE_LETTERS) & any_of(F.lower(line), NOTICES) & F.lower(line).rlike(whole(NOTICES))
+    label = (F.length(line) <= LABEL_LETTERS) & any_of(F.lower(line), LABELS) & F.lower(line).rlike(whole(LABELS)) & (F.size(F.array_remove(F.split(line, SPACE), "")) <= LABEL_WORDS)
     open_end = ~line.rlike(SENTENCE_END) & (F.size(F.array_remove(F.split(line, SPACE), "")) >= min_words)
     return symbols | navigation | shouting | notice | label | open_end
 
@@ -113,7 +116,7 @@ def line_failed(line: Column, flags: Column, max_symbols: float = 0.1, min_words
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeats: int = 50, max_lost: float = 0.5) -> DataFrame:
     """``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lost_words, clean_text)``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
     read = take(docs, id=id_col, text=text_col).select("id", text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"), flags_of(text).alias("_flags"))
     counted = read.select(
         "id",

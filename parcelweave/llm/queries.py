@@ -91,7 +91,7 @@ _QUOTED = {k: quality.whole(p).replace("'", "''") for k, p in (("notices", quali
 _LINE_WORDS = rf"len(list_filter(string_split_regex(x, '{_SPACE}+'), lambda y: y <> ''))"
 _FAILED = rf"""length(x) - length(translate(x, '{quality.SYMBOLS}', '')) > length(regexp_replace(x, '{_SPACE}+', '', 'g')) * 0.1
   OR regexp_matches(x, '(?:[{quality.SEPARATORS}]{_SPACE}*[^{quality.SEPARATORS}]{{1,40}}){{3,}}') OR (upper(x) = x AND lower(x) <> x AND length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= 10)
-  OR regexp_matches(lower(x), '{_QUOTED["notices"]}') OR (length(x) <= {quality.LABEL_LETTERS} AND {_LINE_WORDS} <= {quality.LABEL_WORDS} AND regexp_matches(lower(x), '{_QUOTED["labels"]}'))
+  OR (length(x) <= {quality.NOTICE_LETTERS} AND regexp_matches(lower(x), '{_QUOTED["notices"]}')) OR (length(x) <= {quality.LABEL_LETTERS} AND {_LINE_WORDS} <= {quality.LABEL_WORDS} AND regexp_matches(lower(x), '{_QUOTED["labels"]}'))
   OR (NOT regexp_matches(x, '[.!?:;…。！？؟]["''”’»)\]]*(?:{_SPACE}|$)') AND {_LINE_WORDS} >= 3)"""
 
 OP5_SQL = rf"""
