@@ -60,7 +60,7 @@ BY_CHANCE = 0.5
 #: Parts of the sample for cross-fitting.
 FOLDS = 4
 #: Tokens without a match, and states of the automaton, that a worker keeps.
-TOKENS_KEPT, KEPT = 1_000_000, 200_000
+TOKENS_KEPT, KEPT = 200_000, 40_000
 #: Weights before any document is seen: a constant, then those of ``features``.
 PRIOR = (-4.0, 1.0, 0.3, 0.3, 0.5, 0.0)
 #: What is left of a match's weight when it is a mention, and when it is misspelt.
@@ -188,6 +188,11 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
+    def forget(self) -> None:
+        """Give up what was kept to save time."""
+        for kept in ("_clean", "_trie"):
+            self.__dict__.pop(kept, None)
+
     def weigh(self, token: str) -> tuple[float, bool]:
         """A token's weight, and whether it is met as it is and not by an edit."""
         exact = self.words.get(token, 0.0)
@@ -348,10 +353,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wrong = {r["term"] for r in counted}
     for made in (model, *others):
         made.misspelt -= wrong
-        made.__dict__.pop("_trie", None)
+        made.forget()
 
     def measured(batches):
         for batch in batches:
+            for other in others:  # four lexicons are used in turn, so that none keeps what it found for the batch before
+                other.forget()
             found = [others[fold].measures(t.as_py()) for t, fold in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), batch.column(2)], names=["_id", "x", "y"])
 
