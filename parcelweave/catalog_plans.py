@@ -119,7 +119,7 @@ def plan_most_frequent(customer):
     return lookup.most_frequent(customer, "c_mktsegment", 3)
 
 
-_GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: list_transform(range(1, length(x) + 2), lambda i: substring('  ' || x || ' ', i, 3)))))"
+GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: list_transform(range(1, length(x) + 2), lambda i: substring('  ' || x || ' ', i, 3)))))"
 _LANDLORDS = "l AS (SELECT CAST(p_partkey AS VARCHAR) AS bbl, p_brand AS name, p_name AS street, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'APT ' || p_size % 4 END AS apt, CAST(p_size % 10 AS VARCHAR) AS zip FROM part), n AS (SELECT DISTINCT name, street, apt, regexp_replace(apt, '\\D', '', 'g') AS num, zip FROM l)"
 
 
@@ -136,7 +136,7 @@ def _named(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 @query(f"""
-WITH {_LANDLORDS} SELECT concat_ws('|', x.name, x.street, x.apt, x.zip) AS a, concat_ws('|', y.name, y.street, y.apt, y.zip) AS b, round(2 + CAST(len(list_intersect({_GRAMS.format('x.name')}, {_GRAMS.format('y.name')})) AS DOUBLE) / len(list_distinct({_GRAMS.format('x.name')} || {_GRAMS.format('y.name')})), 5) AS weight
+WITH {_LANDLORDS} SELECT concat_ws('|', x.name, x.street, x.apt, x.zip) AS a, concat_ws('|', y.name, y.street, y.apt, y.zip) AS b, round(2 + CAST(len(list_intersect({GRAMS.format('x.name')}, {GRAMS.format('y.name')})) AS DOUBLE) / len(list_distinct({GRAMS.format('x.name')} || {GRAMS.format('y.name')})), 5) AS weight
 FROM n x JOIN n y USING (street, zip) WHERE (x.name, x.apt) <> (y.name, y.apt) AND (x.num = y.num OR x.num = '' OR y.num = '')""")
 def plan_address_edges(part):
     nodes = landlords.landlord_nodes(landlord_rows(part))
@@ -144,7 +144,7 @@ def plan_address_edges(part):
 
 
 @query(f"""
-WITH {_LANDLORDS}, p AS (SELECT x.*, y.street AS ystreet, y.apt AS yapt, y.num AS ynum, CAST(CAST(len(list_intersect({_GRAMS.format('x.street')}, {_GRAMS.format('y.street')})) AS DOUBLE) / len(list_distinct({_GRAMS.format('x.street')} || {_GRAMS.format('y.street')})) AS FLOAT) AS sim
+WITH {_LANDLORDS}, p AS (SELECT x.*, y.street AS ystreet, y.apt AS yapt, y.num AS ynum, CAST(CAST(len(list_intersect({GRAMS.format('x.street')}, {GRAMS.format('y.street')})) AS DOUBLE) / len(list_distinct({GRAMS.format('x.street')} || {GRAMS.format('y.street')})) AS FLOAT) AS sim
 FROM n x JOIN n y USING (name, zip) WHERE (x.street, x.apt) <> (y.street, y.apt))
 SELECT concat_ws('|', name, street, apt, zip) AS a, concat_ws('|', name, ystreet, yapt, zip) AS b, round(CAST(sim AS DOUBLE) + CASE WHEN apt = yapt THEN 0.5 ELSE 0 END + 1, 5) AS weight FROM p WHERE sim > 0.9 OR (sim > 0.8 AND num = ynum)""")
 def plan_name_edges(part):
