@@ -191,17 +191,10 @@ def topk_docs_per_key(orders):
     return rows.groupBy("o_custkey").agg(F.array_join(listed, ",").alias("docs"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 49)
-SELECT DISTINCT x.l_suppkey AS ref_key, y.l_suppkey AS key FROM s x JOIN s y USING (l_partkey) WHERE x.l_suppkey <> y.l_suppkey""")
-def related_pairs(lineitem):
-    return _part_sharers(lineitem.where("l_quantity >= 49"))
-
-
 @query("""
 WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
 SELECT DISTINCT x.l_suppkey AS ref_key, y.l_suppkey AS key FROM s x JOIN s y USING (l_partkey) WHERE x.l_suppkey <> y.l_suppkey""")
-def related_pairs_whole(lineitem):
+def related_pairs(lineitem):
     return _part_sharers(lineitem)
 
 
@@ -211,17 +204,10 @@ def _part_sharers(lineitem):
     return x.join(y, "l_partkey").where("ref_key <> key").select("ref_key", "key").distinct()
 
 
-@query("""
-WITH w AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier), o AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), m AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_discount > 0.09 GROUP BY 1)
-SELECT w.k, s_name, o.k IS NOT NULL AS by_owner, coalesce(n > 10, false) AS by_docs, coalesce(n, 0) AS docs FROM w LEFT JOIN o ON o.k = w.k LEFT JOIN m ON m.k = w.k""")
-def evidence_join(supplier, lineitem):
-    return _evidence(supplier, lineitem.where("l_returnflag = 'R' AND l_quantity > 49"), lineitem.where("l_discount > 0.09"))
-
-
 @query("""
 WITH w AS (SELECT s_suppkey AS k, s_name FROM supplier), o AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R'), m AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT w.k, s_name, o.k IS NOT NULL AS by_owner, coalesce(n > 10, false) AS by_docs, coalesce(n, 0) AS docs FROM w LEFT JOIN o ON o.k = w.k LEFT JOIN m ON m.k = w.k""")
-def evidence_join_whole(supplier, lineitem):
+def evidence_join(supplier, lineitem):
     return _evidence(supplier, lineitem.where("l_returnflag = 'R'"), lineitem)
 
 
@@ -263,38 +249,22 @@ def eligibility_flags(part):
     return part.select("p_partkey", v.latest_non_zero(F.col("p_size") % 5, F.col("p_size") % 3, default=0).alias("latest"), weight.alias("weight"), by_class.alias("by_class"), by_size.alias("by_size"), (by_class & by_size).alias("eligible"))
 
 
-@query("""
-WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: list_transform(range(1, length(x) + 2), lambda i: substring('  ' || x || ' ', i, 3))))) AS g FROM n)
-SELECT a.p_name AS a, b.p_name AS b, round(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 5) AS sim FROM w a JOIN w b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1] AND a.p_name < b.p_name
-WHERE CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) > 0.3""")
-def trigram_similarity(part):
-    names = part.select("p_name").distinct().select("p_name", F.split("p_name", " ")[0].alias("word"), trigrams("p_name").alias("g"))
-    a, b = names.toDF("a", "word", "ga"), names.toDF("b", "word", "gb")
-    pairs = a.join(b, "word").where("a < b").withColumn("s", set_similarity("ga", "gb"))
-    return pairs.where("s > 0.3").select("a", "b", F.round(F.col("s").cast("double"), 5).alias("sim"))
-
-
 @query("""
 WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: list_transform(range(1, length(x) + 2), lambda i: substring('  ' || x || ' ', i, 3))))) AS g FROM n)
 SELECT a.p_name AS a, b.p_name AS b, round(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 5) AS sim FROM w a JOIN w b ON a.p_name < b.p_name
 WHERE CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) > 0.3""")
-def trigram_similarity_whole(part):
+def trigram_similarity(part):
     """All pairs over 0.3, whatever their first words."""
     names = part.select("p_name").distinct().select("p_name", trigrams("p_name").alias("g"))
     return similar_pairs(names, "p_name", "g", 0.3).select("a", "b", F.round("s", 5).alias("sim"))
 
 
 @query("""
-WITH RECURSIVE sold AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.095), e AS (SELECT DISTINCT x.s AS a, y.s AS b FROM sold x JOIN sold y USING (p)),
+WITH RECURSIVE low AS (SELECT l_partkey AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1), star AS (SELECT DISTINCT l_suppkey AS a, s AS b FROM lineitem JOIN low ON p = l_partkey), e AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
 walk(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node)
 SELECT node, min(root) AS component FROM walk GROUP BY node""")
 def components(lineitem):
-    return _seller_components(lineitem.where("l_quantity = 50 AND l_discount >= 0.095"))
-
-
-@query(None)
-def components_whole(lineitem):
-    """Over all rows; recursive SQL would walk each seller from each other."""
+    """Of all rows; the SQL links each part's sellers by the smallest of them, so that its walk stays short."""
     return _seller_components(lineitem)
 
 
@@ -412,17 +382,10 @@ def array_predicates(customer, orders):
     return rows.select("c_custkey", F.array_contains("s", "F").alias("has_f"), v.overlap("s", F.array(F.lit("P"), F.lit("X"))).alias("overlaps"), F.nullif(F.array_position(kinds, F.get("s", F.lit(0))), F.lit(0)).cast("int").alias("at"), v.last_element("s").alias("last"), v.length_or_null(F.array_remove("s", "O")).cast("long").alias("n"))
 
 
-@query("""
-SELECT coalesce(a.k, b.k) AS k, coalesce(returned, 0) AS returned, coalesce(open, 0) AS open FROM (SELECT l_suppkey AS k, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 GROUP BY 1) a
-FULL JOIN (SELECT l_suppkey AS k, count(*) AS open FROM lineitem WHERE l_linestatus = 'O' AND l_quantity = 1 GROUP BY 1) b ON a.k = b.k""")
-def full_join_sources(lineitem):
-    return _two_counts(lineitem.where("l_returnflag = 'R' AND l_quantity = 50"), lineitem.where("l_linestatus = 'O' AND l_quantity = 1"))
-
-
 @query("""
 SELECT coalesce(a.k, b.k) AS k, coalesce(returned, 0) AS returned, coalesce(open, 0) AS open FROM (SELECT l_suppkey AS k, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a
 FULL JOIN (SELECT l_suppkey AS k, count(*) AS open FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b ON a.k = b.k""")
-def full_join_sources_whole(lineitem):
+def full_join_sources(lineitem):
     return _two_counts(lineitem.where("l_returnflag = 'R'"), lineitem.where("l_linestatus = 'O'"))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.catalog import query
 from parcelweave.plans import alerts, buildings, dashboard, goodcause, history, landlords, lookup, parcels
+from parcelweave.plans.functions import register_pin_functions
+from parcelweave.sources.load import write_table
+from parcelweave.storage import shared_dir
 
 _PARCELS = """
 raw_parcels AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS pin, lpad(CAST(p_partkey // 2 AS VARCHAR), 10, '0') AS pin10, CAST(2020 + p_size % 3 AS VARCHAR) AS year, p_brand AS class, p_partkey, p_size, p_name FROM part
@@ -42,20 +47,20 @@ def built(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parcels.build_parcels(raw, owners), parcels.build_portfolios(raw, owners)
 
 
-def counted(part: DataFrame, lineitem: DataFrame, permitted: str = "l_quantity > 45", violating: str = "l_discount > 0.08") -> DataFrame:
+def counted(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     both = F.concat(F.lpad(F.floor(F.col("l_partkey") / 2).cast("string"), 10, "0"), F.lit(" | "), F.lpad(F.floor((F.col("l_partkey") + 2) / 2).cast("string"), 10, "0"), F.lit(" |"))
-    permits = lineitem.where(permitted).select(both.alias("pin_list"))
+    permits = lineitem.select(both.alias("pin_list"))
     names = part.select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("street_name"))
-    seen = lineitem.where(violating).join(names, "l_partkey").select((F.col("l_partkey") % 40).cast("string").alias("street_number"), none.alias("street_direction"), "street_name", F.lit("").alias("street_type"), F.when(F.col("l_linestatus") == "O", "Opened").otherwise("CLOSED").alias("violation_status"), "l_tax")
+    seen = lineitem.join(names, "l_partkey").select((F.col("l_partkey") % 40).cast("string").alias("street_number"), none.alias("street_direction"), "street_name", F.lit("").alias("street_type"), F.when(F.col("l_linestatus") == "O", "Opened").otherwise("CLOSED").alias("violation_status"), "l_tax")
     return parcels.build_indicators(built(part)[0], permits, seen, seen.where("l_tax > 0.05"))
 
 
 _COUNTS = _PARCELS + """,
-lists AS (SELECT unnest([lpad(CAST(l_partkey // 2 AS VARCHAR), 10, '0'), lpad(CAST((l_partkey + 2) // 2 AS VARCHAR), 10, '0')]) AS pin10 FROM lineitem WHERE l_quantity > 45),
+lists AS (SELECT unnest([lpad(CAST(l_partkey // 2 AS VARCHAR), 10, '0'), lpad(CAST((l_partkey + 2) // 2 AS VARCHAR), 10, '0')]) AS pin10 FROM lineitem),
 permits AS (SELECT pin10, count(*) AS n FROM lists GROUP BY 1),
 ours AS (SELECT pin, upper(regexp_replace(regexp_replace(trim(coalesce(address, '')), '(?i)\\s+(?:APT|UNIT|#|SUITE|STE|FL|FLOOR|RM|ROOM|P-?\\S+).*$', ''), '\\s+', ' ', 'g')) AS a FROM joined),
-facts AS (SELECT upper(l_partkey % 40 || ' ' || p_name) AS a, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_tax > 0.05) AS requests FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount > 0.08 GROUP BY 1),
+facts AS (SELECT upper(l_partkey % 40 || ' ' || p_name) AS a, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_tax > 0.05) AS requests FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
 counts AS (SELECT j.pin, coalesce(p.n, 0) AS permits_total, coalesce(open, 0) AS violations_open, coalesce(total, 0) AS violations_total, coalesce(requests, 0) AS requests_311_total FROM joined j JOIN ours USING (pin) LEFT JOIN permits p ON p.pin10 = j.pin10 LEFT JOIN facts USING (a))"""
 
 
@@ -76,11 +81,6 @@ def plan_indicators(part, lineitem):
     return counted(part, lineitem)
 
 
-@query(f"WITH {_COUNTS.replace(' WHERE l_quantity > 45', '').replace(' WHERE l_discount > 0.08', '')} SELECT * FROM counts")
-def plan_indicators_whole(part, lineitem):
-    return counted(part, lineitem, "true", "true")
-
-
 @query(f"""
 WITH {_COUNTS} SELECT pin, address, class AS land_class, permits_total, violations_open, violations_total, requests_311_total FROM keyed JOIN counts USING (pin) WHERE k IN (SELECT k FROM keyed WHERE pin = '00000000000012')""")
 def plan_portfolio_addresses(part, lineitem):
@@ -100,6 +100,19 @@ def plan_portfolio_totals(part, lineitem):
     return known.unionByName(unknown)
 
 
+@query(f"""
+WITH {_COUNTS}, asked(p) AS (VALUES ('00000000000013'), ('99999999999999'))
+SELECT 'sum' AS said, p AS pin, CAST(count(k.pin) AS BIGINT) AS n, CAST(coalesce(sum(violations_total), 0) AS BIGINT) AS violations FROM asked LEFT JOIN (SELECT pin AS p, k FROM keyed) USING (p) LEFT JOIN keyed k USING (k) LEFT JOIN counts c ON c.pin = k.pin GROUP BY p
+UNION ALL SELECT 'member', pin, permits_total, violations_total FROM keyed JOIN counts USING (pin) WHERE k IN (SELECT k FROM keyed WHERE pin = '00000000000013')""")
+def plan_sql_lookups(spark, part, lineitem):
+    """The lookups as table functions that SQL calls, over tables written and sorted by pin."""
+    rows, groups = built(part)
+    kept = [write_table(t, f"{shared_dir(spark)}/lookup-{uuid.uuid4().hex}", by) for t, by in ((rows, "pin"), (groups, None), (counted(part, lineitem), "pin"))]
+    register_pin_functions(*kept)
+    sums = [f"SELECT 'sum' AS said, '{p}' AS pin, CAST(parcels AS BIGINT) AS n, CAST(violations_total AS BIGINT) AS violations FROM agg_info_from_pin('{p}')" for p in ("00000000000013", "99999999999999")]
+    return spark.sql(" UNION ALL ".join([*sums, "SELECT 'member', pin, permits_total, violations_total FROM assoc_addrs_from_pin('00000000000013')"]))
+
+
 @query(f"""
 WITH {_PARCELS} SELECT pin, address FROM joined WHERE coalesce(address, '') ILIKE '%2 %re%' ORDER BY address NULLS LAST, pin LIMIT 5""")
 def plan_address_search(part):

@@ -17,5 +17,5 @@ def test_all_rows_count(spark, tmp_path):
     for s, p, *_ in rows:
         a, b = sorted((find(s), find(first.setdefault(p, s))))
         root[b] = a
-    got = {x.node: x.component for x in catalog.QUERIES["components_whole"](spark, str(tmp_path)).collect()}
+    got = {x.node: x.component for x in catalog.QUERIES["components"](spark, str(tmp_path)).collect()}
     assert got == {s: find(s) for s in root}
