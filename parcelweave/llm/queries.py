@@ -72,10 +72,10 @@ def queries() -> dict:
 _WORDS = r"""list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"""
 
 OP1_SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM d),
-bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM b),
-n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY 1, 2)
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), i AS (SELECT item_id, w, least(5, len(w)) AS k FROM b WHERE len(w) > 0), sizes AS (SELECT DISTINCT k FROM i),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s FROM d JOIN sizes ON len(w) >= k),
+bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s FROM i),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shared, n_item, CAST(n_shared AS DOUBLE) / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item"""
 
 OP8_SQL = r"""
@@ -104,6 +104,16 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND n_lost_words <= n_words * 0.5 AS kept, CAST(n_lost_words AS BIGINT) AS n_lost_words FROM f"""
 
 
+#: The table of CRC-32 by its polynomial, the generator of the jump hash with 128-bit numbers, and each row's jumps one by one.
+OP6_SQL = """
+WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc WHERE k < 8), tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM documents, tab),
+s(doc_id, n, key, b, j) AS (SELECT doc_id, n, CAST(CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616 ELSE doc_id END AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents, (VALUES (24), (25)) v(n)
+  UNION ALL SELECT doc_id, n, k, j, CAST(floor(CAST(j + 1 AS DOUBLE) * (2147483648.0::DOUBLE / CAST((k >> 33) + 1 AS DOUBLE))) AS BIGINT) FROM (SELECT doc_id, n, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k, j FROM s WHERE j < n)),
+j AS (SELECT doc_id, n, max(b) AS shard FROM s WHERE b < n GROUP BY ALL), w AS (SELECT a.doc_id, CAST(a.shard AS INT) AS shard, CAST(g.shard AS INT) AS grown_shard FROM j a JOIN j g ON g.doc_id = a.doc_id AND a.n = 24 AND g.n = 25)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM d JOIN w USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The rest have no SQL here: they need XXH64, CRC-32, offsets of matches or a learnt model; tests hold them against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op5_quality": OP5_SQL, "op8_chat": OP8_SQL}
+    """The rest have no SQL here: they need XXH64, MD5 draws in order, offsets of matches or a learnt model; tests hold them against brute force."""
+    return {"op1_decontamination": OP1_SQL, "op5_quality": OP5_SQL, "op6_sharding": OP6_SQL, "op8_chat": OP8_SQL}
