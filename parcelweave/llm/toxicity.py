@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelweave.llm.common import map_rows, take
 from parcelweave.shipping import ship
-from parcelweave.storage import materialize
+from parcelweave.storage import discard, materialize
 
 #: Labelled documents learnt from, at most.
 SAMPLE = 12_000
@@ -367,6 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     measures, y = np.array(sampled["x"].tolist(), float), sampled["y"].to_numpy(float)
     model.rate = float((measures[y == 0, 5].sum() + 1) / (measures[y == 0, 6].sum() + 1))
     model.weights = _logistic(features(measures, model.rate), y)
+    discard(rows, each)
     return model
 
 
