@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelweave.llm import chat, decontamination, licenses, mixing, pii, quality, secrets, sharding, simhash, toxicity
+from parcelweave.llm import baskets, chat, decontamination, licenses, mixing, packing, pii, quality, secrets, sharding, simhash, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first components of all, whitened by an exact scatter."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed itemsets of all sales but returned lines, and their rules; a line without a flag isn't returned."""
+    lines = _table(spark, sf_dir, "sale_lines").where("flag IS DISTINCT FROM 'returned'")
+    return baskets.digest(baskets.itemsets_and_rules(lines))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 4,096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
