@@ -26,6 +26,7 @@ empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ from parcelweave.llm.common import take
 from parcelweave.operators.relational import with_dense_id
 from parcelweave.storage import discard, materialize
 
-NONE = F.array().cast("array<long>")
+
+def _codes(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<long>")
 
 
 def _below(items: Column, core: Column) -> Column:
@@ -79,18 +82,23 @@ def _prepared(lines: DataFrame, basket_col: str, item_col: str, least: int, shar
     return baskets, least, items, small, wide, n_wide
 
 
-def closed_itemsets(lines: DataFrame, basket_col: str = "sale_id", item_col: str = "item_id", least: int = 12, share: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Closed itemsets in ``least`` baskets and in one of ``share`` or more.
+class Search(NamedTuple):
+    """``(sid, codes, support)`` of closed sets; ``(i, n, code)`` of items; the extensions ``(parent, code, codes, support)`` that were tried."""
 
-    Returns ``(sid, codes, support)``, one row for each; ``(i, n, code)`` of the items; the extensions
-    ``(parent, code, codes, support)`` that were tried; and the number of baskets.
-    """
+    closed: DataFrame
+    items: DataFrame
+    tried: DataFrame
+    baskets: int
+    root: list[int]
+
+
+def closed_itemsets(lines: DataFrame, basket_col: str = "sale_id", item_col: str = "item_id", least: int = 12, share: int = 10_000) -> Search:
+    """Closed itemsets in ``least`` baskets and in one of ``share`` or more."""
     baskets, least, items, small, wide, n_wide = _prepared(lines, basket_col, item_col, least, share)
-    whole = items.where(F.col("n") == baskets).agg(F.sort_array(F.collect_list("code")).alias("codes"))  # no longer than the shortest basket
-    root = [int(x) for x in whole.first()[0]]
+    root = sorted(r[0] for r in items.where(F.col("n") == baskets).select("code").collect())  # no more than the shortest basket holds
     first = items.where(F.col("n") < baskets)
-    frontier = materialize(first.select(F.col("code").alias("set"), F.lit(root).cast("array<long>").alias("parent") if root else NONE.alias("parent"), F.col("code").alias("core"), F.col("n").alias("support")), "frontier")
-    fresh = ~F.col("set").isin(root) if root else F.lit(True)
+    frontier = materialize(first.select(F.col("code").alias("set"), _codes(root).alias("parent"), F.col("code").alias("core"), F.col("n").alias("support")), "frontier")
+    fresh = ~F.col("set").isin(root)
     at = materialize(small.select(F.explode("codes").alias("set"), "bid").where(fresh), "occurrences")
     wide_at = wide.select(F.col("code").alias("set"), "b").where(fresh) if wide is not None else None
     tried = []
@@ -119,17 +127,16 @@ def closed_itemsets(lines: DataFrame, basket_col: str = "sale_id", item_col: str
     every = reduce(DataFrame.unionByName, tried)
     closed = every.where("kept").select("codes", "support")
     if root:
-        closed = closed.unionByName(whole.select("codes", F.lit(baskets).cast("long").alias("support")))
+        closed = closed.unionByName(lines.sparkSession.createDataFrame([(root, baskets)], closed.schema))
     closed = materialize(closed.select(F.monotonically_increasing_id().alias("sid"), "codes", "support"), "closed")
-    return closed, items, every.select("parent", F.col("core").alias("code"), "codes", "support"), baskets
+    return Search(closed, items, every.select("parent", F.col("core").alias("code"), "codes", "support"), baskets, root)
 
 
-def _left_sides(closed: DataFrame, tried: DataFrame, root: DataFrame, baskets: int) -> DataFrame:
+def _left_sides(found: Search) -> DataFrame:
     """``(sid, c, a)``: for each item ``c`` of a closed set of two or more, the support of the rest."""
-    steps = tried.select(F.col("parent").alias("at"), F.col("code").alias("next"), F.col("codes").alias("to"), F.col("support").alias("a"))
-    start = closed.where(F.size("codes") > 1).crossJoin(F.broadcast(root))  # one row
-    walks = start.select("sid", F.explode("codes").alias("c"), "codes", F.col("root").alias("at"))
-    walks = walks.select("sid", "c", "at", F.array_except(F.array_remove("codes", F.col("c")), "at").alias("missing"), F.lit(baskets).cast("long").alias("a"))
+    steps = found.tried.select(F.col("parent").alias("at"), F.col("code").alias("next"), F.col("codes").alias("to"), F.col("support").alias("a"))
+    walks = found.closed.where(F.size("codes") > 1).select("sid", F.explode("codes").alias("c"), "codes", _codes(found.root).alias("at"))
+    walks = walks.select("sid", "c", "at", F.array_except(F.array_remove("codes", F.col("c")), "at").alias("missing"), F.lit(found.baskets).cast("long").alias("a"))
     ended = [walks.where(F.size("missing") == 0).select("sid", "c", "a")]
     walks, own = materialize(walks.where(F.size("missing") > 0), "walks"), []
     while not walks.isEmpty():
@@ -152,12 +159,10 @@ def itemsets_and_rules(lines: DataFrame, basket_col: str = "sale_id", item_col:
     A rule ``(item, a, s)`` has the supports of the other items and of the item; it holds if in
     ``confidence`` of 100 baskets with the others the item is there, too, more often than in all.
     """
-    closed, items, tried, baskets = closed_itemsets(lines, basket_col, item_col, least, share)
-    root = items.where(F.col("n") == baskets).agg(F.sort_array(F.collect_list("code")).alias("root"))  # one row
-    sides = _left_sides(closed, tried, root, baskets)
-    members = closed.select("sid", "support", F.explode("codes").alias("c")).join(sides, ["sid", "c"], "left")
-    members = members.join(items.select(F.col("code").alias("c"), F.col("i").alias("item"), F.col("n").alias("s")), "c")
-    holds = (100 * F.col("support") >= confidence * F.col("a")) & (F.col("support") * baskets > F.col("a") * F.col("s"))
+    found = closed_itemsets(lines, basket_col, item_col, least, share)
+    members = found.closed.select("sid", "support", F.explode("codes").alias("c")).join(_left_sides(found), ["sid", "c"], "left")
+    members = members.join(found.items.select(F.col("code").alias("c"), F.col("i").alias("item"), F.col("n").alias("s")), "c")
+    holds = (100 * F.col("support") >= confidence * F.col("a")) & (F.col("support") * found.baskets > F.col("a") * F.col("s"))
     rule = F.when(holds, F.struct("item", "a", "s"))  # a list leaves out nulls
     return members.groupBy("sid").agg(F.sort_array(F.collect_list("item")).alias("items"), F.first("support").alias("support"), F.sort_array(F.collect_list(rule)).alias("rules")).drop("sid")
 

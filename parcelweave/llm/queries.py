@@ -131,6 +131,17 @@ j AS (SELECT doc_id, n, max(b) AS shard FROM s WHERE b < n GROUP BY ALL), w AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM d JOIN w USING (doc_id)"""
 
 
+#: All frequent itemsets by growing each, basket by basket, by larger items; closed are those without an equally frequent superset of one more item.
+OP12_SQL = """
+WITH RECURSIVE p AS (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE flag IS DISTINCT FROM 'returned' AND sale_id IS NOT NULL AND item_id IS NOT NULL), b AS (SELECT count(DISTINCT sale_id) AS b, greatest(12, (count(DISTINCT sale_id) + 9999) // 10000) AS least FROM p),
+q AS (SELECT sale_id, item_id FROM p, b QUALIFY count(*) OVER (PARTITION BY item_id) >= least),
+f(items, sale_id) AS (SELECT [item_id], sale_id FROM q UNION ALL SELECT items, sale_id FROM (SELECT list_append(f.items, q.item_id) AS items, f.sale_id, count(*) OVER (PARTITION BY f.items, q.item_id) AS n, least FROM f JOIN q ON q.sale_id = f.sale_id AND q.item_id > f.items[-1], b) WHERE n >= least),
+s AS (SELECT items, count(*) AS support FROM f GROUP BY items), m AS (SELECT items, support, c, list_filter(items, lambda x: x <> c) AS rest FROM (SELECT *, unnest(items) AS c FROM s)),
+j AS (SELECT m.*, r.support AS a, i.support AS s FROM m JOIN s r ON r.items = m.rest JOIN s i ON i.items = [m.c]), closed AS (SELECT items, support FROM s WHERE items NOT IN (SELECT rest FROM j WHERE a = support)),
+r AS (SELECT items, count(*) AS n_rules, arg_min(c, (a, c)) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS said FROM j, b WHERE 100 * support >= 30 * a AND support * b > a * s GROUP BY items)
+SELECT array_to_string(items, ',') AS items, len(items) AS n_items, support, coalesce(n_rules, 0) AS n_rules, best_item, sha256(coalesce(said, '')) AS rules_sha256 FROM closed LEFT JOIN r USING (items)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The rest have no SQL here: they need XXH64, MD5 draws in order, offsets of matches or a learnt model; tests hold them against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op5_quality": OP5_SQL, "op6_sharding": OP6_SQL, "op8_chat": OP8_SQL}
+    """The rest have no SQL here: they need XXH64, MD5 draws in order, offsets of matches, a tokenizer, eigenvectors or a learnt model; tests hold them against brute force."""
+    return {"op1_decontamination": OP1_SQL, "op5_quality": OP5_SQL, "op6_sharding": OP6_SQL, "op8_chat": OP8_SQL, "op12_itemsets": OP12_SQL}
