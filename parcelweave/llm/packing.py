@@ -23,7 +23,9 @@ an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -40,8 +42,8 @@ from parcelweave.storage import materialize
 #: Patterns that are fitted; of more, evenly spaced ones.
 MOST_PATTERNS = 60_000
 SWEEPS = 6
-#: Encoded strings that a worker keeps.
-MOST_KEPT = 400_000
+#: Encoded strings, and parts of strings, that a worker keeps.
+MOST_KEPT = 700_000
 
 # encoding
 
@@ -51,6 +53,24 @@ SIMPLE = re.compile("[!-~À-įĲ-ſ‐-‧]*")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
 
 
+#: How the vocabulary spells bytes: printable Latin-1 characters stand for themselves, the others for the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+class _Kept(dict):
+    """What a function gave for short strings, and gives for others."""
+
+    def __init__(self, made):
+        self.made = made
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.made(key)
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, by a tokenizer that drops white space and never joins across it."""
 
@@ -58,45 +78,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(self.special) or r"(?!)")
-        self.kept: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as this machine's unsigned ints, which must be little-endian and of 32 bits")
+        self.chunks, self.parts = _Kept(self._chunk), _Kept(self._part)
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if part.isascii():  # its bytes stand for themselves
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-            else:
-                found = self._ids(part)
-            self.parts[part] = found
-        return found
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(SPELT)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if SIMPLE.fullmatch(chunk) and not self.special.search(chunk):
-            return b"".join(map(self._part, PARTS.findall(chunk.lower())))
-        return self._ids(chunk)
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(chunk.lower())))
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.kept) > MOST_KEPT or len(self.parts) > MOST_KEPT:
-            self.kept, self.parts = {}, {}
-        chunks, kept = text.replace("\n", " ").split(" "), self.kept
-        try:
-            return b"".join(map(kept.__getitem__, chunks))
-        except KeyError:
-            out = []
-            for c in chunks:
-                ids = kept.get(c)
-                if ids is None:
-                    ids = self._chunk(c)
-                    if len(c) <= 64:
-                        kept[c] = ids
-                out.append(ids)
-            return b"".join(out)
+        for kept in (self.chunks, self.parts):
+            if len(kept) > MOST_KEPT:
+                kept.clear()
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -282,7 +283,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(own[:, 3] + nth // own[:, 4]), pa.array(own[:, 5] + nth % own[:, 4] * lengths)], names=names)
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.join(counts.select("part", "length", before.alias("before")), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("at")).alias("rank"))
+    ranked = cut.join(counts.select("part", "length", before.alias("before")).hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("at")).alias("rank"))
     schema = T.StructType([T.StructField(id_col, cut.schema["id"].dataType), *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").fields])
     names = schema.names
     return ranked.mapInArrow(place, schema)
