@@ -24,12 +24,15 @@ def _folder(spark, label: str) -> str:
 
 
 @query("""
-SELECT CAST(p_partkey AS VARCHAR) AS pin, p_name || chr(10) || '"' || p_brand || '"' AS mail_address_name, CASE WHEN p_size % 3 > 0 THEN p_type END AS prop_address_full, CAST(NULL AS VARCHAR) AS row_id FROM part""")
+SELECT CAST(p_partkey AS VARCHAR) AS pin, p_name || chr(10) || '"' || p_brand || '"' AS mail_address_name, CASE WHEN p_partkey % 2 = 0 AND p_size % 3 > 0 THEN p_type END AS prop_address_full, CAST(NULL AS VARCHAR) AS row_id FROM part""")
 def source_csv(spark, part):
-    """Columns by the header's names, in another order, with line breaks and marks inside quotes, an unknown column and a missing one."""
+    """A folder whose files order their columns differently: line breaks and marks inside quotes, an unknown column, missing ones."""
     path = _folder(spark, "csv")
-    rows = part.select(F.lit("x").alias("odd"), F.concat("p_name", F.lit('\n"'), "p_brand", F.lit('"')).alias("Mail_Address_Name"), F.col("p_partkey").cast("string").alias("pin"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("prop_address_full"))
-    rows.coalesce(1).write.option("header", True).option("escape", '"').option("quote", '"').csv(path)
+    name, pin = F.concat("p_name", F.lit('\n"'), "p_brand", F.lit('"')), F.col("p_partkey").cast("string")
+    even = part.where("p_partkey % 2 = 0").select(F.lit("x").alias("odd"), name.alias("Mail_Address_Name"), pin.alias("pin"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("prop_address_full"))
+    odd = part.where("p_partkey % 2 = 1").select(pin.alias("PIN"), F.lit("y\n").alias("one,\nmore"), name.alias("mail_address_name"))
+    for rows in (even, odd):
+        rows.write.mode("append").option("header", True).option("escape", '"').option("quote", '"').csv(path)
     return load_csv(spark, path, DATASETS["chi_owners"]).select("pin", "mail_address_name", "prop_address_full", "row_id")
 
 

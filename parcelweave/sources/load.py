@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from parcelweave.functions.text import csv_cell
 from parcelweave.sources.datasets import DATASETS, DatasetSpec
+from parcelweave.sources.records import read_records
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,36 +28,30 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-#: How a quoted empty field is read, to be told from a blank one; no text has this character.
-EMPTY = "\x01"
-
-
-def _strict_csv(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    """Whole records: quotes are doubled inside quotes, every row has as many fields as the schema; blank is null, quoted blank is empty."""
-    options = {"header": True, "enforceSchema": True, "nullValue": "", "emptyValue": EMPTY, "multiLine": True, "escape": '"', "mode": "FAILFAST", "columnPruning": False}
-    raw = spark.read.schema(schema).options(**options).csv(path)
-    return raw.select(*[F.when(F.col(c) == EMPTY, "").otherwise(F.col(c)).alias(c) for c in raw.columns])
-
-
 def load_csv(spark: SparkSession, path: str, spec: DatasetSpec) -> DataFrame:
-    """A CSV file with all columns of the dataset, as text.
+    """A CSV file, or a folder of them, with all columns of the dataset, as text.
 
-    Columns are matched by the header's names: unknown ones are dropped, missing ones are null.
-    Blank unquoted fields are null, quoted ones are empty; quoted fields may hold line breaks, for
-    which each file is read by one task.  Without a file the table is empty; a header that is empty
-    or shares no name with the dataset is an error, and so is a row of another length.
+    Each file's columns are matched by the names of its own header: unknown ones are dropped,
+    missing ones are null.  Blank unquoted fields are null, quoted ones are empty; quoted fields may
+    hold line breaks, and large files are still read by many tasks.  Without a file the table is
+    empty; a header that is empty, names a column of the dataset twice or none at all is an error,
+    and so is a row of another length.
     """
     if not _exists(spark, path):
         return empty(spark, spec.schema)
-    head = spark.read.text(path).limit(1).collect()
-    names = [c.strip().lower() for c in next(csv.reader([head[0][0].lstrip("﻿")]), [])] if head else []
-    if not any(names):
-        raise ValueError(f"{path} has no header")
-    if not set(names) & set(spec.columns):
-        raise ValueError(f"{path} has no column of {spec.name}")
-    read = T.StructType([T.StructField(c if c in spec.columns else f"_other_{i}", T.StringType()) for i, c in enumerate(names)])
-    raw = _strict_csv(spark, read, path)
-    return raw.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in spec.columns])
+    wanted = list(spec.columns)
+
+    def places(names: list[str], file: str) -> list[int | None]:
+        known = [c.strip().lower() for c in names]
+        if not any(known):
+            raise ValueError(f"{file} has no header")
+        if not set(known) & set(wanted):
+            raise ValueError(f"{file} has no column of {spec.name}")
+        if twice := [c for c in wanted if known.count(c) > 1]:
+            raise ValueError(f"{file} names {', '.join(twice)} more than once")
+        return [known.index(c) if c in known else None for c in wanted]
+
+    return read_records(spark, path, wanted, places)
 
 
 def load_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,10 +60,15 @@ def load_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load_positional(spark: SparkSession, path: str | None, columns: Sequence[str]) -> DataFrame:
     """A CSV file whose header is skipped and whose columns go by position, as text; empty without a path."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if path is None:
-        return empty(spark, schema)
-    return _strict_csv(spark, schema, path)
+        return empty(spark, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+
+    def places(names: list[str], file: str) -> list[int | None]:
+        if len(names) != len(columns):
+            raise ValueError(f"{file} has {len(names)} columns in place of {len(columns)}")
+        return list(range(len(names)))
+
+    return read_records(spark, path, list(columns), places)
 
 
 def point(df: DataFrame, key: str, value) -> DataFrame:

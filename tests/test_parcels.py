@@ -198,6 +198,40 @@ def test_quoted_breaks(spark, tmp_path):
             load_csv(spark, str(tmp_path / "bad.csv"), spec).select("pin").collect()
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    spec, folder = DATASETS["chi_owners"], tmp_path / "many"
+    folder.mkdir()
+    for name, text in {"a.csv": "pin,mail_address_name\n1,ANN\n", "b [1].csv": 'mail_address_name,pin\nBOB,2\n"",3', "c.csv": '"odd\nname",row_id,pin\r\nx,r,4\r\n\r\n', "d.csv": ""}.items():
+        (folder / name).write_text(text, newline="")
+    rows = load_csv(spark, str(folder), spec).orderBy("pin").collect()
+    assert [(r.pin, r.mail_address_name, r.row_id) for r in rows] == [("1", "ANN", None), ("2", "BOB", None), ("3", "", None), ("4", None, "r")]
+    for bad in ("pin,PIN\n1,2\n", 'pin,"mail\n'):
+        (folder / "e.csv").write_text(bad)
+        with pytest.raises(ValueError):
+            load_csv(spark, str(folder), spec)
+
+
+@pytest.mark.parametrize("size", [1, 7, 16, 41])
+def test_quoted_breaks_across_splits(spark, tmp_path, size):
+    import csv
+    import random
+
+    r = random.Random(size)
+    rows = [[r.choice(["a", "", 'x"y', "\n", "1\n\n2", "long " * 9 + "\n" * 4, ",", "\r\n", "é"]) for _ in range(3)] for _ in range(60)]
+    path = tmp_path / "some.csv"
+    with path.open("w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_ALL).writerows([["a", "b", "c"], *rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size * 16))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = load_positional(spark, str(path), ["a", "b", "c"])
+        assert sorted(map(list, got.collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_positional(spark, tmp_path):
     (tmp_path / "p.csv").write_text('Any,Names\n1,"x\ny"\n')
     assert [tuple(r) for r in load_positional(spark, str(tmp_path / "p.csv"), ["a", "b"]).collect()] == [("1", "x\ny")]
