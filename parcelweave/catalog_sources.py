@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,10 +11,11 @@ from parcelweave.catalog import query
 from parcelweave.catalog_plans import built, counted
 from parcelweave.functions import text as tx
 from parcelweave.functions import values as v
+from parcelweave.operators import relational as op
 from parcelweave.operators.polygons import GEOMETRY, as_text, contains, point_text
 from parcelweave.plans import lookup, maps
 from parcelweave.sources.datasets import DATASETS, INLINE
-from parcelweave.sources.load import csv_lines, json_lines, load_csv, load_positional, point, points, read_table, result_lines, write_table
+from parcelweave.sources.load import csv_parts, json_lines, json_parts, load_csv, load_positional, point, points, read_table, write_table
 from parcelweave.storage import cut, shared_dir
 
 
@@ -76,16 +76,17 @@ def sink_json_lines(spark, customer):
 
 
 @query("""
-SELECT n_name AS name, CAST(list(s_suppkey ORDER BY s_suppkey) AS VARCHAR) AS keys FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
+SELECT n_name AS name, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS keys, CAST(2 AS BIGINT) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
 def sink_responses(spark, supplier, nation):
-    """Rows as CSV and as JSON, streamed, and read back: both hold the same."""
-    import csv
-
+    """Rows written by many tasks as CSV and as one JSON array in order, and read back: both hold the same."""
     groups = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).groupBy(F.col("n_name").alias("name")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
-    lines = list(csv.reader(csv_lines(groups)))[1:]
-    said = json.loads("".join(result_lines(groups)))["result"]
-    same = {(name, f"[{keys.replace(',', ', ')}]") for name, keys in lines} & {(r["name"], str(r["keys"])) for r in said}
-    return spark.createDataFrame(sorted(same), "name string, keys string")
+    said, listed = _folder(spark, "csv"), _folder(spark, "array")
+    csv_parts(groups, said)
+    json_parts(groups, listed, "name")
+    table = load_positional(spark, said, ["name", "keys"])
+    whole = spark.read.text(listed, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "value"))), lambda x: x["value"]), "").alias("text"))  # 25 nations
+    objects = whole.select(F.explode(F.from_json("text", "array<struct<name: string, keys: array<long>>>")).alias("o")).select("o.name", F.array_join("o.keys", ",").alias("keys"))
+    return table.unionByName(objects).groupBy("name", "keys").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -164,13 +165,35 @@ def corners(customer):
 
 
 @query("""
-SELECT unnest(['00000000000007', '123', NULL, ' 00000000000008 ']) AS asked, unnest([200, 400, 400, 200]) AS status, unnest([1, 0, 0, 1]) AS n""")
+SELECT pin, status, n FROM (SELECT lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS pin, 200 AS status, 1 AS n FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 400, 0 FROM part UNION ALL SELECT ' ' || lpad(CAST(p_partkey + 1000000 AS VARCHAR), 14, '0') || ' ', 200, 0 FROM part UNION ALL SELECT NULL, 400, 0)""")
 def validated_lookups(spark, part, lineitem):
-    """What a service answers to good and bad pins."""
+    """What a service answers to good, short, padded and unknown pins, asked all at once."""
     rows, _ = built(part)
-    facts = counted(part, lineitem)
-    out = []
-    for pin in ("00000000000007", "123", None, " 00000000000008 "):
-        status, body = lookup.respond(lookup.building_info, rows, facts, pin)
-        out.append((pin, status, len(json.loads("".join(body)).get("result", ()))))
-    return spark.createDataFrame(out, "asked string, status int, n int")
+    known = lookup.building_infos(rows, counted(part, lineitem))
+    key = F.col("p_partkey")
+    asked = part.select(F.explode(F.array(F.lpad(key.cast("string"), 14, "0"), key.cast("string"), F.concat(F.lit(" "), F.lpad((key + 1_000_000).cast("string"), 14, "0"), F.lit(" ")))).alias("pin"))
+    asked = asked.unionByName(spark.createDataFrame([(None,)], "pin string"))
+    return lookup.answered(asked, "pin", known).select("pin", "status", F.when(F.col("answer").isNotNull(), 1).otherwise(0).alias("n"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, greatest(1, count(*) OVER () // 40) AS g FROM customer), k AS (SELECT *, least(i // 40, g - 1) AS clique FROM c), z AS (SELECT *, clique // 10 AS part, 5 * count(*) OVER (PARTITION BY clique // 10) AS size FROM k),
+p AS (SELECT part + 1 AS orig_id, CASE WHEN size > 300 THEN clique ELSE 0 END AS piece, count(*) AS n, min(c_custkey) AS low, max(c_custkey) AS high FROM z GROUP BY 1, 2)
+SELECT CAST(orig_id AS INT) AS orig_id, n, low, high, coalesce((SELECT string_agg(lpad(CAST(q.low AS VARCHAR), 10, '0'), ',' ORDER BY q.low) FROM p q WHERE q.orig_id = p.orig_id AND q.piece <> p.piece), '') AS related FROM p""")
+def split_portfolios(customer):
+    """Chains of cliques with the size limit in force: the communities are the cliques, and each names the others of its chain."""
+    from parcelweave.operators.communities import split_components
+    from parcelweave.plans.landlords import related_portfolios
+
+    rows = cut(op.with_dense_id(customer.select("c_custkey"), ["c_custkey"], "at").withColumn("at", F.col("at") - 1))
+    n = rows.count()
+    cliques = max(1, n // 40)
+    clique = F.least(F.floor(F.col("src") / 40), F.lit(cliques - 1))
+    last = F.when(clique == cliques - 1, F.lit(n - 1)).otherwise(40 * clique + 39)
+    own = rows.select(F.col("at").alias("src")).withColumn("last", last).where("src < last").select("src", F.explode(F.sequence(F.col("src") + 1, F.col("last"))).alias("dst"), F.lit(3.0).alias("weight"))
+    chain = rows.select(F.col("at").alias("src"), (F.col("at") + 1).alias("dst"), F.lit(1.0).alias("weight")).where(f"dst < {n} AND dst % 40 = 0 AND dst % 400 <> 0 AND dst div 40 < {cliques}")
+    parts = split_components(rows.select(F.col("at").alias("nodeid"), F.lit(5).alias("size")), own.unionByName(chain))
+    placed = rows.join(parts, rows["at"] == parts["nodeid"])
+    made = placed.groupBy("orig_id", "portfolio").agg(F.array_sort(F.collect_list(F.lpad(F.col("c_custkey").cast("string"), 10, "0"))).alias("bbls"))
+    ends = [F.element_at("bbls", k).cast("long").alias(name) for k, name in ((1, "low"), (-1, "high"))]
+    return related_portfolios(made).select("orig_id", F.size("bbls").cast("long").alias("n"), *ends, F.array_join("relatedportfoliosbbls", ",").alias("related"))

@@ -1,117 +1,163 @@
-"""Components of a graph, split into communities where they are too large."""
+"""Components of a graph, split into communities where they are too large.
 
-from __future__ import annotations
+Communities raise the modularity by the Louvain method (Blondel and others, 2008), as rounds of
+joins over an edge table, so that no task holds a component.  In a turn every node may move to the
+neighbouring community of the greatest gain, in even turns to a heavier one than its own (of equally
+heavy ones to that of the smaller name), in odd turns to a lighter one, so that no two nodes swap.  A
+turn's moves stand in the components whose modularity they raise; where they don't, the next try is made with
+half of the nodes.  When neither direction helps, communities become the nodes of a smaller graph.
+"""
 
-import random
-from collections import defaultdict
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.operators.components import connected_components
 from parcelweave.operators.relational import with_dense_id
-from parcelweave.shipping import ship
-from parcelweave.storage import cut
+from parcelweave.storage import cut, discard, materialize
 
 #: Buildings in a portfolio that is not split.
 SIZE_LIMIT = 300
+#: A component is settled after so many points: two for a turn in which no node would gain, one for moves that did not help together.
+PATIENCE = 4
+LEAST_GAIN = 1e-12
+
+
+def _near(links: DataFrame, homes: DataFrame) -> DataFrame:
+    """``(piece, a, to, w)``: each node's weight towards each community."""
+    return links.join(homes.select(F.col("a").alias("b"), F.col("home").alias("to")), "b").groupBy("piece", "a", "to").agg(F.sum("w").alias("w"))
+
+
+def _modularity(near: DataFrame, homes: DataFrame, resolution: float) -> DataFrame:
+    """``(piece, twice, q)``; ``twice`` is twice the weight of all edges."""
+    inner = near.join(homes.select("a", "home"), "a").where("to = home").groupBy("piece").agg(F.sum("w").alias("inner"))
+    held = homes.groupBy("piece", "home").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
+    held = held.groupBy("piece").agg(F.sum("k").alias("twice"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.sum("loop").alias("loops"))
+    q = (F.coalesce("inner", F.lit(0.0)) + 2 * F.col("loops")) / F.col("twice") - resolution * F.col("squares") / (F.col("twice") * F.col("twice"))
+    return held.where("twice > 0").join(inner, "piece", "left").select("piece", "twice", q.alias("q"))
+
+
+def _moves(near: DataFrame, homes: DataFrame, status: DataFrame, turn: int, resolution: float, seed: int) -> DataFrame:
+    """``(piece, a, next)``: nodes that gain by moving, and where to."""
+    held = homes.groupBy("home").agg(F.sum("k").alias("held"))
+    own = homes.join(held.withColumnRenamed("held", "mine"), "home").join(status.where(F.col("quiet") < PATIENCE).select("piece", "twice", "quiet"), "piece")
+    own = own.where((F.col("quiet") % 2 == 0) | (F.xxhash64(F.lit(seed), F.lit(turn), "a") % 2 == 0)).select("a", "k", "home", "mine", "twice")
+    rows = near.join(own, "a").join(held.withColumnRenamed("home", "to"), "to")
+    gain = F.col("w") - resolution * F.col("held") * F.col("k") / F.col("twice")
+    heavier = F.struct(F.col("held"), -F.col("to")) > F.struct(F.col("mine"), -F.col("home"))
+    allowed = (F.col("to") != F.col("home")) & (heavier if turn % 2 == 0 else ~heavier)
+    stays = F.coalesce(F.sum(F.when(F.col("to") == F.col("home"), F.col("w"))), F.lit(0.0)) - resolution * (F.first("mine") - F.first("k")) * F.first("k") / F.first("twice")
+    best = F.max(F.when(allowed, F.struct(gain.alias("gain"), (-F.col("to")).alias("less"))))
+    offers = rows.groupBy("piece", "a").agg(stays.alias("stays"), best.alias("best"))
+    return offers.where(F.col("best.gain") > F.col("stays") + LEAST_GAIN).select("piece", "a", (-F.col("best.less")).alias("next"))
+
+
+def _settled(links: DataFrame, homes: DataFrame, resolution: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``homes`` and ``_near`` when no more turns help."""
+    near = materialize(_near(links, homes), "near")
+    status = materialize(_modularity(near, homes, resolution).withColumn("quiet", F.lit(0)), "status")
+    turn = 0
+    while not status.where(F.col("quiet") < PATIENCE).isEmpty():
+        moves = materialize(_moves(near, homes, status, turn, resolution, seed), "moves")
+        turn += 1
+        moving = moves.groupBy("piece").agg(F.lit(1).alias("cost"))
+        if moves.isEmpty():
+            after = materialize(status.withColumn("quiet", F.col("quiet") + 2), "status")
+            discard(moves, status)
+            status = after
+            continue
+        tried = homes.join(moves.select("a", "next"), "a", "left").select("piece", "a", "k", "loop", F.col("home").alias("before"), F.coalesce("next", "home").alias("home"))
+        tried = materialize(tried, "tried")
+        met = materialize(_near(links, tried), "near")
+        told = _modularity(met, tried, resolution).select("piece", F.col("q").alias("now"))
+        better = F.coalesce(F.col("now") > F.col("q") + LEAST_GAIN, F.lit(False))
+        after = status.join(told, "piece", "left").join(moving, "piece", "left")
+        after = after.select("piece", "twice", F.when(better, F.col("now")).otherwise(F.col("q")).alias("q"), F.when(better, 0).otherwise(F.col("quiet") + F.coalesce("cost", F.lit(2))).alias("quiet"))
+        after = materialize(after, "status")
+        discard(moves)
+        n, helped = after.agg(F.count(F.lit(1)), F.count(F.when(F.col("quiet") == 0, 1))).first()
+        if helped == n:
+            discard(homes, near)
+            homes, near = tried.drop("before"), met
+        elif helped:
+            good = after.where("quiet = 0").select("piece")
+            kept = tried.join(good.withColumn("good", F.lit(True)), "piece", "left").select("piece", "a", "k", "loop", F.when(F.col("good"), F.col("home")).otherwise(F.col("before")).alias("home"))
+            kept = materialize(kept, "homes")
+            both = materialize(met.join(good, "piece", "left_semi").unionByName(near.join(good, "piece", "left_anti")), "near")
+            discard(homes, near, tried, met)
+            homes, near = kept, both
+        else:
+            discard(tried, met)
+        discard(status)
+        status = after
+    discard(status)
+    return homes, near
 
 
-def louvain(nodes: list[int], edges: list[tuple[int, int, float]], resolution: float = 1.0, seed: int = 0) -> list[set[int]]:
-    """Communities by the Louvain method (Blondel and others, 2008), in an order fixed by the seed."""
-    chance = random.Random(seed)
-    members: dict[int, set[int]] = {n: {n} for n in sorted(nodes)}
-    links: dict[int, dict[int, float]] = {n: defaultdict(float) for n in members}
-    loops: dict[int, float] = defaultdict(float)
-    for a, b, w in sorted(edges):
-        if a == b:
-            loops[a] += w
-        else:
-            links[a][b] += w
-            links[b][a] += w
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 0.1, seed: int = 0) -> DataFrame:
+    """``(node, community)`` for ``nodes`` of ``(piece, node)`` and ``edges`` of ``(piece, src, dst, weight)``; a community has the name of its smallest node.
+
+    Pieces are separate graphs.  An edge that joins a node to itself counts as a loop; several edges between
+    two nodes add up.
+    """
+    members = materialize(nodes.select("node", F.col("node").alias("at"), "piece").distinct(), "members")
+    weight = F.col("weight").cast("double")
+    both = edges.where("src <> dst").select("piece", F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"), weight.alias("w"))
+    links = materialize(both.groupBy("piece", "e.a", "e.b").agg(F.sum("w").alias("w")), "links")
+    loops = edges.where("src = dst").groupBy(F.col("src").alias("a")).agg(F.sum(weight).alias("loop"))
+    homes = members.select("piece", F.col("node").alias("a")).join(loops, "a", "left").select("piece", "a", F.coalesce("loop", F.lit(0.0)).alias("loop"))
     while True:
-        degree = {n: sum(links[n].values()) + 2 * loops[n] for n in members}
-        twice = sum(degree.values())
-        if not twice:
-            return sorted(members.values(), key=min)
-        home, held = {n: n for n in members}, dict(degree)
-        moved_any, moving = False, True
-        while moving:
-            moving = False
-            order = sorted(members)
-            chance.shuffle(order)
-            for n in order:
-                toward: dict[int, float] = defaultdict(float)
-                for other, w in links[n].items():
-                    toward[home[other]] += w
-                held[home[n]] -= degree[n]
-
-                def gain(c: int, toward=toward, n=n) -> float:
-                    return toward[c] - resolution * held[c] * degree[n] / twice
-
-                best = home[n]
-                for c in sorted(toward):
-                    if gain(c) > gain(best) + 1e-12:
-                        best = c
-                held[best] += degree[n]
-                if best != home[n]:
-                    home[n], moving, moved_any = best, True, True
-        if not moved_any:
-            return sorted(members.values(), key=min)
-        merged: dict[int, set[int]] = defaultdict(set)
-        joined: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        inner: dict[int, float] = defaultdict(float)
-        for n, own in members.items():
-            merged[home[n]] |= own
-            inner[home[n]] += loops[n]
-            for other, w in links[n].items():
-                if home[other] != home[n]:
-                    joined[home[n]][home[other]] += w
-                elif n < other:
-                    inner[home[n]] += w
-        members, links, loops = dict(merged), {c: joined[c] for c in merged}, inner
-
-
-def split(nodes: dict[int, int], edges: list[tuple[int, int, float]], limit: int, resolution: float, seed: int) -> list[set[int]]:
-    """Communities of at most ``limit`` in summed size, but for those that no longer part."""
-    out, waiting = [], [set(nodes)] if nodes else []
-    while waiting:
-        own = waiting.pop()
-        if sum(nodes[n] for n in own) <= limit:
-            out.append(own)
-            continue
-        parts = louvain(sorted(own), [e for e in edges if e[0] in own and e[1] in own], resolution, seed)
-        if len(parts) == 1:
-            out.append(own)
-        else:
-            waiting.extend(parts)
-    return sorted(out, key=min)
+        degrees = links.groupBy("a").agg(F.sum("w").alias("k"))
+        homes = homes.join(degrees, "a", "left").select("piece", "a", (F.coalesce("k", F.lit(0.0)) + 2 * F.col("loop")).alias("k"), "loop", F.col("a").alias("home"))
+        homes, near = _settled(links, materialize(homes, "homes"), resolution, seed)
+        merged = not homes.where("a <> home").isEmpty()
+        if merged:
+            told = near.join(homes.select("a", "home"), "a").groupBy("piece", F.col("home").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("w"))
+            told = materialize(told, "contracted")
+            inner = told.where("a = b").select("a", (F.col("w") / 2).alias("more"))
+            after = homes.groupBy("piece", "home").agg(F.sum("loop").alias("loop")).withColumnRenamed("home", "a").join(inner, "a", "left")
+            after = materialize(after.select("piece", "a", (F.col("loop") + F.coalesce("more", F.lit(0.0))).alias("loop")), "homes")
+            placed = materialize(members.join(homes.select(F.col("a").alias("at"), "home"), "at").select("node", F.col("home").alias("at"), "piece"), "members")
+            fewer = materialize(told.where("a <> b"), "links")
+            discard(members, told, links)
+            members, links = placed, fewer
+        discard(homes, near)
+        if not merged:
+            break
+        homes = after
+    names = members.groupBy("at").agg(F.min("node").alias("community"))
+    found = cut(members.join(names, "at").select("node", "community"))
+    discard(members, links)
+    return found
 
 
 def split_components(nodes: DataFrame, edges: DataFrame, limit: int = SIZE_LIMIT, resolution: float = 0.1, seed: int = 0) -> DataFrame:
     """``(nodeid, orig_id, portfolio)`` for ``nodes`` with ``nodeid`` and ``size``, and ``edges`` with ``src``, ``dst`` and ``weight``.
 
-    Components are found in distributed rounds and numbered from 1 by their smallest node; only
-    those over the limit go to a worker each, which holds one component's nodes and edges.
+    Components are numbered from 1 by their smallest node.  One over the limit is split into its
+    communities, and these again, as long as they are over the limit and still part.
     """
-    ship(nodes.sparkSession)
     lone = nodes.select(F.col("nodeid").alias("src"), F.col("nodeid").alias("dst"))
     found = connected_components(edges.select("src", "dst").unionByName(lone))
     sized = cut(nodes.join(found, nodes["nodeid"] == found["node"]).select("nodeid", "size", "component"))
-    totals = with_dense_id(sized.groupBy("component").agg(F.sum("size").alias("total")), ["component"], "orig_id")
-    placed = sized.join(totals, "component")
-    large = placed.where(F.col("total") > limit)
-    members = large.select("component", F.lit(0).alias("kind"), F.col("nodeid").alias("a"), F.lit(None).cast("long").alias("b"), F.col("size").cast("double").alias("w"))
-    inside = edges.join(large.select(F.col("nodeid").alias("src"), "component"), "src").select("component", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows.kind == 0]
-        links = [(int(a), int(b), float(w)) for a, b, w in rows[rows.kind == 1][["a", "b", "w"]].itertuples(index=False)]
-        parts = split({int(a): int(w) for a, w in zip(own.a, own.w, strict=True)}, links, limit, resolution, seed)
-        return pd.DataFrame([(n, min(p)) for p in parts for n in sorted(p)], columns=["nodeid", "first"])
-
-    parted = members.unionByName(inside).groupBy("component").applyInPandas(run, "nodeid long, first long")
-    firsts = placed.join(parted, "nodeid", "left").select("nodeid", "orig_id", F.coalesce("first", "component").alias("first"))
-    groups = with_dense_id(firsts.select("first").distinct(), ["first"], "portfolio")
-    return firsts.join(groups, "first").select("nodeid", F.col("orig_id").cast("int").alias("orig_id"), F.col("portfolio").cast("int").alias("portfolio"))
+    originals = with_dense_id(sized.select("component").distinct(), ["component"], "orig_id")
+    placed = materialize(sized.select("nodeid", "size", "component", F.col("component").alias("piece"), F.lit(False).alias("whole")), "placed")
+    while True:
+        large = placed.where("NOT whole").groupBy("piece").agg(F.sum("size").alias("total")).where(F.col("total") > limit).select("piece")
+        large = materialize(large, "large")
+        if large.isEmpty():
+            discard(large)
+            break
+        own = placed.join(large, "piece", "left_semi").select("piece", F.col("nodeid").alias("node"))
+        ends = edges.join(own.toDF("piece", "src"), "src").join(own.toDF("other", "dst"), "dst").where("piece = other")
+        parts = communities(own, ends.select("piece", "src", "dst", "weight"), resolution, seed)
+        parted = placed.join(parts.withColumnRenamed("node", "nodeid"), "nodeid", "left")
+        single = parts.join(own, "node").groupBy("piece").agg(F.min("community").alias("low"), F.max("community").alias("high")).where("low = high").select("piece", F.lit(True).alias("single"))
+        after = parted.join(single, "piece", "left").select("nodeid", "size", "component", F.coalesce("community", "piece").alias("piece"), (F.col("whole") | F.coalesce("single", F.lit(False))).alias("whole"))
+        after = materialize(after, "placed")
+        discard(placed, large)
+        placed = after
+    groups = with_dense_id(placed.select("piece").distinct(), ["piece"], "portfolio")
+    rows = placed.join(groups, "piece").join(originals, "component")
+    return rows.select("nodeid", F.col("orig_id").cast("int").alias("orig_id"), F.col("portfolio").cast("int").alias("portfolio"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import itertools
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parcelweave.functions.text import sentence_list, title_case
 from parcelweave.functions.values import or_zero
 from parcelweave.operators.relational import co_members
-from parcelweave.sources.load import csv_lines, json_array, point, result_lines
+from parcelweave.sources.load import csv_lines, join_parts, json_parts, point, result_lines
 
 COUNTS = ("permits_total", "violations_open", "violations_total", "requests_311_total")
 ADDRESS = (
@@ -88,10 +88,26 @@ def address_export(parcels: DataFrame, portfolios: DataFrame, indicators: DataFr
     return None if first is None else itertools.chain([first], lines)
 
 
-def export_portfolios(portfolios: DataFrame, out: io.TextIOBase) -> int:
-    """All portfolios as one JSON array in the order of their ids."""
+def export_portfolios(portfolios: DataFrame, path: str, work: str | None = None) -> None:
+    """All portfolios as one JSON array in the order of their ids, in the file ``path``; its parts are written to the folder ``work``."""
     rows = portfolios.select("orig_id", "pins", "owner_names", F.from_json("graph", "struct<nodes:array<string>,edges:array<string>>").alias("portfolio"))
-    return json_array(rows, out, "orig_id")
+    parts = work or f"{path}-parts-{uuid.uuid4().hex}"
+    json_parts(rows, parts, "orig_id", "pins")
+    join_parts(portfolios.sparkSession, parts, path)
+
+
+def building_infos(parcels: DataFrame, indicators: DataFrame) -> DataFrame:
+    """What ``building_info`` tells, for all parcels."""
+    return _with_counts(parcels, indicators)
+
+
+def answered(asked: DataFrame, pin: str, known: DataFrame) -> DataFrame:
+    """``asked`` with ``status`` and, where there is one, ``answer``: the row of ``known`` for each pin as JSON, or what is wrong with the pin."""
+    key = F.trim(F.col(pin))
+    good = F.coalesce(key.rlike(f"^{PIN.pattern}$"), F.lit(False))
+    rows = known.select(F.col("pin").alias("_key"), F.to_json(F.struct(*known.columns), {"ignoreNullFields": "false"}).alias("answer"))
+    error = F.to_json(F.struct(F.lit("Bad request").alias("error"), F.concat(F.lit("Invalid PIN: "), F.coalesce(F.col(pin), F.lit("None"))).alias("validationErrors")))
+    return asked.join(rows, (key == F.col("_key")) & good, "left").drop("_key").withColumn("status", F.when(good, 200).otherwise(400)).withColumn("error", F.when(~good, error))
 
 
 def summary(addresses: DataFrame) -> DataFrame:

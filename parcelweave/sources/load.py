@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelweave.functions.text import csv_cell
+from parcelweave.operators.relational import with_dense_id
 from parcelweave.sources.datasets import DATASETS, DatasetSpec
 from parcelweave.sources.records import read_records
 
@@ -180,15 +181,47 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def json_array(df: DataFrame, out: io.TextIOBase, order: str) -> int:
-    """All rows as one JSON array in order, streamed partition by partition; the number of rows."""
-    n = 0
-    out.write("[")
-    for (line,) in df.orderBy(order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).toLocalIterator():
-        out.write(("," if n else "") + "\n" + line)
-        n += 1
-    out.write("\n]\n")
-    return n
+def json_parts(df: DataFrame, path: str, *order: str) -> None:
+    """All rows as one JSON array in order, as text files that form it one behind the other, by name."""
+    rows = with_dense_id(df, [*order], "_nth")
+    total = rows.agg(F.max("_nth").alias("_total"))
+    said = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    text = F.concat(F.when(F.col("_nth") == 1, "[").otherwise(","), said, F.when(F.col("_nth") == F.col("_total"), "]").otherwise(""))
+    rows = rows.crossJoin(F.broadcast(total)).select(text.alias("value"))  # one row
+    (df.sparkSession.createDataFrame([("[]",)], "value string") if rows.isEmpty() else rows).write.text(path)
+
+
+def join_parts(spark: SparkSession, path: str, target: str) -> None:
+    """The files of a folder as one file, in the order of their names: joined by the file system where it can, else copied byte by byte."""
+    fs, folder = _files(spark, path)
+    parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+    files, made = _files(spark, target)
+    out = files.create(made, True)
+    try:
+        if files.getScheme() == "hdfs":  # has concat
+            out.close()
+            if parts:
+                files.concat(made, _array(spark, parts))
+            return
+        for part in parts:
+            own = fs.open(part)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, 1 << 16, False)
+            own.close()
+    finally:
+        out.close()
+
+
+def _array(spark: SparkSession, paths: list):
+    made = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(paths))
+    for i, p in enumerate(paths):
+        made[i] = p
+    return made
+
+
+def csv_parts(df: DataFrame, path: str) -> None:
+    """Rows as CSV files with a header each: lists joined by commas, null as nothing."""
+    cells = [csv_cell(F.col(f"`{f.name}`"), isinstance(f.dataType, T.ArrayType)).alias(f.name) for f in df.schema]
+    df.select(*cells).write.options(header=True, escape='"', emptyValue="").csv(path)
 
 
 def csv_lines(df: DataFrame) -> Iterator[str]:

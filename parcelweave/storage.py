@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialize`` writes meanwhile."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, so that later passes prune columns."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._folder = path
+    for own in _SCOPES:
+        own.append(made)
+    return made
 
 
 def discard(*tables: DataFrame) -> None:
@@ -49,8 +68,8 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         context = table.sparkSession.sparkContext
         folder = shared_dir(table.sparkSession).rstrip("/")
-        for file in table.inputFiles():
-            path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        named = table.__dict__.get("_folder")
+        for path in [context._jvm.org.apache.hadoop.fs.Path(named)] if named else [context._jvm.org.apache.hadoop.fs.Path(f).getParent() for f in table.inputFiles()]:
             if path.getParent().toString().rstrip("/").split(":")[-1].lstrip("/") == folder.split(":")[-1].lstrip("/"):
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
                 break

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelweave.functions.text import normal_apartment
 from parcelweave.functions.trigram import similarity
-from parcelweave.operators.communities import louvain, split, split_components
+from parcelweave.operators.communities import communities, split_components
 from parcelweave.operators.components import connected_components
 from parcelweave.plans import landlords as ll
 
@@ -80,13 +80,65 @@ def test_split_respects_limit(frame):
     assert len({r.portfolio for r in made.values()}) == 3 and made[0].portfolio == made[4].portfolio != made[10].portfolio
 
 
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=30))
-def test_louvain_parts(pairs):
-    nodes = sorted({n for p in pairs for n in p})
-    parts = louvain(nodes, [(a, b, 1.0) for a, b in pairs], 0.5)
-    assert sorted(n for p in parts for n in p) == nodes
-    again = split(dict.fromkeys(nodes, 1), [(a, b, 1.0) for a, b in pairs], 4, 0.5, 0)
-    assert sorted(n for p in again for n in p) == nodes
+def modularity(parts, edges, resolution):
+    """Newman's, from its definition; a loop counts twice at its node."""
+    home = {n: i for i, p in enumerate(parts) for n in p}
+    twice, inner, degree = 0.0, 0.0, {}
+    for a, b, w in edges:
+        twice += 2 * w
+        inner += 2 * w * (home[a] == home[b])
+        for n in (a, b):
+            degree[home[n]] = degree.get(home[n], 0.0) + w
+    return inner / twice - resolution * sum(k * k for k in degree.values()) / twice**2
+
+
+def local_moves(edges, resolution):
+    """Communities by moving one node at a time, from any start to a local best; without contraction."""
+    nodes = sorted({n for e in edges for n in e[:2]})
+    home, moving = {n: n for n in nodes}, True
+    score = lambda: modularity([[n for n in nodes if home[n] == c] for c in set(home.values())], edges, resolution)
+    now = score()
+    while moving:
+        moving = False
+        for n in nodes:
+            for c in {home[b if a == n else a] for a, b, _ in edges if n in (a, b)}:
+                was, home[n] = home[n], c
+                if (new := score()) > now + 1e-12:
+                    now, moving = new, True
+                else:
+                    home[n] = was
+    return now
+
+
+def test_communities_against_moves_one_by_one(frame):
+    import random
+
+    r = random.Random(5)
+    edges = []
+    for piece in range(4):  # separate graphs of looser groups, searched at once
+        pairs = {(a, b) for a in range(24) for b in range(a + 1, 24) if r.random() < (0.5 if a // 6 == b // 6 else 0.05)}
+        edges += [(piece, 100 * piece + a, 100 * piece + b, r.choice((1.0, 2.0))) for a, b in pairs]
+    edges += [(0, 3, 3, 1.5), (1, 102, 103, 0.5), (1, 103, 102, 0.5)]
+    nodes = sorted({(p, n) for p, a, b, _ in edges for n in (a, b)} | {(9, 900)})
+    made = {x.node: x.community for x in communities(frame("piece long, node long", *nodes), frame("piece long, src long, dst long, weight double", *edges), 1.0).collect()}
+    assert set(made) == {n for _, n in nodes} and made[900] == 900
+    for piece in range(4):
+        own = [e[1:] for e in edges if e[0] == piece]
+        groups = {}
+        for p, n in nodes:
+            if p == piece:
+                groups.setdefault(made[n], []).append(n)
+        assert all(min(g) == c for c, g in groups.items())
+        assert modularity(list(groups.values()), own, 1.0) >= 0.95 * local_moves(own, 1.0)
+
+
+def test_split_again_and_whole(frame):
+    # four cliques, two and two joined more closely; one node too large to be split
+    clique = [(a, b, 1.0) for g in range(4) for a in range(10 * g, 10 * g + 6) for b in range(a + 1, 10 * g + 6)]
+    nodes = frame("nodeid long, size int", *[(10 * g + k, 40) for g in range(4) for k in range(6)], (99, 900), (100, 1))
+    made = {r.nodeid: r for r in split_components(nodes, frame("src long, dst long, weight double", *clique, (5, 10, 2.0), (25, 30, 2.0), (15, 20, 0.1), (99, 100, 1.0)), limit=300, resolution=1.0).collect()}
+    assert [len({made[10 * g + k].portfolio for k in range(6)}) for g in range(4)] == [1] * 4 and len({made[10 * g].portfolio for g in range(4)}) == 4
+    assert len({r.orig_id for n, r in made.items() if n < 99}) == 1 and {made[99].orig_id, made[100].orig_id} == {2}
 
 
 def test_components_against_union_find(frame):

@@ -1,7 +1,6 @@
 """The build from files to lookups, on a street of five parcels."""
 
 import csv
-import io
 import json
 
 import pytest
@@ -132,10 +131,10 @@ def test_sql_functions(spark, args):
         assert tuple(spark.sql("SELECT * FROM agg_info_from_pin(:pin)", {"pin": pin}).first()) == tuple(lookup.portfolio_totals(*args, pin).first())
 
 
-def test_exports(built, args):
-    out = io.StringIO()
-    assert lookup.export_portfolios(built["portfolios"], out) == 3
-    assert [r["pins"] for r in json.loads(out.getvalue())] == [r.pins for r in built["portfolios"].orderBy("orig_id").collect()]
+def test_exports(built, args, tmp_path):
+    for name, rows in (("all", built["portfolios"].repartition(3)), ("none", built["portfolios"].limit(0))):
+        lookup.export_portfolios(rows, str(tmp_path / name), str(tmp_path / f"{name}-parts"))
+        assert [r["pins"] for r in json.loads((tmp_path / name).read_text())] == [r.pins for r in rows.orderBy("orig_id").collect()]
     lines = list(lookup.address_export(*args, MILL))
     assert lines[0].startswith("pin,housenumber") and [x.split(",")[0] for x in lines[1:]] == [MILL, BARN, ROW]
     assert lookup.address_export(*args, NOBODY) is None
