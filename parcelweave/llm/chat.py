@@ -11,8 +11,9 @@ percent-encoded.  ``segments`` are the pieces of ``formatted`` in order, each wi
 loss mask covers an assistant's texts and nothing else.
 
 Edge cases: a null role or text is empty; a null turn sorts first and equal turns by role and
-text; repeated rows stay; an empty table gives an empty result; a null id is a conversation of
-its own.  One conversation is one value, so that its length is bounded by a row's.
+text; repeated rows stay; an empty table gives an empty result; each row without an id is a
+conversation of its own, so that these never meet in one task; other columns are ignored, whatever
+their names.  One conversation is one value, so that its length is bounded by a row's.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelweave.llm.common import let
+from parcelweave.llm.common import let, take
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
@@ -35,8 +36,9 @@ def unescape(text: Column) -> Column:
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", train_role: str = "assistant") -> DataFrame:
     """``(conv_col, segments, formatted)``, one row for each conversation."""
-    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sorted_turns = turns.groupBy(conv_col).agg(F.sort_array(F.collect_list(one)).alias("_turns"))
+    rows = take(turns, conv=conv_col, turn=turn_col, role=role_col, text=text_col).withColumn("_lone", F.when(F.col("conv").isNull(), F.monotonically_increasing_id()))
+    one = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sorted_turns = rows.groupBy(F.col("conv").alias(conv_col), "_lone").agg(F.sort_array(F.collect_list(one)).alias("_turns"))
 
     def segment(text: Column, train: Column | None = None) -> Column:
         return F.struct(text.alias("text"), (F.lit(False) if train is None else train).alias("train"))

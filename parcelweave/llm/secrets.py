@@ -9,8 +9,9 @@ dates, repeats, keyboard walks and brute-force spans, by dynamic programming fro
 value of any length takes time in proportion to its length.
 
 The dictionary is a list of common passwords followed by the words of public tokenizers'
-vocabularies, which stand in the order of their frequency (``VOCABULARIES``, a parameter); where
-these files are missing it is the list alone.
+vocabularies, which stand in the order of their frequency (``VOCABULARIES``, whose paths are a
+parameter).  Spans depend on it, so that a missing file is an error.  Repeats are of blocks of up to
+``PERIODS`` characters.
 
 Edge cases: a null or empty text has no spans; a text of any length is searched whole; offsets are
 code points, ends exclusive; repeated rows are searched alike; an empty table gives an empty result;
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import math
-import os
 import re
 from collections.abc import Iterator, Sequence
 
@@ -73,8 +73,8 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-#: Files of byte-level vocabularies in the order of their ranks: a token in base 64 and a rank on each line.
-VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Byte-level vocabularies in the order of their ranks, by their names in ``public_tokenizers``: a token in base 64 and a rank on each line.
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 #: Letters of a vocabulary's word, at least; shorter ones are mostly parts of words.
 WORD_LETTERS = 3
 #: Longest block of a repeat.
@@ -89,9 +89,13 @@ def _tokens(path: str) -> Iterator[str]:
                 yield token[1:].lower()
 
 
-def ranked_words(vocabularies: Sequence[str] = VOCABULARIES, first: Sequence[str] = COMMON) -> tuple[str, ...]:
-    """``first`` and then the whole words of the vocabularies that exist, the commonest first, each once."""
-    lists = [list(_tokens(path)) for path in vocabularies if os.path.exists(path)]
+def ranked_words(paths: Sequence[str] | None = None, first: Sequence[str] = COMMON) -> tuple[str, ...]:
+    """``first`` and then the whole words of the vocabularies at ``paths``, the commonest first, each once."""
+    if paths is None:
+        import public_tokenizers
+
+        paths = [public_tokenizers.path(name) for name in VOCABULARIES]
+    lists = [list(_tokens(path)) for path in paths]
     mixed = (own[i] for i in range(max(map(len, lists), default=0)) for own in lists if i < len(own))
     return tuple(dict.fromkeys((*first, *mixed)))
 

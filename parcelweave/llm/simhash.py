@@ -17,14 +17,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelweave.llm.common import carried, content, take, uncarried
 from parcelweave.operators.components import connected_components
 from parcelweave.shipping import ship
-from parcelweave.storage import materialize
+from parcelweave.storage import discard, materialize, scope
 
 BITS = 64
 #: Members of a bucket that one task compares at a time; larger buckets are dealt to cells of two chunks.
@@ -206,8 +206,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, distance: i
     """``(id, txt, fp)`` of every row, and ``(fp, component_id, first)`` of every fingerprint: its component's smallest id and ``first_row``."""
     marked = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("first_id"), first_row().alias("first")), "distinct")
-    edges = links(distinct, distinct.count(), distance)
-    found = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    with scope() as own:
+        edges = links(distinct, distinct.count(), distance)
+    found = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))  # a checkpoint
+    discard(*own)
     return marked, owners(distinct, "fp", found)
 
 
@@ -237,8 +239,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def first_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that are ``first`` in ``placed``, once each; of rows alike in id and text, that of the smallest content."""
+    """The rows of ``docs`` that are ``first`` in ``placed``, once each; of rows alike in id and text, that of the smallest content.
+
+    Winners are chosen on hashes alone.  Rows that agree in everything are reduced in each task
+    before they meet, however many there are.
+    """
     wanted = placed.select(F.struct(F.col("first.id").alias("id"), F.col("first.txt").alias("txt")).alias("_key")).distinct()
     rows = carried(docs, id=id_col, text=text_col).select("_row", F.struct("id", F.xxhash64(F.col("text").cast("string")).alias("txt")).alias("_key"), content(docs).alias("_content"))
-    once = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_content"))).where("_at = 1")
-    return uncarried(once.join(wanted, "_key", "left_semi"), docs)
+    counts = rows.select("_key", "_content").join(wanted, "_key", "left_semi").groupBy("_key", "_content").agg(F.count(F.lit(1)).alias("n"))
+    least = counts.groupBy("_key").agg(F.min(F.struct("_content", "n")).alias("_w"))
+    winners = materialize(least.select("_key", "_w._content", F.col("_w.n").alias("n")), "winners")
+    single = rows.join(winners.where("n = 1").select("_key", "_content"), ["_key", "_content"], "left_semi").select("_row")
+    several = rows.join(winners.where("n > 1").select("_key", "_content"), ["_key", "_content"], "left_semi")
+    once = several.groupBy("_key", "_content").agg(F.first("_row").alias("_row")).select("_row")
+    return uncarried(single.unionByName(once), docs)

@@ -100,6 +100,12 @@ def test_chat(spark):
     assert chat.digest(frame.limit(0)).count() == 0
 
 
+def test_turns_without_an_id_stand_alone(spark):
+    frame = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "assistant", "b"), (5, 0, "user", "c")], "lone long, turn long, role string, text string")
+    rows = chat.digest(frame, conv_col="lone").collect()
+    assert sorted((r.lone is None, r.n_turns, r.loss_chars) for r in rows) == [(False, 1, 0), (True, 1, 0), (True, 1, 0), (True, 1, 1)]
+
+
 def license_words(t):
     return re.sub(r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]", " ", (t or "").lower()).split()
 

@@ -1,10 +1,12 @@
 """The stages, one after the other, against what each must do to its own input."""
 
+import os
 import random
 
 import corpus_pipeline
 import pytest
 
+from parcelweave import storage
 from parcelweave.llm import toxicity
 
 
@@ -46,7 +48,10 @@ def test_stages(spark, sf_dir):
     assert seen["benchmark_passages"] == [k for k in unique if k >= 1000 or k % 50 != 7]
     assert set(seen["mixture"]) <= set(seen["benchmark_passages"]) and len(seen["mixture"]) != len(set(seen["mixture"]))
     assert seen["shards"] == seen["mixture"]
-    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == seen["shards"]
+    with storage.scope() as written:
+        assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == seen["shards"]
+    left = [t._folder for t in written if os.path.exists(t._folder.removeprefix("file://").removeprefix("file:"))]
+    assert len([f for f in left if "mixture-" in f]) == 1 and len(left) <= 3  # the last corpus and what the last stage reads of it
 
 
 def test_empty(spark, sf_dir, tmp_path):

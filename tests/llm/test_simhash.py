@@ -113,3 +113,10 @@ def test_huge_buckets_are_refined(spark, monkeypatch):
     for m, e in zip(marks, expected, strict=True):
         groups.setdefault(found.get(simhash.signed(m), simhash.signed(m)), set()).add(e)
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected)) < len(marks) - 20
+
+
+def test_many_rows_alike_leave_one(docs):
+    frame = docs(*[None] * 300, *["same words here and more"] * 200, ids=[None] * 300 + [4] * 200)
+    for search in (simhash, neardup):
+        frame = frame.select("doc_id", "text", "source").withColumn("source", frame["source"].substr(1, 1))  # all alike
+        assert sorted((r.doc_id is None, r.text) for r in search.deduplicate(frame).collect()) == [(False, "same words here and more"), (True, None)]
