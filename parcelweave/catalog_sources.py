@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from parcelweave.functions import text as tx
 from parcelweave.functions import values as v
 from parcelweave.operators import relational as op
 from parcelweave.operators.polygons import GEOMETRY, as_text, contains, point_text
-from parcelweave.plans import lookup, maps
+from parcelweave.plans import indexes, lookup, maps
 from parcelweave.sources.datasets import DATASETS, INLINE
 from parcelweave.sources.load import csv_parts, json_lines, json_parts, load_csv, load_positional, point, points, read_table, write_table
 from parcelweave.storage import cut, shared_dir
@@ -197,3 +198,32 @@ def split_portfolios(customer):
     made = placed.groupBy("orig_id", "portfolio").agg(F.array_sort(F.collect_list(F.lpad(F.col("c_custkey").cast("string"), 10, "0"))).alias("bbls"))
     ends = [F.element_at("bbls", k).cast("long").alias(name) for k, name in ((1, "low"), (-1, "high"))]
     return related_portfolios(made).select("orig_id", F.size("bbls").cast("long").alias("n"), *ends, F.array_join("relatedportfoliosbbls", ",").alias("related"))
+
+
+@query("""
+SELECT DISTINCT a.o_custkey AS asked, b.o_orderkey AS member FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderdate = b.o_orderdate WHERE a.o_orderkey IN (1, 2, 3, 7)""")
+def indexed_members(spark, orders):
+    """A customer's orders by one of them, through the tables by member and by group."""
+    path = _folder(spark, "members")
+    indexes.write_members(orders.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("keys")), path, "o_custkey", "keys")
+    found = None
+    for key in (1, 2, 3, 7):
+        rows = indexes.co_members(spark, path, key, "o_orderkey").join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+        found = rows if found is None else found.unionByName(rows)
+    return found.select(F.col("o_custkey").alias("asked"), F.col("o_orderkey").alias("member")).distinct()
+
+
+_ASKED = ("green", "LUE Lo", "n_w%e", "ab", "%", "a%b_", "zzzz", "r#00", "#0000010")
+
+
+@query("""
+WITH q AS (SELECT unnest(['green', 'LUE Lo', 'n_w%e', 'ab', '%', 'a%b_', 'zzzz', 'r#00', '#0000010']) AS asked), n AS (SELECT p_partkey AS pin, p_name AS address FROM part UNION ALL SELECT c_custkey + 1000000000, c_name FROM customer),
+r AS (SELECT asked, pin, row_number() OVER (PARTITION BY asked ORDER BY address, pin) AS place FROM q JOIN n ON address ILIKE '%' || asked || '%') SELECT asked, pin FROM r WHERE place <= 5""")
+def indexed_search(spark, part, customer):
+    """The first names that hold a text, through their trigrams; texts without three plain characters by a scan."""
+    path = _folder(spark, "trigrams")
+    names = part.select(F.col("p_partkey").alias("pin"), F.col("p_name").alias("address")).unionByName(customer.select((F.col("c_custkey") + 1_000_000_000).alias("pin"), F.col("c_name").alias("address")))
+    rows = cut(names.select("*", *[F.lit(None).cast("string").alias(c) for c in ("housenumber", "streetname", "city", "state", "zip")]))
+    lookup.write_search_index(rows, path)
+    found = [lookup.address_search(rows, q, 5, path).select(F.lit(q).alias("asked"), "pin") for q in _ASKED]
+    return reduce(DataFrame.unionByName, found)

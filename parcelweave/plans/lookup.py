@@ -8,12 +8,13 @@ import re
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.functions.text import sentence_list, title_case
 from parcelweave.functions.values import or_zero
 from parcelweave.operators.relational import co_members
+from parcelweave.plans import indexes
 from parcelweave.sources.load import csv_lines, join_parts, json_parts, point, result_lines
 
 COUNTS = ("permits_total", "violations_open", "violations_total", "requests_311_total")
@@ -47,17 +48,23 @@ def _with_counts(parcels: DataFrame, indicators: DataFrame) -> DataFrame:
     return parcels.join(indicators, "pin", "left").select(*ADDRESS, *[or_zero(c).alias(c) for c in COUNTS])
 
 
-def _members(portfolios: DataFrame, pin: str) -> DataFrame:
+def _members(portfolios: DataFrame | str, parcels: DataFrame, pin: str) -> DataFrame:
+    if isinstance(portfolios, str):
+        return indexes.co_members(parcels.sparkSession, portfolios, pin)
     return co_members(portfolios, "pins", pin, "pin")
 
 
-def portfolio_addresses(parcels: DataFrame, portfolios: DataFrame, indicators: DataFrame, pin: str) -> DataFrame:
-    """All parcels of the portfolios that hold a pin, in order; none for an unknown pin."""
+def portfolio_addresses(parcels: DataFrame, portfolios: DataFrame | str, indicators: DataFrame, pin: str) -> DataFrame:
+    """All parcels of the portfolios that hold a pin, in order; none for an unknown pin.
+
+    ``portfolios`` is the table, or the path of what ``indexes.write_members`` wrote of it, from
+    which a pin's portfolios are read without the others.
+    """
     pin = valid_pin(pin)
-    return _with_counts(parcels.join(_members(portfolios, pin), "pin", "left_semi"), indicators).orderBy("pin")
+    return _with_counts(parcels.join(_members(portfolios, parcels, pin), "pin", "left_semi"), indicators).orderBy("pin")
 
 
-def portfolio_totals(parcels: DataFrame, portfolios: DataFrame, indicators: DataFrame, pin: str) -> DataFrame:
+def portfolio_totals(parcels: DataFrame, portfolios: DataFrame | str, indicators: DataFrame, pin: str) -> DataFrame:
     """One row of sums over a pin's portfolios; zeros for an unknown pin."""
     rows = portfolio_addresses(parcels, portfolios, indicators, pin)
     return rows.agg(F.count(F.lit(1)).cast("int").alias("parcels"), *[F.coalesce(F.sum(c), F.lit(0)).cast("int").alias(name) for c, name in (("units_res", "units_res"), *[(c, c) for c in COUNTS])])
@@ -67,12 +74,29 @@ def building_info(parcels: DataFrame, indicators: DataFrame, pin: str) -> DataFr
     return _with_counts(point(parcels, "pin", valid_pin(pin)), indicators)
 
 
-def address_search(parcels: DataFrame, q: str, limit: int = 5) -> DataFrame:
-    """The first addresses that contain a text, in any case; ``%`` and ``_`` in it are wildcards."""
-    pattern = f"%{valid_query(q)}%"
+def _search_texts() -> list[Column]:
     both = F.concat(F.coalesce("housenumber", F.lit("")), F.lit(" "), F.coalesce("streetname", F.lit("")))
-    hit = F.coalesce("address", F.lit("")).ilike(pattern) | both.ilike(pattern)
-    return parcels.where(hit).orderBy(F.col("address").asc_nulls_last(), "pin").limit(limit).select("pin", "housenumber", "streetname", "address", "city", "state", "zip")
+    return [F.coalesce("address", F.lit("")), both]
+
+
+def write_search_index(parcels: DataFrame, path: str) -> None:
+    """What ``address_search`` reads in place of all addresses."""
+    indexes.write_trigrams(parcels, path, "pin", *_search_texts())
+
+
+def address_search(parcels: DataFrame, q: str, limit: int = 5, index: str | None = None) -> DataFrame:
+    """The first addresses that contain a text, in any case; ``%`` and ``_`` in it are wildcards.
+
+    With the path of a search index only parcels with the text's rarest trigrams are compared; a text without
+    three plain characters in a row is compared with all.
+    """
+    # a backslash stands for the character behind it, which LIKE takes for wildcards and backslashes only
+    pattern = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], f"%{valid_query(q)}%", flags=re.DOTALL)
+    near = indexes.candidates(parcels.sparkSession, index, valid_query(q)) if index else None
+    rows = parcels if near is None else parcels.join(near.withColumnRenamed("key", "pin"), "pin", "left_semi")
+    address, both = _search_texts()
+    rows = rows.where(address.ilike(pattern) | both.ilike(pattern))
+    return rows.orderBy(F.col("address").asc_nulls_last(), "pin").limit(limit).select("pin", "housenumber", "streetname", "address", "city", "state", "zip")
 
 
 def address_response(parcels: DataFrame, portfolios: DataFrame, indicators: DataFrame, pin: str) -> Iterator[str]:
