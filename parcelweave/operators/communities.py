@@ -132,14 +132,14 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 0.1, see
     return found
 
 
-def split_components(nodes: DataFrame, edges: DataFrame, limit: int = SIZE_LIMIT, resolution: float = 0.1, seed: int = 0) -> DataFrame:
+def split_components(nodes: DataFrame, edges: DataFrame, limit: int = SIZE_LIMIT, resolution: float = 0.1, seed: int = 0, spanning: DataFrame | None = None) -> DataFrame:
     """``(nodeid, orig_id, portfolio)`` for ``nodes`` with ``nodeid`` and ``size``, and ``edges`` with ``src``, ``dst`` and ``weight``.
 
-    Components are numbered from 1 by their smallest node.  One over the limit is split into its
+    ``spanning`` are fewer links with the same components.  Components are numbered from 1 by their smallest node.  One over the limit is split into its
     communities, and these again, as long as they are over the limit and still part.
     """
     lone = nodes.select(F.col("nodeid").alias("src"), F.col("nodeid").alias("dst"))
-    found = connected_components(edges.select("src", "dst").unionByName(lone))
+    found = connected_components((edges if spanning is None else spanning).select("src", "dst").unionByName(lone))
     sized = cut(nodes.join(found, nodes["nodeid"] == found["node"]).select("nodeid", "size", "component"))
     originals = with_dense_id(sized.select("component").distinct(), ["component"], "orig_id")
     placed = materialize(sized.select("nodeid", "size", "component", F.col("component").alias("piece"), F.lit(False).alias("whole")), "placed")

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelweave.functions.text import digits_only, join_words, normal_apartment, plain_upper, squish
-from parcelweave.functions.trigram import set_similarity, trigrams
 from parcelweave.functions.values import object_id, split_evenly
 from parcelweave.operators.communities import SIZE_LIMIT, split_components
 from parcelweave.operators.relational import numbered, with_dense_id
-from parcelweave.storage import cut
+from parcelweave.plans.links import TOGETHER, address_links, as_singles, block_links, blocks, name_links, spanning_links, street_pairs
+from parcelweave.storage import cut, discard, materialize
 
 #: Roles that own, the most telling first; fixed values.
 ROLES = ("IndividualOwner", "HeadOfficer", "JointOwner", "CorporateOwner")
@@ -53,42 +53,19 @@ def landlord_nodes(landlords: DataFrame) -> DataFrame:
     return with_dense_id(groups, [F.col(k).asc_nulls_first() for k in keys], "nodeid").withColumn("bizaptnum", digits_only("bizapt"))
 
 
-def _pairs(nodes: DataFrame, on: list[str], own: list[str], weight: Callable[[dict[str, Column], dict[str, Column]], tuple[Column, Column]]) -> DataFrame:
-    """Ordered pairs of different nodes that agree on ``on`` and whose condition holds, with weights."""
-    x = nodes.select(*on, *[F.col(c).alias(f"x_{c}") for c in ("nodeid", *own)])
-    y = nodes.select(*on, *[F.col(c).alias(f"y_{c}") for c in ("nodeid", *own)])
-    holds, value = weight({c: F.col(f"x_{c}") for c in own}, {c: F.col(f"y_{c}") for c in own})
-    return x.join(y, on).where(F.col("x_nodeid") != F.col("y_nodeid")).where(holds).select(F.col("x_nodeid").alias("src"), F.col("y_nodeid").alias("dst"), value.alias("weight"))
-
-
-def similar_streets(nodes: DataFrame, least: float = 0.8) -> DataFrame:
-    """``(street, other, sim)`` for streets that some name and zip has both of and that are alike; each pair is compared once."""
-    known = nodes.select("name", "bizzip", F.col("bizhousestreet").alias("street")).distinct()
-    pairs = known.join(known.withColumnRenamed("street", "other"), ["name", "bizzip"]).select("street", "other").distinct()
-    grams = nodes.select(F.col("bizhousestreet").alias("street")).distinct().withColumn("g", trigrams("street"))
-    rows = pairs.join(grams, "street").join(grams.toDF("other", "h"), "other")
-    return rows.select("street", "other", set_similarity("g", "h").alias("sim")).where(F.col("sim") > F.lit(least).cast("float"))
+def _both_orders(rows: DataFrame) -> DataFrame:
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return rows.select(ends.alias("e"), "weight").select("e.*", "weight")
 
 
 def name_edges(nodes: DataFrame) -> DataFrame:
-    """The same name and zip, and a similar street: over 0.9, or over 0.8 with the same apartment number."""
-    own = ["name", "bizzip", "bizhousestreet", "nodeid", "bizapt", "bizaptnum"]
-    x = nodes.select(*own).toDF("name", "bizzip", "street", "src", "x_apt", "x_num").join(similar_streets(nodes), "street")
-    y = nodes.select(*own).toDF("name", "bizzip", "other", "dst", "y_apt", "y_num")
-    close = (F.col("sim") > F.lit(0.9).cast("float")) | (F.col("x_num") == F.col("y_num"))
-    rows = x.join(y, ["name", "bizzip", "other"]).where((F.col("src") != F.col("dst")) & close)
-    return rows.select("src", "dst", (F.col("sim").cast("double") + F.coalesce(F.col("x_apt") == F.col("y_apt"), F.lit(False)).cast("double") * 0.5 + 1).alias("weight"))
+    """The same name and zip, and a similar street: over 0.9, or over 0.8 with the same apartment number; each pair in both orders."""
+    return _both_orders(name_links(as_singles(nodes)))
 
 
 def address_edges(nodes: DataFrame) -> DataFrame:
-    """The same street and zip, and no apartment numbers that differ."""
-    rows = nodes.withColumn("grams", trigrams("name"))
-
-    def weight(x, y):
-        holds = (x["bizaptnum"] == y["bizaptnum"]) | (x["bizaptnum"] == "") | (y["bizaptnum"] == "")
-        return holds, F.coalesce(set_similarity(x["grams"], y["grams"]).cast("double"), F.lit(0.0)) + 2
-
-    return _pairs(rows, ["bizhousestreet", "bizzip"], ["grams", "bizaptnum"], weight)
+    """The same street and zip, and no apartment numbers that differ; each pair in both orders."""
+    return _both_orders(address_links(as_singles(nodes)))
 
 
 def landlord_connections(landlords: DataFrame) -> DataFrame:
@@ -126,7 +103,11 @@ def parent_nodes(nodes: DataFrame, least: int = 5) -> DataFrame:
 
 
 def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(portfolio, graph)``: nodes, with those they share as parents, and edges."""
+    """``(portfolio, graph)``: nodes, with those they share as parents, and edges.
+
+    Where ``nodes`` has blocks of several nodes, ``groups`` names their members, and an edge of a block's
+    first node stands for those of all of them; a block's members are linked among each other.
+    """
     marked = parent_nodes(nodes)
     owners = marked.groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct(F.col("nodeid").cast("string").alias("id"), F.lit("owner").alias("type"), F.struct(F.col("name").alias("value"), "bizaddr", "bbls", "parent").alias("data")))).alias("owners"))
 
@@ -134,21 +115,37 @@ def graph_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return marked.where(F.col(f"_n_{column}").isNotNull()).groupBy("portfolio", F.col(column).alias("value"), F.lit(kind).alias("type")).agg(F.first(f"_n_{column}").alias("n"))
 
     shared = parents("name", "name").unionByName(parents("bizaddr", "bizaddr")).groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "type", "value"))).alias("shared"))
-    inside = edges.join(nodes.select(F.col("nodeid").alias("src"), "portfolio"), "src").join(nodes.select(F.col("nodeid").alias("dst"), F.col("portfolio").alias("_p")), "dst").where("portfolio = _p")
+    inside = edges.where("src <> dst").join(nodes.select(F.col("nodeid").alias("src"), "portfolio"), "src").join(nodes.select(F.col("nodeid").alias("dst"), F.col("portfolio").alias("_p")), "dst").where("portfolio = _p")
     links = inside.groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), "type", "weight"))).alias("links"))
     rows = owners.join(shared, "portfolio", "left").join(links, "portfolio", "left")
-    document = F.struct(F.struct("owners", F.transform(F.coalesce("shared", F.array().cast("array<struct<less:bigint,type:string,value:string>>")), lambda s: F.struct(s["value"].alias("id"), s["type"].alias("type"))).alias("parents")).alias("nodes"), F.coalesce("links", F.array().cast("array<struct<source:string,target:string,type:string,weight:double>>")).alias("edges"))
-    return rows.select("portfolio", F.to_json(document, {"ignoreNullFields": "false"}).alias("graph"))
-
-
-def build_landlord_portfolios(landlords: DataFrame, limit: int = SIZE_LIMIT, resolution: float = 0.1, seed: int = 0) -> DataFrame:
-    """``(orig_id, bbls, landlord_names, graph, relatedportfoliosbbls)``: components, split where they hold too many buildings."""
-    connections = cut(landlord_connections(landlords))
-    nodes, edges = build_graph(connections)
-    parts = split_components(nodes.select("nodeid", F.size("bbls").alias("size")), edges, limit, resolution, seed)
-    placed = cut(nodes.join(parts, "nodeid"))
+    document = [F.struct("owners", F.transform(F.coalesce("shared", F.array().cast("array<struct<less:bigint,type:string,value:string>>")), lambda s: F.struct(s["value"].alias("id"), s["type"].alias("type"))).alias("parents")).alias("nodes"), F.coalesce("links", F.array().cast("array<struct<source:string,target:string,type:string,weight:double>>")).alias("edges")]
+    plain = F.to_json(F.struct(*document), {"ignoreNullFields": "false"})
+    if "block" not in nodes.columns:
+        return rows.select("portfolio", plain.alias("graph"))
+    members = nodes.where("NOT single").groupBy("portfolio", "block").agg(F.array_sort(F.collect_list(F.col("nodeid").cast("string"))).alias("members"))
+    groups = members.groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct(F.col("block").cast("string").alias("id"), "members"))).alias("groups"))
+    rows = rows.join(groups, "portfolio", "left")
+    return rows.select("portfolio", F.when(F.col("groups").isNull(), plain).otherwise(F.to_json(F.struct(*document, "groups"), {"ignoreNullFields": "false"})).alias("graph"))
+
+
+def build_landlord_portfolios(landlords: DataFrame, limit: int = SIZE_LIMIT, resolution: float = 0.1, seed: int = 0, together: int = TOGETHER) -> DataFrame:
+    """``(orig_id, bbls, landlord_names, graph, relatedportfoliosbbls)``: components, split where they hold too many buildings.
+
+    Components need a few links for each landlord.  Links are listed by pair but in classes of more than ``together``
+    landlords, who are all linked and one node of the graph (``blocks``), so that there are at most
+    about ``together`` of them for each landlord and class.
+    """
+    nodes = materialize(blocks(landlord_nodes(landlords), together), "landlords")
+    pairs = materialize(street_pairs(nodes), "streets")
+    edges = materialize(block_links(nodes, pairs), "links")
+    units = nodes.groupBy(F.col("block").alias("nodeid")).agg(F.sum(F.size("bbls")).alias("size"))
+    spanning = spanning_links(nodes.drop("nodeid").withColumn("nodeid", F.col("block")), pairs)
+    parts = split_components(units, edges, limit, resolution, seed, spanning)
+    placed = cut(nodes.join(parts.withColumnRenamed("nodeid", "block"), "block"))
     listed = placed.groupBy("portfolio", "orig_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("bbls")))).alias("bbls"), F.array_sort(F.collect_set("name")).alias("landlord_names"))
-    return related_portfolios(listed.join(graph_documents(placed, edges), "portfolio")).select("orig_id", "bbls", "landlord_names", "graph", "relatedportfoliosbbls")
+    made = cut(related_portfolios(listed.join(graph_documents(placed, edges), "portfolio")).select("orig_id", "bbls", "landlord_names", "graph", "relatedportfoliosbbls"))
+    discard(nodes, pairs, edges)
+    return made
 
 
 def related_portfolios(portfolios: DataFrame) -> DataFrame:
