@@ -305,7 +305,7 @@ def _related(t: dict[str, DataFrame]) -> DataFrame:
     numbered, members = _documents(t), _members(t)[0]
     pairs = goodcause.portfolio_pairs(members, t["landlords"], t["pluto_latest"])
     docs = goodcause.documents_by_bbl(numbered, t["real_property_parties"])
-    return goodcause.related_lots(pairs, goodcause.owner_pairs(t["pluto_latest"]), goodcause.document_pairs(numbered), t["pluto_latest"], docs)
+    return goodcause.related_lots(pairs, goodcause.owner_pairs(t["pluto_latest"], pairs), goodcause.document_pairs(numbered, pairs), t["pluto_latest"], docs)
 
 
 @plan(_DOCS, _DOCS_SQL + _RELATED_SQL + " SELECT ref_bbl, bbl, match_ownername, match_multidoc, true AS match_portfolio, match_name, address, true AS near FROM rel")

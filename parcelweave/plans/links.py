@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parcelweave.functions.trigram import set_similarity, trigrams
 from parcelweave.operators.components import connected_components
 from parcelweave.operators.similar import similar_pairs
+from parcelweave.storage import cut
 
 #: A class of more landlords than this is one node where links are listed by pair.
 TOGETHER = 300
@@ -65,13 +66,19 @@ def spanning_links(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFram
     return by_address.unionByName(by_name).unionByName(across.select("src", "dst")).where("dst IS NOT NULL AND src <> dst")
 
 
+def as_singles(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("block", F.col("nodeid")).withColumn("single", F.lit(True))
+
+
 def blocks(nodes: DataFrame, most: int = TOGETHER) -> DataFrame:
     """``nodes`` with ``block``: the smallest of the nodes that crowded classes join it with, or itself, and whether it is ``single``."""
     def crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
         crowds = rows.groupBy(*keys).agg(F.min("nodeid").alias("dst"), F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
         return rows.join(crowds, keys).select(F.col("nodeid").alias("src"), "dst")
 
-    links = crowded(_at(nodes).where("unit <> '?'"), [*PLACE, "unit"]).unionByName(crowded(_named(nodes), OWNER))
+    links = cut(crowded(_at(nodes).where("unit <> '?'"), [*PLACE, "unit"]).unionByName(crowded(_named(nodes), OWNER)))
+    if links.isEmpty():
+        return as_singles(nodes)
     found = connected_components(links).select(F.col("node").alias("nodeid"), F.col("component").alias("block"))
     return nodes.join(found, "nodeid", "left").withColumn("single", F.col("block").isNull()).withColumn("block", F.coalesce("block", "nodeid"))
 
@@ -98,10 +105,6 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("pairs").alias("pairs"), F.sum("weight").alias("weight"))
 
 
-def as_singles(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.col("nodeid")).withColumn("single", F.lit(True))
-
-
 def address_links(nodes: DataFrame) -> DataFrame:
     """``(src, dst, pairs, weight)`` between the blocks of ``nodes``, ``src <= dst``: the same street and zip, and no apartment numbers that differ.
 
@@ -119,7 +122,7 @@ def name_links(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     A pair of nodes weighs 1 more than that similarity, and two single nodes with the same apartment 0.5 besides.
     """
     named = _named(nodes)
-    pairs = street_pairs(nodes) if pairs is None else pairs
+    pairs = cut(street_pairs(nodes)) if pairs is None else pairs
     others, strong, weak = [*OWNER[:2], "other"], pairs.where(F.col("sim") > _real(SAME)), pairs.where(F.col("sim") <= _real(SAME))
     whole, numbered = _members(named, OWNER, "bizapt"), _members(named.where("bizaptnum IS NOT NULL"), [*OWNER, "bizaptnum"], "bizapt")
     rows = _inside(whole, OWNER).withColumn("sim", _real(1.0)).select("sim", "x", "y", "ax", "ay", "pairs")
