@@ -269,14 +269,32 @@ def plan_district_rollup(spark, t):
     return district_rollup(_eligible(t), "assem_dist")
 
 
-@plan(_CAUSE, """, z AS (SELECT unnest([10, 11, 12, 13, 14, 15, 16]) AS zoom_level), p AS (SELECT count(*) AS bbls_count, sum(unitsres) AS unitsres FROM pluto_latest) SELECT zoom_level, bbls_count, CAST(unitsres AS BIGINT) AS unitsres, true AS fine FROM z, p""")
+def _m(phi: str) -> str:
+    return f"(cos({phi}) / sqrt(1 - pow(e * sin({phi}), 2)))"
+
+
+def _t(phi: str) -> str:
+    return f"(tan(pi() / 4 - ({phi}) / 2) / pow((1 - e * sin({phi})) / (1 + e * sin({phi})), e / 2))"
+
+
+#: The conic projection of lots, in feet, as SQL arithmetic.
+_FEET = f"""c0 AS (SELECT sqrt(fl * (2 - fl)) AS e FROM (SELECT 1 / 298.257222101e0 AS fl)), c1 AS (SELECT e, radians(41 + 2 / 60e0) AS a, radians(40 + 40 / 60e0) AS b, radians(40 + 10 / 60e0) AS o FROM c0),
+c2 AS (SELECT *, (ln({_m('a')}) - ln({_m('b')})) / (ln({_t('a')}) - ln({_t('b')})) AS n FROM c1), c3 AS (SELECT *, 6378137e0 * {_m('a')} / (n * pow({_t('a')}, n)) AS f FROM c2),
+polar AS (SELECT bbl, unitsres, f * pow({_t('radians(latitude)')}, n) AS rho, f * pow({_t('o')}, n) AS rho0, n * (radians(longitude) + radians(74e0)) AS theta FROM pluto_latest, c3),
+feet AS (SELECT bbl, unitsres, (rho * sin(theta) + 300000) * 3937 / 1200 AS x, (rho0 - rho * cos(theta)) * 3937 / 1200 AS y FROM polar)"""
+
+
+@plan(_CAUSE, f""", {_FEET}, z AS (SELECT z AS zoom_level, 4800 / pow(2, z - 10) AS edge FROM unnest([10, 11, 12, 13, 14, 15, 16]) u(z)), axial AS (SELECT zoom_level, edge, unitsres, x * 2 / 3 / edge AS q, (y * sqrt(3) / 3 - x / 3) / edge AS r FROM feet, z),
+near AS (SELECT *, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs FROM axial), off AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM near),
+hex AS (SELECT zoom_level, edge, unitsres, CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r FROM off)
+SELECT zoom_level, q, r, CAST(count(*) AS INT) AS bbls_count, CAST(sum(unitsres) AS INT) AS unitsres, round(q * 1.5 * edge, 1) AS centre_x, round((r + q / 2) * sqrt(3) * edge, 1) AS centre_y FROM hex GROUP BY zoom_level, edge, q, r""")
 def plan_hexagons(spark, t):
-    """Every zoom's hexagons hold all lots, and no lot is farther from its hexagon's centre than the edge allows."""
-    from parcelweave.plans.maps import EDGES, hexagons
+    """Every zoom's hexagons, their lots, and their centres projected back to feet."""
+    from parcelweave.functions.geo import Conic
+    from parcelweave.plans.maps import hexagons
 
-    made = hexagons(_eligible(t))
-    ring = F.from_json(F.get_json_object("geom_json", "$.coordinates[0]"), "array<array<double>>")
-    return made.groupBy("zoom_level").agg(F.sum("bbls_count").cast("long").alias("bbls_count"), F.sum("unitsres").cast("long").alias("unitsres"), (F.min(F.size(ring)) == 7).alias("fine")).where(F.col("zoom_level").isin(*EDGES))
+    x, y = Conic().forward("longitude", "latitude")
+    return hexagons(_eligible(t)).select("zoom_level", "q", "r", "bbls_count", "unitsres", F.round(x, 1).alias("centre_x"), F.round(y, 1).alias("centre_y"))
 
 
 _DOCS = f"{_CAUSE} real_property_master real_property_legals real_property_parties"
@@ -308,9 +326,9 @@ def _related(t: dict[str, DataFrame]) -> DataFrame:
     return goodcause.related_lots(pairs, goodcause.owner_pairs(t["pluto_latest"], pairs), goodcause.document_pairs(numbered, pairs), t["pluto_latest"], docs)
 
 
-@plan(_DOCS, _DOCS_SQL + _RELATED_SQL + " SELECT ref_bbl, bbl, match_ownername, match_multidoc, true AS match_portfolio, match_name, address, true AS near FROM rel")
+@plan(_DOCS, _DOCS_SQL + _RELATED_SQL + f", {_FEET} SELECT ref_bbl, rel.bbl, match_ownername, match_multidoc, true AS match_portfolio, match_name, address, CAST(round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS BIGINT) AS distance_ft FROM rel JOIN feet a ON a.bbl = ref_bbl JOIN feet b ON b.bbl = rel.bbl")
 def plan_related_lots(spark, t):
-    return _related(t).select("ref_bbl", "bbl", "match_ownername", "match_multidoc", "match_portfolio", "match_name", "address", (F.col("distance_ft") >= 0).alias("near"))
+    return _related(t).select("ref_bbl", "bbl", "match_ownername", "match_multidoc", "match_portfolio", "match_name", "address", F.round("distance_ft").cast("long").alias("distance_ft"))
 
 
 @plan(_DOCS, _DOCS_SQL + _CERTS_SQL + _SUBSIDIES_SQL + _RELATED_SQL + """, n AS (SELECT bbl, count(*) AS docs FROM docs WHERE place <= 5 GROUP BY 1), r AS (SELECT ref_bbl AS bbl, string_agg(bbl, ',' ORDER BY bbl) AS related FROM rel GROUP BY 1)

@@ -13,10 +13,11 @@ from parcelweave.catalog_plans import built, counted
 from parcelweave.functions import text as tx
 from parcelweave.functions import values as v
 from parcelweave.operators import relational as op
-from parcelweave.operators.polygons import GEOMETRY, as_text, contains, point_text
+from parcelweave.operators.polygons import GEOMETRY, as_text, centre_of, label_of, point_text, simplified
 from parcelweave.plans import indexes, lookup, maps
 from parcelweave.sources.datasets import DATASETS, INLINE
 from parcelweave.sources.load import csv_parts, json_lines, json_parts, load_csv, load_positional, point, points, read_table, write_table
+from parcelweave.shipping import ship
 from parcelweave.storage import cut, shared_dir
 
 
@@ -100,7 +101,41 @@ def points_in_polygons(spark, part, region):
 
     shapes = region.select(F.col("r_regionkey").alias("district"), F.expr(f"array(array({ring('r_regionkey * 1000', 0, 1000, 500)}, {ring('r_regionkey * 1000 + 200', 100, 200, 200)}))").cast(GEOMETRY).alias("geom"))
     rows = part.select(F.col("p_partkey").alias("id"), (F.col("p_size") * 100 + 0.5).cast("double").alias("x"), (F.col("p_partkey") % 700 + 0.5).cast("double").alias("y"))
-    return maps.located(rows, shapes, "district", 300.0).select("id", "district", point_text(F.col("x"), F.col("y")).alias("said"))
+    return maps.located(rows, shapes, "district").select("id", "district", point_text(F.col("x"), F.col("y")).alias("said"))
+
+
+@query("""
+WITH v AS (SELECT CAST(c_custkey AS BIGINT) AS k, k // 40 AS g, CAST(k * 7919 % 1000 + g % 16 * 600 AS DOUBLE) AS x, CAST(k * 104729 % 1000 + g // 16 * 600 AS DOUBLE) AS y FROM customer),
+s AS (SELECT g, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS to_y FROM v WINDOW w AS (PARTITION BY g ORDER BY k)),
+p AS (SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN id % 3 = 0 THEN 100 + id % 7 ELSE id * 31 % 9600 END + 0.25e0 AS px, CAST(id * 17 % 2500 + id // 1000 * 600 AS DOUBLE) AS py FROM part)
+SELECT id, g AS shape FROM p JOIN s ON (ay > py) <> (to_y > py) AND px < (bx - ax) * (py - ay) / (to_y - ay) + ax GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
+def shape_points(customer, part):
+    """Points, a third of them on a few lines, in overlapping shapes of forty corners whose sides cross each other."""
+    key, id_ = F.col("c_custkey").cast("long"), F.col("p_partkey").cast("long")
+    corner = customer.select(key.alias("k"), F.floor(key / 40).alias("shape"))
+    x, y = (F.col("k") * 7919 % 1000 + F.col("shape") % 16 * 600).cast("double"), (F.col("k") * 104729 % 1000 + F.floor(F.col("shape") / 16) * 600).cast("double")
+    corner = corner.groupBy("shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", x.alias("x"), y.alias("y")))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("ring"))
+    shapes = corner.select("shape", F.array(F.array(F.concat("ring", F.slice("ring", 1, 1)))).cast(GEOMETRY).alias("geom"))
+    points = part.select(id_.alias("id"), (F.when(id_ % 3 == 0, 100 + id_ % 7).otherwise(id_ * 31 % 9600) + 0.25).cast("double").alias("x"), (id_ * 17 % 2500 + F.floor(id_ / 1000) * 600).cast("double").alias("y"))
+    return maps.located(points, shapes, "shape").select("id", "shape")
+
+
+@query("""
+SELECT id, x || ' ' || y || ',' || (x + w) || ' ' || y || ',' || (x + w) || ' ' || (y + h) || ',' || x || ' ' || (y + h) AS corners, true AS wide, round(x + w / 2e0, 2) AS centre_x, round(y + h / 2e0, 2) AS centre_y
+FROM (SELECT CAST(s_suppkey AS BIGINT) AS id, 984250 + id % 1000 * 10 AS x, id % 77 * 100 AS y, 200 + id % 40 * 20 AS w, 300 + id % 500 AS h FROM supplier)""")
+def shape_labels(spark, supplier):
+    """Oblongs with dents below the tolerance: corners left, the centre, and whether the label's circle is within 1 % of the widest."""
+    ship(spark)
+    id_ = F.col("s_suppkey").cast("long")
+    rows = supplier.select(id_.alias("id"), (984250 + id_ % 1000 * 10).alias("x"), (id_ % 77 * 100).alias("y"), (200 + id_ % 40 * 20).alias("w"), (300 + id_ % 500).alias("h"))
+    dented = [("0", "0"), ("w / 2", "7"), ("w", "0"), ("w - 6", "h / 3"), ("w", "h"), ("w / 3", "h - 5"), ("0", "h"), ("4", "h / 2"), ("0", "0")]
+    ring = F.array(*[F.struct((F.col("x") + F.expr(a)).cast("double").alias("x"), (F.col("y") + F.expr(b)).cast("double").alias("y")) for a, b in dented])
+    rows = cut(rows.withColumn("geom", simplified(F.array(F.array(ring)), 10.0)))
+    rows = cut(rows.withColumn("label", label_of(F.col("geom"))).withColumn("centre", centre_of(F.col("geom"))))
+    corners = F.array_join(F.transform(F.slice(F.flatten(F.flatten("geom")), 1, 4), lambda p: F.concat_ws(" ", p["x"].cast("long"), p["y"].cast("long"))), ",")
+    gap = F.least(F.col("label.x") - F.col("x"), F.col("x") + F.col("w") - F.col("label.x"), F.col("label.y") - F.col("y"), F.col("y") + F.col("h") - F.col("label.y"))
+    wide = (gap >= F.least("w", "h") / 2 * 0.99) & (F.size(F.flatten(F.flatten("geom"))) == 5)
+    return rows.select("id", corners.alias("corners"), wide.alias("wide"), F.round("centre.x", 2).alias("centre_x"), F.round("centre.y", 2).alias("centre_y"))
 
 
 def _squares(region: DataFrame, key: str, kind: str = "int", *more) -> DataFrame:

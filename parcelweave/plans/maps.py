@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from parcelweave.functions.geo import Conic, hex_bin, hex_centre, hex_corners, ring_geojson
 from parcelweave.functions.text import digits_only
-from parcelweave.operators.polygons import centre_of, contains, geojson, label_of, simplified
+from parcelweave.operators.cover import MOST_SIDES, cell_of, cover, held
+from parcelweave.operators.polygons import centre_of, geojson, label_of, simplified
 from parcelweave.operators.relational import rolled_up, top_per_group, union_distinct, with_dense_id
 from parcelweave.shipping import ship
-from parcelweave.storage import cut
+from parcelweave.storage import cut, materialize
 
 #: Edges of the hexagons in feet, by zoom; each half of the one before.
 EDGES = {zoom: 4800 / 2 ** (zoom - 10) for zoom in range(10, 17)}
 DISTRICTS = {"assem_dist": "assemdist", "coun_dist": "coundist", "stsen_dist": "stsendist", "cong_dist": "congdist"}
 NO_ZIP = ("00083",)
-#: Corners of shapes, counted in each cell of a shape, that may be broadcast (about 16 bytes each).
+#: Sides of shapes, counted in each cell of a shape, that may be broadcast (about 32 bytes each).
 MOST_CORNERS = 2_000_000
 
 
@@ -80,20 +81,26 @@ def hexagons(rows: DataFrame, edges: Mapping[int, float] = EDGES, projection: Co
     return out.select("zoom_level", "q", "r", lon.alias("longitude"), lat.alias("latitude"), ring_geojson(F.transform("_s.ring", degrees)).alias("geom_json"), *names)
 
 
-def located(points: DataFrame, shapes: DataFrame, key: str, cell: float = 5000.0) -> DataFrame:
-    """Points with the shapes that hold them: both are dealt to square cells, then tested exactly.
+def located(points: DataFrame, shapes: DataFrame, key: str, most: int = MOST_SIDES) -> DataFrame:
+    """Points with the shapes that hold them, as ``contains`` says, through the shapes' quadtree cells.
 
-    ``points`` has ``x`` and ``y``, ``shapes`` has ``key`` and ``geom``, all in one plane.
+    ``points`` has ``x`` and ``y``, ``shapes`` has ``key`` and ``geom``, all in one plane.  A point meets the
+    cells of a shape once, and is tested against at most ``most`` sides there, or those that meet in one place.
+    Points without coordinates are in no shape.
     """
-    flat = F.flatten(F.flatten("geom"))
-    xs, ys = F.transform(flat, lambda p: F.floor(p["x"] / cell)), F.transform(flat, lambda p: F.floor(p["y"] / cell))
-    cells = shapes.withColumn("_cx", F.explode(F.sequence(F.array_min(xs), F.array_max(xs)))).withColumn("_cy", F.explode(F.sequence(F.array_min(ys), F.array_max(ys))))
-    cells = cells.select(key, "geom", "_cx", "_cy")
-    corners = cells.agg(F.sum(F.size(F.flatten(F.flatten("geom"))))).first()[0] or 0
-    if corners <= MOST_CORNERS:
-        cells = F.broadcast(cells)
-    near = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(cells, ["_cx", "_cy"])
-    return near.where(contains(F.col("geom"), F.col("x"), F.col("y"))).drop("_cx", "_cy", "geom")
+    cells = materialize(cover(shapes, key, most), "cells")
+    size = F.pow(F.lit(2.0), -F.col("level"))
+    sides = F.coalesce(F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["sides"])), F.lit(0))
+    box = [f(F.col(c) * size + add).alias(n) for f, c, n, add in ((F.min, "cx", "x0", 0), (F.max, "cx", "x1", size), (F.min, "cy", "y0", 0), (F.max, "cy", "y1", size))]
+    about = cells.agg(F.collect_set("level").alias("levels"), F.sum(sides + 1).alias("n"), *box).first()  # levels are few, as doublings of size
+    if not about["levels"]:
+        return points.crossJoin(shapes.select(key).limit(0))
+    x, y = F.col("x"), F.col("y")
+    near = points.where((x >= about["x0"]) & (x < about["x1"]) & (y >= about["y0"]) & (y < about["y1"]))
+    near = near.withColumn("_at", F.explode(F.array(*[cell_of(x, y, n) for n in sorted(about["levels"])])))
+    own = cells.select(F.struct("level", "cx", "cy").alias("_at"), F.col(key).alias("_key"), "parts")
+    found = near.join(F.broadcast(own) if about["n"] <= MOST_CORNERS else own, "_at")
+    return found.select("*", "_at.*").where(held(x, y)).select(*[F.col(f"`{c}`") for c in points.columns], F.col("_key").alias(key))
 
 
 def _layer(rows: DataFrame, kind: str, label: str, value: Column, name: Column) -> DataFrame:
