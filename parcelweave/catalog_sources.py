@@ -15,6 +15,7 @@ from parcelweave.functions import values as v
 from parcelweave.operators import relational as op
 from parcelweave.operators.polygons import GEOMETRY, as_text, centre_of, label_of, point_text, simplified
 from parcelweave.plans import indexes, lookup, maps
+from parcelweave.sources.builds import build_needed
 from parcelweave.sources.datasets import DATASETS, INLINE
 from parcelweave.sources.load import csv_parts, json_lines, json_parts, load_csv, load_positional, point, points, read_table, write_table
 from parcelweave.shipping import ship
@@ -104,6 +105,32 @@ def points_in_polygons(spark, part, region):
     return maps.located(rows, shapes, "district").select("id", "district", point_text(F.col("x"), F.col("y")).alias("said"))
 
 
+@query("""
+WITH n AS (SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS totals, (SELECT count(DISTINCT c_nationkey) FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey) AS nations, (SELECT count(*) FROM customer) AS people)
+SELECT build, step, n, ran FROM (SELECT 1 AS build, 'totals' AS step, totals AS n, true AS ran FROM n UNION ALL SELECT 1, 'nations', nations, true FROM n UNION ALL SELECT 1, 'people', people, true FROM n
+UNION ALL SELECT 2, 'totals', totals, false FROM n UNION ALL SELECT 2, 'nations', nations, false FROM n UNION ALL SELECT 2, 'people', people, false FROM n
+UNION ALL SELECT 3, 'totals', totals, false FROM n UNION ALL SELECT 3, 'nations', nations, true FROM n UNION ALL SELECT 3, 'people', 2 * people, true FROM n)""")
+def builds_by_need(spark, customer, orders):
+    """Three builds of three tables: all steps run, then none, then those that depend on the file that changed."""
+    sources, target = _folder(spark, "sources"), _folder(spark, "built")
+    orders.select("o_custkey", "o_totalprice").write.parquet(f"{sources}/orders")
+    people = customer.select("c_custkey", "c_nationkey")
+    people.write.parquet(f"{sources}/customer")
+    inputs = {n: (f"{sources}/{n}", lambda n=n: spark.read.parquet(f"{sources}/{n}")) for n in ("orders", "customer")}
+    steps = {
+        "nations": (("totals", "customer"), lambda t, c: c.join(t, c["c_custkey"] == t["o_custkey"], "left").groupBy("c_nationkey").agg(F.sum("total").alias("total"))),
+        "totals": (("orders",), lambda o: o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))),
+        "people": (("customer",), lambda c: c),
+    }
+    said = []
+    for build in (1, 2, 3):
+        if build == 3:
+            people.write.mode("append").parquet(f"{sources}/customer")
+        made, ran = build_needed(spark, target, steps, inputs)
+        said += [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(build).alias("build"), F.lit(name).alias("step"), "n", F.lit(name in ran).alias("ran")) for name, df in made.items()]
+    return reduce(DataFrame.unionByName, said)
+
+
 @query("""
 WITH v AS (SELECT CAST(c_custkey AS BIGINT) AS k, k // 40 AS g, CAST(k * 7919 % 1000 + g % 16 * 600 AS DOUBLE) AS x, CAST(k * 104729 % 1000 + g // 16 * 600 AS DOUBLE) AS y FROM customer),
 s AS (SELECT g, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS to_y FROM v WINDOW w AS (PARTITION BY g ORDER BY k)),
