@@ -9,9 +9,7 @@ fragments are put together by a group of their own.
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelweave.shipping import ship
 from parcelweave.storage import materialize
 
 #: Splits that begin inside quotes, whose names (about 200 bytes each) go to all tasks.
@@ -27,9 +26,9 @@ MOST_INSIDE = 200_000
 Places = list[int | None]
 
 
-def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, start, value)``: the lines, in order within each split."""
-    rows = spark.read.text(paths, lineSep="\n")
+    rows = spark.read.text(path, lineSep="\n")
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
@@ -121,13 +120,14 @@ def read_records(spark: SparkSession, path: str, names: Sequence[str], places: C
     Blank unquoted fields are null; quotation marks are doubled inside quotes; blank lines are passed
     over; a byte order mark before a header and carriage returns before line feeds are dropped.
     """
+    ship(spark)
     probed = materialize(_probed(_lines(spark, path)), "splits")
-    kinds: dict[tuple[int, tuple], list[str]] = {}
+    kinds: dict[str, tuple[int, Places]] = {}
     for file, header in probed.where("start = 0").select("file", "header").collect():  # a row for each file
         if header is None:
             raise ValueError(f"{file}: the header's quotation marks do not end")
-        said = next(csv.reader([header.lstrip("﻿")], strict=True), [])
-        kinds.setdefault((len(said), tuple(places(said, file))), []).append(file)
+        said = next(csv.reader([header.lstrip("\ufeff")], strict=True), [])
+        kinds[file] = len(said), places(said, file)
     if not kinds:
         raise ValueError(f"{path} has no header")
     before = F.sum("odd").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
@@ -137,34 +137,32 @@ def read_records(spark: SparkSession, path: str, names: Sequence[str], places: C
         raise ValueError(f"over {MOST_INSIDE} splits begin inside quotes; a larger spark.sql.files.maxPartitionBytes gives fewer")
     inside = frozenset((r.file, r.start) for r in found)
     schema = ", ".join(f"`{c}` string" for c in names)
-    made = None
-    for (n, own), files in kinds.items():
-        def whole(batches, n=n, own=list(own)):
-            begins = set()
-            for split, kind, records in _joined(batches, inside):
-                if split[1] == 0 and split not in begins:  # the header
-                    begins.add(split)
-                    records = records[1:] if kind == 0 else records
-                if kind == 0 and records:
-                    yield _parsed(records, n, own, names)
-
-        def broken(batches):
-            for split, kind, records in _joined(batches, inside):
-                if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array([split[0]]), pa.array([split[1]], pa.int64()), pa.array([int(kind > 0)], pa.int32()), pa.array(records)], names=["file", "start", "begins", "text"])
-
-        def mended(batches, n=n, own=list(own)):
-            for batch in batches:
-                yield _parsed(batch.column(0).to_pylist(), n, own, names)
-
-        literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
-        rows = _lines(spark, path if len(kinds) == 1 else literal).mapInArrow(whole, schema)
-        if crossing := sorted({f for f, _ in inside} & set(files)):
-            crossing = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in crossing]
-            parts = _lines(spark, crossing).mapInArrow(broken, "file string, start long, begins int, text string")
-            parts = parts.withColumn("record", F.sum("begins").over(Window.partitionBy("file").orderBy("start", "begins")))
-            texts = F.array_sort(F.collect_list(F.struct("start", "begins", "text")))
-            together = parts.groupBy("file", "record").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("text"))
-            rows = rows.unionByName(together.select("text").mapInArrow(mended, schema))
-        made = rows if made is None else made.unionByName(rows)
-    return made
+
+    def whole(batches):
+        begins = set()
+        for split, kind, records in _joined(batches, inside):
+            if split[1] == 0 and split not in begins:  # the header
+                begins.add(split)
+                records = records[1:] if kind == 0 else records
+            if kind == 0 and records:
+                yield _parsed(records, *kinds[split[0]], names)
+
+    def broken(batches):
+        for split, kind, records in _joined(batches, inside):
+            if kind:
+                yield pa.RecordBatch.from_arrays([pa.array([split[0]]), pa.array([split[1]], pa.int64()), pa.array([int(kind > 0)], pa.int32()), pa.array(records)], names=["file", "start", "begins", "text"])
+
+    def mended(batches):
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield _parsed([text], *kinds[file], names)
+
+    # every pass reads the whole path: Spark's splits depend on the size of all that a scan reads, and a part of the files would be split elsewhere
+    rows = _lines(spark, path).mapInArrow(whole, schema)
+    if not inside:
+        return rows
+    parts = _lines(spark, path).mapInArrow(broken, "file string, start long, begins int, text string")
+    parts = parts.withColumn("record", F.sum("begins").over(Window.partitionBy("file").orderBy("start", "begins")))
+    texts = F.array_sort(F.collect_list(F.struct("start", "begins", "text")))
+    together = parts.groupBy("file", "record").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("text"))
+    return rows.unionByName(together.select("file", "text").mapInArrow(mended, schema))

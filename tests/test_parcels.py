@@ -231,6 +231,21 @@ def test_quoted_breaks_across_splits(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
 
 
+def test_files_of_two_headers_across_splits(spark, tmp_path):
+    """Splits depend on the size of all files, so that each header's files may not be read alone."""
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("pin,mail_address_name\n" + "".join(f'{i},"n\n""{i}"""\n' for i in range(400)))
+    (folder / "b.csv").write_text("MAIL_ADDRESS_NAME,odd,Pin\n" + "".join(f'"m\n{i}",x,{i + 1000}\n' for i in range(900)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = load_csv(spark, str(folder), DATASETS["chi_owners"]).select("pin", "mail_address_name").collect()
+        assert sorted(map(tuple, got)) == sorted([(str(i), f'n\n"{i}"') for i in range(400)] + [(str(i + 1000), f"m\n{i}") for i in range(900)])
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_positional(spark, tmp_path):
     (tmp_path / "p.csv").write_text('Any,Names\n1,"x\ny"\n')
     assert [tuple(r) for r in load_positional(spark, str(tmp_path / "p.csv"), ["a", "b"]).collect()] == [("1", "x\ny")]
