@@ -153,6 +153,26 @@ def test_screener(city, cause):
     assert goodcause.screener_lookup(made, "3").first().related_properties == []
 
 
+def test_related_by_evidence_equals_pairs(frame, source, city, cause):
+    """Cells of two members, names and streets that are null or shared by others, and a lot that is a member twice."""
+    certs, _, _, subsidies = cause
+    lots = [dict(bbl=str(i), address=f"{i} ST", borough="MN", zipcode="1", unitsres=i % 4, ownername=("A LLC", "B CORP", "ANN")[i % 3], latitude=40.7 + i / 1000, longitude=-73.9) for i in range(20)]
+    pluto = source("pluto_latest", *lots)
+    landlords = source("landlords", *[dict(bbl=str(i), registrationid=i, name=None if i % 7 == 6 else f"N{i % 3}", bizaddr=f"a{i % 2}", bizhousestreet=None if i % 11 == 10 else f"S{i % 4}", bizzip="1") for i in range(20)])
+    members = frame("portfolio_id long, bbl string", *[(i % 2, str(i)) for i in range(20)], (0, "3"))
+    sizes = goodcause.portfolio_sizes(members, pluto)
+    numbered = frame("bbl string, documentid string, doctype string, doc_date date, doc_order int", *[(str(i % 12), f"d{i % 5}", "MTGE", dt.date(2020, 1, 1), 1 + i // 12) for i in range(30)])
+    docs = goodcause.documents_by_bbl(numbered, frame("documentid string, name string, partytype int", *[(f"d{i}", f"p{i % 3}", 1) for i in range(4)])).cache()
+    pairs = goodcause.portfolio_pairs(members, landlords, pluto)
+    want = goodcause.related_lots(pairs, goodcause.owner_pairs(pluto), goodcause.document_pairs(numbered), pluto, docs)
+    rows = goodcause.evidence(members, landlords, pluto, numbered, docs)
+    got = goodcause.related_by_evidence(rows, 2)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) != []
+    whole = goodcause.screener(pluto, city["rentstab_v2"], subsidies, certs, members, sizes, docs, want)
+    made = goodcause.screener_by_evidence(pluto, city["rentstab_v2"], subsidies, certs, members, sizes, docs, rows, 2)
+    assert sorted(map(str, made.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_dashboard(spark, city):
     made = dashboard.buildings(city, AS_OF).cache()
     rows = {r.bbl: r for r in made.collect()}
