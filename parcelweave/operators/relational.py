@@ -79,6 +79,27 @@ def co_members(groups: DataFrame, members: str, value, wanted: str | None = None
     return groups.where(F.array_contains(members, value)).select(F.explode(members).alias(wanted or "member")).distinct()
 
 
+def in_even_parts(df: DataFrame, keys: Sequence[str], value: str, between: str, length: int) -> DataFrame:
+    """``keys``, ``i``, ``part``: each group's values in order, joined, in as many parts as ``length`` goes into the whole, rounded up.
+
+    Parts have as many values as each other, the first by one more where it doesn't divide; parts beyond the
+    values are empty.  Places come from ``with_dense_id``, so that no task holds a group.
+    """
+    rows = with_dense_id(df.select(*keys, value).where(F.col(value).isNotNull()), [*keys, value], "_id")
+    size = F.sum(F.length(value) + len(between)) - len(between)
+    groups = rows.groupBy(*keys).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.ceil(size / float(length)).alias("_parts"))
+    groups = groups.where("_parts > 0").withColumn("_least", F.floor(F.col("_n") / F.col("_parts"))).withColumn("_more", F.col("_n") % F.col("_parts"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    at, longer = F.col("_id") - F.col("_first"), F.col("_more") * (F.col("_least") + 1)
+    i = F.when(at < longer, F.floor(at / (F.col("_least") + 1))).otherwise(F.col("_more") + F.floor((at - longer) / F.greatest("_least", F.lit(1))))
+    placed = rows.join(groups.withColumnsRenamed({k: f"_{k}" for k in keys}), same).withColumn("i", i.cast("int"))
+    made = placed.groupBy(*keys, "i").agg(F.array_join(F.array_sort(F.collect_list(value)), between).alias("part"))
+    beyond = groups.where("_least = 0 AND _n < _parts").select(*keys, F.explode(F.sequence(F.col("_n").cast("int"), (F.col("_parts") - 1).cast("int"))).alias("i"), F.lit("").alias("part"))
+    return made.unionByName(beyond)
+
+
 # time
 
 
