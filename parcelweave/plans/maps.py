@@ -12,7 +12,7 @@ from parcelweave.functions.text import digits_only
 from parcelweave.operators.cover import MOST_SIDES, cell_of, cover, held
 from parcelweave.operators.polygons import centre_of, geojson, label_of, simplified
 from parcelweave.operators.relational import rolled_up, top_per_group, union_distinct, with_dense_id
-from parcelweave.shipping import ship
+from parcelweave.shipping import many_tasks, ship
 from parcelweave.storage import cut, materialize
 
 #: Edges of the hexagons in feet, by zoom; each half of the one before.
@@ -131,7 +131,7 @@ def layers(shapes: Mapping[str, DataFrame]) -> DataFrame:
 def features(areas: DataFrame, tolerance: float = 100.0, projection: Conic = Conic()) -> DataFrame:
     """``(typeValue, typeLabel, districts_geojson, labels_geojson)``: simplified areas and points for their labels, ids shared."""
     ship(areas.sparkSession)
-    rows = with_dense_id(areas, ["typevalue", F.col("areavalue").asc_nulls_last(), F.col("arealabel").asc_nulls_last()], "id")
+    rows = with_dense_id(areas, ["typevalue", F.col("areavalue").asc_nulls_last(), F.col("arealabel").asc_nulls_last()], "id").repartition(many_tasks(areas.sparkSession))
     rows = rows.withColumn("_s", simplified(F.col("geom"), tolerance)).withColumn("_p", label_of(F.col("geom"))).drop("geom")
     rows = cut(rows.withColumn("_d", to_degrees(F.col("_s"), projection)).drop("_s"))  # so that no worker's function is planned inside an aggregate
     rows = cut(rows.withColumn("_g", geojson(F.col("_d"))).drop("_d"))
