@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelweave.operators.polygons import Shapes
-from parcelweave.shipping import ship
+from parcelweave.shipping import many_tasks, ship
 
 #: Sides that a border cell may carry; cells with more are divided, at most ``DEEPEST`` times, as many sides may meet in a point.
 MOST_SIDES, DEEPEST = 8, 24
@@ -172,7 +172,8 @@ def cover(shapes: DataFrame, key: str, most: int = MOST_SIDES, geometry: str = "
     def run(column: pa.Array) -> pa.Array:
         return cells_of(Shapes.of(column), most)
 
-    return shapes.select(key, F.explode(run(F.col(geometry))).alias("_cell")).select(key, "_cell.*")
+    dealt = shapes.select(key, geometry).repartition(many_tasks(shapes.sparkSession))  # cells are large: a batch of few shapes in each task
+    return dealt.select(key, F.explode(run(F.col(geometry))).alias("_cell")).select(key, "_cell.*")
 
 
 def cell_of(x: Column, y: Column, level: int) -> Column:

@@ -318,3 +318,14 @@ def test_layers(frame):
     assert maps.district_lookup(made, "zipcode").first().label == "Zip Code"
     placed = maps.located(frame("id int, x double, y double", (1, 984300.0, 1100.0), (2, 990450.0, 1450.0), (3, 990100.0, 1100.0), (4, 0.0, 0.0)), shapes["nyad_25a"], "assemdist")
     assert sorted(r.id for r in placed.collect()) == [1, 3]
+
+
+def test_costly_steps_on_small_rows_are_dealt(spark):
+    """Covers of few small shapes run in many tasks, which adaptive execution does not lower."""
+    from parcelweave.operators.cover import cover
+    from parcelweave.shipping import many_tasks
+
+    corners = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    shapes = spark.createDataFrame([(i, [[corners]]) for i in range(40)], f"k int, geom {pg.GEOMETRY}").coalesce(1)
+    cells = cover(shapes, "k")
+    assert cells.select("k").distinct().count() == 40 and cells.rdd.getNumPartitions() == many_tasks(spark)
