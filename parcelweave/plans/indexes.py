@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 #: Trigrams of a search text whose postings are intersected.
 RAREST = 4
+#: Rows that a task sorts.
+MOST_SORTED = 1_000_000
 
 
 def _sorted_table(df: DataFrame, path: str, *keys: str) -> None:
-    writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write
+    tasks = df.count() // MOST_SORTED + 1  # a number of our own, which adaptive execution does not lower
+    writer = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).write
     writer.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").parquet(path)
 
 
