@@ -36,7 +36,7 @@ def register_building_functions(buildings: DataFrame, registered: DataFrame, con
     spark = buildings.sparkSession
     keyed = relation_keys(registered).distinct()
     own = registered.select("bbl", "registrationid")
-    shared = own.join(keyed, "registrationid").select("bbl", "key").join(keyed, "key").select("bbl", "registrationid")
+    shared = own.join(keyed, "registrationid").select("bbl", "key").distinct().join(keyed, "key").select("bbl", "registrationid")
     buildings.createOrReplaceTempView("pw_buildings")
     shared.union(own).createOrReplaceTempView("pw_related")
     contacts.select("registrationid", "firstname", "lastname").createOrReplaceTempView("pw_contacts")
