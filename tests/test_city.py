@@ -171,6 +171,24 @@ def test_related_by_evidence_equals_pairs(frame, source, city, cause):
     whole = goodcause.screener(pluto, city["rentstab_v2"], subsidies, certs, members, sizes, docs, want)
     made = goodcause.screener_by_evidence(pluto, city["rentstab_v2"], subsidies, certs, members, sizes, docs, rows, 2)
     assert sorted(map(str, made.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    plain = goodcause.screener_with_bbls(pluto, city["rentstab_v2"], subsidies, certs, members, sizes, docs, goodcause.standing(members, landlords, pluto), 2)
+    assert sorted((r.bbl, r.portfolio_bbls, r.related_properties) for r in plain.collect()) == sorted((r.bbl, r.portfolio_bbls, [x.bbl for x in r.related_properties]) for r in whole.collect())
+
+
+def test_screener_makes_no_pairs(spark, frame, source, city, cause):
+    """Where each lot is a member once nothing is dealt for pairs, and lists of bbls are those of one name's portfolio without the lot."""
+    certs, _, _, subsidies = cause
+    pluto = source("pluto_latest", *[dict(bbl=str(i), address="A", borough="MN", zipcode="1", unitsres=i % 4, latitude=40.7, longitude=-73.9) for i in range(9)])
+    landlords = source("landlords", *[dict(bbl=str(i), registrationid=i, name="N" if i < 6 else f"N{i % 2}", bizhousestreet=f"S{i % 3}", bizzip="1") for i in range(9)])
+    members = frame("portfolio_id long, bbl string", *[(int(i >= 6), str(i)) for i in range(9)])
+    docs = frame("bbl string, party_names array<string>, acris_docs array<struct<doc_id:string,doc_type:string,doc_date:date>>")
+    numbered = frame("bbl string, documentid string, doctype string, doc_date date, doc_order int")
+    args = pluto, city["rentstab_v2"], subsidies, certs, members, goodcause.portfolio_sizes(members, pluto), docs
+    whole = goodcause.screener_by_evidence(*args, goodcause.evidence(members, landlords, pluto, numbered, docs), 2)
+    assert "b_acris_docs" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.bbl: r.related_properties for r in goodcause.screener_with_bbls(*args, goodcause.standing(members, landlords, pluto), 2).collect()}
+    assert got == {r.bbl: [x.bbl for x in r.related_properties] for r in whole.collect()}
+    assert got["0"] == ["1", "2", "3", "5"] and got["1"] == ["2", "3", "5"] and got["6"] == [] and got["8"] == ["6"]
 
 
 def test_dashboard(spark, city):
