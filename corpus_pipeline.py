@@ -22,7 +22,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates (five-word shingles, similarity 0.8 or more): that with the smallest id."""
+    """One document of each component of near-duplicates (five-word shingles, similarity 0.8 or more; by SimHash, then MinHash, each link verified): that with the smallest id."""
     return neardup.deduplicate(docs)
 
 

@@ -1,7 +1,9 @@
 """Near-duplicates by content: five-word shingles in common, at a Jaccard similarity of 0.8 or more.
 
-Texts with the same set of shingles are one set.  Candidates are pairs of sets that share a band
-of ``ROWS`` MinHashes; with ``BANDS`` bands a pair at 0.8 misses all of them with a probability of
+Texts with the same set of shingles are one set.  SimHash comes first: sets whose fingerprints are
+connected by steps of at most ``DISTANCE`` bits are a bucket.  A pair at 0.8 differs in about 10 bits,
+beyond what blocks of 64 can find, so that sets that share a band of ``ROWS`` MinHashes are buckets,
+too; with ``BANDS`` bands a pair at 0.8 misses all of them with a probability of
 (1 - 0.8 ** 4) ** 26, about one in a million, and closer pairs less often.  Every link is verified
 on the sets of 64-bit hashes.  First each set is compared to the smallest of each of its buckets,
 which settles most buckets; in the others, every two sets that are not connected yet are compared.
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelweave.llm.common import take
-from parcelweave.llm.simhash import first_row, first_rows, owners, shingle_hashes
+from parcelweave.llm.simhash import first_row, first_rows, majority, owners, roots, shingle_hashes
 from parcelweave.operators.components import connected_components
 from parcelweave.shipping import ship
 from parcelweave.storage import discard, materialize
 
 WIDTH = 5
+#: Bits by which fingerprints may differ in a step.
+DISTANCE = 4
 BANDS, ROWS = 26, 4
 #: Members of a bucket, and their hashes, that are compared at a time; larger buckets are dealt to cells of two such chunks.
 CHUNK, CHUNK_HASHES = 512, 500_000
@@ -60,7 +64,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, txt, sid, n, keys)`` of every row: hash of the text, set, its size and its bands."""
+    """``(id, txt, sid, n, fp, keys)`` of every row: hash of the text, set, its size, its fingerprint and its bands."""
 
     def run(batches):
         for batch in batches:
@@ -70,11 +74,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             sids = np.fromiter(map(set_id, sets), np.uint64, len(sets)).view(np.int64)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "txt", "sid", "n", "keys"])
+            fps = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids), pa.array(sizes), pa.array(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "txt", "sid", "n", "fp", "keys"])
 
     ship(docs.sparkSession)
     frame = take(docs, id=id_col, text=text_col).select("id", F.xxhash64(F.col("text").cast("string")).alias("txt"), F.col("text").cast("string"))
-    return frame.mapInArrow(run, T.StructType([frame.schema[0], *T.StructType.fromDDL("txt long, sid long, n long, keys array<long>").fields]))
+    return frame.mapInArrow(run, T.StructType([frame.schema[0], *T.StructType.fromDDL("txt long, sid long, n long, fp long, keys array<long>").fields]))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -159,9 +164,18 @@ def _within(rows: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
     return dealt.join(sets, "sid").select("key", "sid", "root", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
 
 
+def fingerprint_buckets(distinct: DataFrame) -> DataFrame:
+    """``(key, sid, n)``: a key for all sets whose fingerprints are connected by steps of at most ``DISTANCE`` bits."""
+    fps = materialize(distinct.where("n > 0").select("fp").distinct(), "fingerprints")
+    near = roots(fps, fps.count(), DISTANCE)
+    rows = distinct.where("n > 0").join(near, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "sid", "n")
+    discard(fps)  # ``near`` is a checkpoint
+    return rows
+
+
 def _connected(distinct: DataFrame, docs: DataFrame, text_col: str, chunk: int) -> DataFrame:
     """``(sid, root)`` of all sets that have a link."""
-    rows = distinct.select(F.explode("keys").alias("key"), "sid", "n")
+    rows = distinct.select(F.explode("keys").alias("key"), "sid", "n").unionByName(fingerprint_buckets(distinct))
     shared = rows.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("low"), F.max("sid").alias("high")).where("low.sid <> high")
     members = materialize(rows.join(shared.select("key", "low"), "key"), "members")
     wanted = materialize(members.select("sid").distinct().join(distinct.select("sid", "txt"), "sid").select("txt"), "wanted")
@@ -181,7 +195,7 @@ def _connected(distinct: DataFrame, docs: DataFrame, text_col: str, chunk: int)
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
     marked = materialize(_marked(docs, id_col, text_col), "marked")
-    distinct = marked.groupBy("sid").agg(F.min("id").alias("first_id"), first_row().alias("first"), F.first("txt").alias("txt"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = marked.groupBy("sid").agg(F.min("id").alias("first_id"), first_row().alias("first"), F.first("txt").alias("txt"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "distinct")
     return marked, owners(distinct.select("sid", "first_id", "first"), "sid", _connected(distinct, docs, text_col, chunk))
 

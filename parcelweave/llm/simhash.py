@@ -48,9 +48,9 @@ def shingle_hashes(text: bytes | None, width: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     """The bits set in over half of the hashes."""
-    if not hashes:
+    if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
     values = np.array(hashes, "<u8")
@@ -202,14 +202,20 @@ def links(distinct: DataFrame, n: int, distance: int = 4, fp: str = "fp", chunk:
     return dealt.mapInArrow(run, "src long, dst long")
 
 
+def roots(distinct: DataFrame, n: int, distance: int = 4) -> DataFrame:
+    """``(fp, root)`` of each of the ``n`` fingerprints of ``distinct`` that has another within ``distance``: the smallest that is reached."""
+    with scope() as own:
+        edges = links(distinct, n, distance)
+    found = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))  # a checkpoint
+    discard(*own)
+    return found
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
     """``(id, txt, fp)`` of every row, and ``(fp, component_id, first)`` of every fingerprint: its component's smallest id and ``first_row``."""
     marked = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("first_id"), first_row().alias("first")), "distinct")
-    with scope() as own:
-        edges = links(distinct, distinct.count(), distance)
-    found = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))  # a checkpoint
-    discard(*own)
+    found = roots(distinct, distinct.count(), distance)
     return marked, owners(distinct, "fp", found)
 
 
