@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelweave.shipping import ship
 from parcelweave.storage import cut
 
+#: Edges that a task of ``spanning`` holds at a time.
+AT_A_TIME = 1 << 20
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node that occurs in ``edges``; the component is its smallest node.
@@ -37,3 +45,44 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     roots = found.select("component").distinct().select(F.col("component").alias("node"), F.col("component"))
     lone = loops.join(found.select("node").union(roots.select("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(roots).union(lone)
+
+
+def _lowest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges, and the smallest node that each reaches."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, low = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        x, y = low[x], low[y]
+        apart = x != y
+        if not apart.any():
+            return names, names[low]
+        x, y = x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def spanning(edges: DataFrame) -> DataFrame:
+    """``(src, dst)``: links with the same components as ``edges`` of whole numbers, at most one for a node and ``AT_A_TIME`` rows.
+
+    Rows next to each other become links to the smallest node that is reached within them, where they stand.
+    """
+    ship(edges.sparkSession)
+
+    def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes, low = _lowest(*[np.concatenate([part.column(k).to_numpy() for part in held]) for k in (0, 1)])
+        return pa.RecordBatch.from_arrays([pa.array(x[nodes != low]) for x in (nodes, low)], ["src", "dst"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for part in parts:
+            held.append(part)
+            n += part.num_rows
+            if n >= AT_A_TIME:
+                yield linked(held)
+                held, n = [], 0
+        if n:
+            yield linked(held)
+
+    ends = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    return ends.where("src IS NOT NULL AND dst IS NOT NULL").mapInArrow(run, "src long, dst long")
