@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelweave.llm.common import take
+from parcelweave.llm.common import parts, take
 from parcelweave.llm.simhash import first_row, first_rows, majority, owners, roots, shingle_hashes
 from parcelweave.operators.components import connected_components
 from parcelweave.shipping import ship
@@ -67,7 +67,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, txt, sid, n, fp, keys)`` of every row: hash of the text, set, its size, its fingerprint and its bands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2):
             sets = [shingles(x.as_py()) for x in batch.column(2).cast(pa.large_binary())]
             keys = [band_keys(x) for x in sets]
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
@@ -86,7 +86,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """``(sid, hashes)`` of the wanted texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 0):
             sets = [shingles(x.as_py()) for x in batch.column(0).cast(pa.large_binary())]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             sids = np.fromiter(map(set_id, sets), np.uint64, len(sets)).view(np.int64)

@@ -29,6 +29,7 @@ import math
 import re
 from bisect import bisect
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parcelweave.llm.common import map_rows, take
+from parcelweave.llm.common import map_rows, parts, take
 from parcelweave.shipping import ship
 from parcelweave.storage import discard, materialize
 
@@ -61,6 +62,8 @@ BY_CHANCE = 0.5
 FOLDS = 4
 #: Tokens without a match, and states of the automaton, that a worker keeps.
 TOKENS_KEPT, KEPT = 200_000, 40_000
+#: Terms that a worker counts before it hands them on.
+TERMS_HELD = 50_000
 #: Weights before any document is seen: a constant, then those of ``features``.
 PRIOR = (-4.0, 1.0, 0.3, 0.3, 0.5, 0.0)
 #: What is left of a match's weight when it is a mention, and when it is misspelt.
@@ -285,6 +288,27 @@ def evidence_needed(tried: int) -> float:
     return high
 
 
+def counted_terms(seen: dict[tuple[int, int], Counter]) -> Iterator[pa.RecordBatch]:
+    """``(term, fold, toxic, n)`` for each fold and class."""
+    for (fold, toxic), own in seen.items():
+        n = len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string(), size=n), pa.array(np.full(n, fold, np.int32)), pa.array(np.full(n, toxic, np.int32)), pa.array(own.values(), pa.int64(), size=n)], names=["term", "fold", "toxic", "n"])
+
+
+def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(term, fold, toxic, n)``: documents that have a term; a term may come several times, as about ``TERMS_HELD`` are held at a time."""
+    seen: dict[tuple[int, int], Counter] = {}  # by fold and class, since the last were handed on
+    for batch in parts(batches, 1):
+        for text, toxic, fold in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            own = set(tokens_of(text.as_py()))
+            own |= {f"{t[:k]}*" for t in own for k in STEMS if len(t) > k}
+            seen.setdefault((fold, toxic), Counter()).update(own)
+            if sum(map(len, seen.values())) >= TERMS_HELD:
+                yield from counted_terms(seen)
+                seen.clear()
+    yield from counted_terms(seen)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """The lexicon and model learnt from labelled rows that are not held out."""
     ship(docs.sparkSession)
@@ -297,16 +321,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.groupBy("_key", "_toxic").agg(F.min(F.struct("_id", "_text")).alias("_one")).select("_one.*", "_toxic")
     rows = materialize(rows.withColumn("_fold", F.pmod(F.xxhash64("_text", F.lit(5)), F.lit(FOLDS)).cast("int")), "labelled")
 
-    def terms(batches):
-        for batch in batches:
-            seen: Counter = Counter()  # documents of the batch that have a term, by fold and class
-            for text, toxic, fold in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = set(tokens_of(text.as_py()))
-                own |= {f"{t[:k]}*" for t in own for k in STEMS if len(t) > k}
-                seen.update((t, fold, toxic) for t in own)
-            names = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.string()), pa.array([n[1] for n in names], pa.int32()), pa.array([n[2] for n in names], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "fold", "toxic", "n"])
-
     counts = {(r["_fold"], r["_toxic"]): r["n"] for r in rows.groupBy("_fold", "_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def documents(left_out: int | None) -> tuple[int, int]:
@@ -342,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # words whose misspellings are words of clean documents are not met by them
     def misread(batches):
         trie = model._trie
-        for batch in batches:
+        for batch in parts(batches, 1):
             seen: Counter = Counter()
             for text, toxic in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if not toxic:
@@ -356,8 +370,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         made.forget()
 
     def measured(batches):
-        for batch in batches:
-            for other in others:  # four lexicons are used in turn, so that none keeps what it found for the batch before
+        for batch in parts(batches, 1):
+            for other in others:  # four lexicons are used in turn, so that none keeps what it found for the part before
                 other.forget()
             found = [others[fold].measures(t.as_py()) for t, fold in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), batch.column(2)], names=["_id", "x", "y"])
@@ -409,7 +423,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(target[0].type), pa.array([sent.value.score(x.as_py()) for x in batch.column(1)], pa.float64())], schema=target)
 
     return frame.mapInArrow(run, schema).select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -422,7 +436,7 @@ def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, at):
             yield batch.filter(pa.array([sent.value.score(x.as_py()) < threshold for x in batch.column(at)], pa.bool_()))
 
     return map_rows(docs, run)
