@@ -17,6 +17,8 @@ from parcelweave.shipping import many_tasks, ship
 
 #: Sides that a border cell may carry; cells with more are divided, at most ``DEEPEST`` times, as many sides may meet in a point.
 MOST_SIDES, DEEPEST = 8, 24
+#: The finest level: a shape about the origin that is smaller than such a cell, or a point, is not divided.
+FINEST = 100
 #: How many times its sides a shape's undecided cells may hold; beyond it, as where many sides lie on each other, they stay as they are.
 GROWTH = 64
 CELLS = "array<struct<level:int,cx:bigint,cy:bigint,parts:array<struct<odd:boolean,sides:array<struct<ax:double,ay:double,bx:double,by:double>>>>>>"
@@ -69,7 +71,7 @@ def cells_of(shapes: Shapes, most: int = MOST_SIDES) -> pa.Array:
         np.maximum.at(high, own, side[:, a : a + 2])
     np.maximum.at(reach, own, np.abs(side).max(axis=1, initial=0.0))
     some = np.unique(own)
-    finest = 40 - np.ceil(np.log2(np.maximum(reach[some], 1e-300)))  # beyond it corners are no longer exact
+    finest = np.minimum(FINEST, 40 - np.ceil(np.log2(np.maximum(reach[some], 1e-300))))  # beyond it corners are no longer exact
     root = np.minimum(-np.ceil(np.log2(np.maximum((high - low)[some].max(axis=1), 1e-300))), finest)
     size = 2.0**-root
     first = np.floor(low[some] / size[:, None])

@@ -80,3 +80,10 @@ def test_shapes_by_arrow(city, spark):
     assert abs(got[2].c.x - hole / (256 * 256 - 64 * 64)) < 1e-9 and abs(got[1].c.x - 500) < 1
     grid = [pg.to_edge((x, y), [[(p.x, p.y) for p in r] for r in got[2].s[0]]) for x in range(0, 257, 2) for y in range(0, 257, 2)]
     assert pg.to_edge((got[2].l.x, got[2].l.y), [[(p.x, p.y) for p in r] for r in got[2].s[0]]) >= 0.99 * max(grid)
+
+
+def test_point_at_the_origin_has_coarse_cells():
+    """Levels stay so low that a point's cell is a finite number."""
+    at_zero, tiny = [[[(0.0, 0.0)] * 3]], [[[(0.0, 0.0), (1e-290, 0.0), (0.0, 1e-290), (0.0, 0.0)]]]
+    cells = cv.cells_of(pg.Shapes.of(pa.concat_arrays([pg.arrow_shapes(s) for s in (at_zero, tiny)])), 1).to_pylist()
+    assert cells[0] and cells[1] and all(c["level"] <= cv.FINEST and np.isfinite(21 * 2.0 ** c["level"]) for own in cells for c in own)
