@@ -175,6 +175,29 @@ def test_related_by_evidence_equals_pairs(frame, source, city, cause):
     assert sorted((r.bbl, r.portfolio_bbls, r.related_properties) for r in plain.collect()) == sorted((r.bbl, r.portfolio_bbls, [x.bbl for x in r.related_properties]) for r in whole.collect())
 
 
+def test_pairs_of_one_owner_are_told_by_one_comparison(frame, source):
+    """Documents that only other portfolios' lots share tell no pair, and lists of one element are not searched."""
+    pluto = source("pluto_latest", *[dict(bbl=str(i), address=f"{i} ST", borough="MN", zipcode="1", unitsres=1, ownername=("A LLC", "B CORP", "ANN")[i % 3], latitude=40.7 + i / 1000, longitude=-73.9) for i in range(12)])
+    landlords = source("landlords", *[dict(bbl=str(i), registrationid=i, name=f"N{i // 4}", bizhousestreet="S", bizzip="1") for i in range(12)])
+    members = frame("portfolio_id long, bbl string", *[(i // 6, str(i)) for i in range(12)])
+    numbered = frame("bbl string, documentid string, doctype string, doc_date date, doc_order int", *[(str(i), d, "MTGE", dt.date(2020, 1, 1), 1) for i, d in ((0, "near"), (3, "near"), (1, "far"), (9, "far"), (2, "own"), (2, "own"), (4, "far"))])
+    docs = frame("bbl string, party_names array<string>, acris_docs array<struct<doc_id:string,doc_type:string,doc_date:date>>")
+    rows = goodcause.evidence(members, landlords, pluto, numbered, docs)
+    assert {r.bbl: r.documents for r in rows.collect() if r.documents} == {"0": ["near"], "3": ["near"], "1": ["far"], "4": ["far"]}
+    want = goodcause.related_lots(goodcause.portfolio_pairs(members, landlords, pluto), goodcause.owner_pairs(pluto), goodcause.document_pairs(numbered), pluto, docs)
+    got = goodcause.related_by_evidence(rows, 2)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) != []
+    assert "arrays_overlap" not in got.select("match_ownername", "match_multidoc")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_is_round(spark):
+    from parcelweave.functions.values import nearest
+
+    values = [0.0, 0.49999999999999994, 0.5, 1.4999999999999998, 1.5, 2.5, 3.5, 1e9 + 0.5, 4503599627370495.5, 9007199254740993.0]
+    made = spark.createDataFrame([(x,) for x in [*values, None]], "x double").select("x", nearest("x").alias("n"), F.round("x").cast("long").alias("want")).collect()
+    assert all(r.n == r.want for r in made) and len(made) == 11
+
+
 def test_screener_makes_no_pairs(spark, frame, source, city, cause):
     """Where each lot is a member once nothing is dealt for pairs, and lists of bbls are those of one name's portfolio without the lot."""
     certs, _, _, subsidies = cause
